@@ -188,6 +188,215 @@ funnel_perf AS (
 )"""
 
 
+USERS = f"""
+users_agg AS (
+  SELECT user_pseudo_id, MIN(session_date) AS first_seen_date, MAX(session_date) AS last_seen_date,
+    COUNT(DISTINCT session_key) AS session_count,
+    COUNT(DISTINCT CASE WHEN has_purchase THEN session_key END) AS purchase_session_count,
+    CAST(SUM(transaction_count) AS BIGINT) AS order_count,
+    {msum("session_revenue_usd")} AS total_revenue_usd,
+    MAX(CASE WHEN has_purchase THEN 1 ELSE 0 END) = 1 AS is_purchaser,
+    MAX(CASE WHEN has_search THEN 1 ELSE 0 END) = 1 AS has_ever_searched
+  FROM sessions GROUP BY user_pseudo_id
+),
+users_first AS (
+  SELECT * FROM (
+    SELECT user_pseudo_id, device_category AS first_device_category, first_user_source, first_user_medium,
+      first_user_campaign,
+      ROW_NUMBER() OVER (PARTITION BY user_pseudo_id ORDER BY session_start_timestamp, session_key) AS rn
+    FROM sessions) WHERE rn = 1
+),
+users AS (
+  SELECT a.*, f.first_device_category, f.first_user_source, f.first_user_medium, f.first_user_campaign
+  FROM users_agg a LEFT JOIN users_first f ON a.user_pseudo_id = f.user_pseudo_id
+)"""
+
+ORDERS = """
+orders_m AS (
+  SELECT order_transaction_key, order_timestamp, order_date, user_pseudo_id, session_key, order_revenue_usd,
+         total_item_quantity, device_category, country, first_user_source, first_user_medium
+  FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY order_transaction_key ORDER BY order_timestamp,
+        order_date NULLS FIRST, user_pseudo_id NULLS FIRST, session_key NULLS FIRST,
+        order_revenue_usd NULLS FIRST, total_item_quantity NULLS FIRST, device_category NULLS FIRST,
+        country NULLS FIRST, first_user_source NULLS FIRST, first_user_medium NULLS FIRST) AS rn
+    FROM (
+      SELECT COALESCE(ecommerce_transaction_id, transaction_id) AS order_transaction_key,
+        event_timestamp_utc AS order_timestamp, event_date_parsed AS order_date, user_pseudo_id, session_key,
+        COALESCE(ecommerce_purchase_revenue_in_usd, ecommerce_purchase_revenue, 0.0) AS order_revenue_usd,
+        ecommerce_total_item_quantity AS total_item_quantity, device_category, country, first_user_source,
+        first_user_medium
+      FROM stg
+      WHERE event_name = 'purchase' AND COALESCE(ecommerce_transaction_id, transaction_id) IS NOT NULL))
+  WHERE rn = 1
+)"""
+
+PRODUCT_EVENTS = """
+product_events AS (
+  SELECT event_timestamp_utc, event_date_parsed, event_name, user_pseudo_id, session_key, device_category,
+    item_id, item_name, item_brand, item_category, item_category2, item_category3, price, price_in_usd,
+    quantity, item_revenue, item_revenue_in_usd
+  FROM items_x
+)"""
+
+KPIS = f"""
+daily_sessions AS (
+  SELECT session_date,
+    COUNT(DISTINCT user_pseudo_id) AS daily_active_users,
+    COUNT(DISTINCT session_key) AS total_sessions,
+    COUNT(DISTINCT CASE WHEN has_view_item THEN session_key END) AS sessions_with_product_view,
+    COUNT(DISTINCT CASE WHEN has_add_to_cart THEN session_key END) AS sessions_with_add_to_cart,
+    COUNT(DISTINCT CASE WHEN has_begin_checkout THEN session_key END) AS sessions_with_checkout,
+    COUNT(DISTINCT CASE WHEN has_purchase THEN session_key END) AS sessions_with_purchase,
+    COUNT(DISTINCT CASE WHEN has_search THEN session_key END) AS sessions_with_search,
+    COUNT(DISTINCT CASE WHEN has_purchase THEN user_pseudo_id END) AS daily_purchasers
+  FROM sessions GROUP BY session_date
+),
+daily_orders AS (
+  SELECT order_date, COUNT(DISTINCT order_transaction_key) AS total_orders,
+    {msum("order_revenue_usd")} AS total_revenue_usd
+  FROM orders_m GROUP BY order_date
+),
+kpis AS (
+  SELECT ds.session_date AS report_date, ds.daily_active_users, ds.total_sessions, ds.daily_purchasers,
+    COALESCE(o.total_orders, 0) AS total_orders, COALESCE(o.total_revenue_usd, 0.0) AS total_revenue_usd,
+    ds.sessions_with_product_view, ds.sessions_with_add_to_cart, ds.sessions_with_checkout,
+    ds.sessions_with_purchase, ds.sessions_with_search,
+    {sdiv("ds.daily_purchasers", "ds.daily_active_users")} AS user_conversion_rate,
+    {sdiv("ds.sessions_with_purchase", "ds.total_sessions")} AS session_conversion_rate,
+    {sdiv("COALESCE(o.total_revenue_usd, 0.0)", "COALESCE(o.total_orders, 0)")} AS avg_order_value_usd,
+    {sdiv("COALESCE(o.total_revenue_usd, 0.0)", "ds.total_sessions")} AS revenue_per_session_usd,
+    {sdiv("ds.sessions_with_product_view", "ds.total_sessions")} AS product_view_rate,
+    {sdiv("ds.sessions_with_add_to_cart", "ds.sessions_with_product_view")} AS view_to_cart_rate,
+    {sdiv("ds.sessions_with_checkout", "ds.sessions_with_add_to_cart")} AS cart_to_checkout_rate,
+    {sdiv("ds.sessions_with_purchase", "ds.sessions_with_checkout")} AS checkout_to_purchase_rate,
+    {sdiv("ds.sessions_with_search", "ds.total_sessions")} AS search_adoption_rate
+  FROM daily_sessions ds LEFT JOIN daily_orders o ON ds.session_date = o.order_date
+)"""
+
+
+def _segment_block(seg_type: str, label: str, group: str) -> str:
+    return f"""
+  SELECT '{seg_type}' AS segment_type, {label} AS segment_value,
+    COUNT(DISTINCT user_pseudo_id) AS unique_users,
+    COUNT(DISTINCT session_key) AS total_sessions,
+    COUNT(DISTINCT CASE WHEN has_purchase THEN session_key END) AS purchase_sessions,
+    COUNT(DISTINCT CASE WHEN has_purchase THEN user_pseudo_id END) AS purchasers,
+    {msum("session_revenue_usd")} AS total_revenue_usd,
+    CAST(SUM(transaction_count) AS BIGINT) AS total_orders,
+    {sdiv("COUNT(DISTINCT CASE WHEN has_purchase THEN session_key END)", "COUNT(DISTINCT session_key)")}
+      AS session_conversion_rate,
+    {sdiv(msum("session_revenue_usd"), "COUNT(DISTINCT session_key)")} AS revenue_per_session_usd,
+    {sdiv(msum("session_revenue_usd"), "SUM(transaction_count)")} AS avg_order_value_usd
+  FROM sessions GROUP BY {group}"""
+
+
+SEGMENTS = f"""
+segments AS (
+  {_segment_block("device_category", "COALESCE(device_category, 'unknown')", "device_category")}
+  UNION ALL
+  {_segment_block("acquisition_medium", "COALESCE(first_user_medium, '(none)')", "first_user_medium")}
+  UNION ALL
+  {_segment_block("search_adoption",
+                  "CASE WHEN has_search THEN 'search_session' ELSE 'non_search_session' END", "has_search")}
+  UNION ALL
+  SELECT 'purchaser_status' AS segment_type,
+    CASE WHEN is_purchaser THEN 'purchaser' ELSE 'non_purchaser' END AS segment_value,
+    COUNT(DISTINCT user_pseudo_id) AS unique_users,
+    CAST(SUM(session_count) AS BIGINT) AS total_sessions,
+    CAST(SUM(purchase_session_count) AS BIGINT) AS purchase_sessions,
+    CAST(SUM(CASE WHEN is_purchaser THEN 1 ELSE 0 END) AS BIGINT) AS purchasers,
+    {msum("total_revenue_usd")} AS total_revenue_usd,
+    CAST(SUM(order_count) AS BIGINT) AS total_orders,
+    {sdiv("SUM(purchase_session_count)", "SUM(session_count)")} AS session_conversion_rate,
+    {sdiv(msum("total_revenue_usd"), "SUM(session_count)")} AS revenue_per_session_usd,
+    {sdiv(msum("total_revenue_usd"), "SUM(order_count)")} AS avg_order_value_usd
+  FROM users GROUP BY is_purchaser
+)"""
+
+PRODUCTS = f"""
+product_perf AS (
+  SELECT item_id, MIN(item_name) AS item_name, MIN(item_brand) AS item_brand,
+    MIN(item_category) AS item_category, COUNT(*) AS purchase_event_count,
+    CAST(SUM(COALESCE(quantity, 1)) AS BIGINT) AS total_units_sold,
+    COUNT(DISTINCT user_pseudo_id) AS unique_purchasers,
+    COUNT(DISTINCT session_key) AS purchase_sessions,
+    {msum("COALESCE(item_revenue_in_usd, item_revenue, price_in_usd, price, 0.0)")} AS total_item_revenue_usd,
+    {sdiv(msum("COALESCE(item_revenue_in_usd, item_revenue, price_in_usd, price, 0.0)"),
+          "SUM(COALESCE(quantity, 1))")} AS avg_revenue_per_unit_usd,
+    MIN(event_date_parsed) AS first_purchase_date, MAX(event_date_parsed) AS last_purchase_date
+  FROM items_x WHERE event_name = 'purchase' AND item_id IS NOT NULL
+  GROUP BY item_id
+)"""
+
+# session-like rows from orders (retention).
+F2 = """
+f2 AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS user_pseudo_id, CAST(o_orderkey AS VARCHAR) AS session_key,
+         CAST(o_orderdate AS DATE) AS session_date
+  FROM orders WHERE o_orderdate < TIMESTAMP '1995-04-01'
+)"""
+
+RETENTION = f"""
+ufw AS (
+  SELECT user_pseudo_id, CAST(date_trunc('week', MIN(session_date)) AS DATE) AS cohort_week
+  FROM f2 GROUP BY user_pseudo_id
+),
+uaw AS (SELECT DISTINCT user_pseudo_id, CAST(date_trunc('week', session_date) AS DATE) AS activity_week FROM f2),
+ca AS (
+  SELECT ufw.cohort_week, uaw.activity_week,
+    CAST(date_diff('day', ufw.cohort_week, uaw.activity_week) // 7 AS BIGINT) AS activity_week_index,
+    COUNT(DISTINCT uaw.user_pseudo_id) AS retained_users
+  FROM ufw JOIN uaw ON ufw.user_pseudo_id = uaw.user_pseudo_id
+  GROUP BY ufw.cohort_week, uaw.activity_week
+),
+cs AS (SELECT cohort_week, COUNT(DISTINCT user_pseudo_id) AS cohort_size FROM ufw GROUP BY cohort_week),
+retention AS (
+  SELECT ca.cohort_week, ca.activity_week, ca.activity_week_index, cs.cohort_size, ca.retained_users,
+    {sdiv("ca.retained_users", "cs.cohort_size")} AS retention_rate
+  FROM ca JOIN cs ON ca.cohort_week = cs.cohort_week
+  WHERE ca.activity_week_index >= 0
+)"""
+
+# orders for RFM.
+F3 = """
+f3 AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS order_transaction_key, CAST(o_orderdate AS DATE) AS order_date,
+         CAST(o_custkey AS VARCHAR) AS user_pseudo_id, o_totalprice AS order_revenue_usd
+  FROM orders
+)"""
+
+RFM = f"""
+pm AS (
+  SELECT user_pseudo_id, COUNT(DISTINCT order_transaction_key) AS frequency,
+    {msum("order_revenue_usd")} AS monetary_value_usd,
+    MAX(order_date) AS last_order_date, MIN(order_date) AS first_order_date
+  FROM f3 GROUP BY user_pseudo_id
+),
+rd AS (SELECT MAX(order_date) AS ref_date FROM f3),
+rc AS (SELECT pm.*, rd.ref_date, date_diff('day', pm.last_order_date, rd.ref_date) AS recency_days
+       FROM pm CROSS JOIN rd),
+sc AS (
+  SELECT *,
+    ntile(5) OVER (ORDER BY recency_days DESC, user_pseudo_id) AS r_score,
+    ntile(5) OVER (ORDER BY frequency, user_pseudo_id) AS f_score,
+    ntile(5) OVER (ORDER BY monetary_value_usd, user_pseudo_id) AS m_score
+  FROM rc
+),
+rfm AS (
+  SELECT user_pseudo_id, CAST(recency_days AS BIGINT) AS recency_days, frequency, monetary_value_usd,
+    first_order_date, last_order_date, ref_date AS analysis_reference_date,
+    CAST(r_score AS BIGINT) AS r_score, CAST(f_score AS BIGINT) AS f_score, CAST(m_score AS BIGINT) AS m_score,
+    CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
+         WHEN f_score >= 4 AND r_score >= 3 THEN 'Loyal Customers'
+         WHEN r_score >= 4 AND f_score >= 2 AND f_score <= 3 THEN 'Potential Loyalists'
+         WHEN r_score >= 4 AND f_score = 1 THEN 'Recent Customers'
+         WHEN r_score <= 2 AND f_score >= 3 THEN 'At Risk'
+         ELSE 'Occasional Customers' END AS rfm_segment
+  FROM sc
+)"""
+
+
 def with_ctes(*parts: str, body: str) -> str:
     return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body
 
@@ -198,4 +407,13 @@ def oracle_sql() -> dict[str, str]:
     q["sessions"] = with_ctes(STG, SESSIONS, body="SELECT * FROM sessions")
     q["session_funnel"] = with_ctes(STG, FUNNEL, body="SELECT * FROM funnel")
     q["funnel_performance"] = with_ctes(STG, SESSIONS, FUNNEL, FUNNEL_MART, body="SELECT * FROM funnel_perf")
+    base = (STG, SESSIONS)
+    q["users"] = with_ctes(*base, USERS, body="SELECT * FROM users")
+    q["orders"] = with_ctes(STG, ORDERS, body="SELECT * FROM orders_m")
+    q["product_events"] = with_ctes(STG, PRODUCT_EVENTS, body="SELECT * FROM product_events")
+    q["kpis_daily"] = with_ctes(*base, ORDERS, KPIS, body="SELECT * FROM kpis")
+    q["segment_performance"] = with_ctes(*base, USERS, SEGMENTS, body="SELECT * FROM segments")
+    q["product_performance"] = with_ctes(STG, PRODUCTS, body="SELECT * FROM product_perf")
+    q["retention_cohorts"] = with_ctes(F2, RETENTION, body="SELECT * FROM retention")
+    q["customer_rfm"] = with_ctes(F3, RFM, body="SELECT * FROM rfm")
     return q

@@ -58,3 +58,67 @@ def session_funnel(spark, sf_dir):
 def funnel_performance(spark, sf_dir):
     """M-8 on the fused path (sessions + funnel in one groupBy)."""
     return marts.funnel_performance(_session_facts(stg(spark, sf_dir)))
+
+
+def sess(spark, sf_dir):
+    return _sessions(stg(spark, sf_dir))
+
+
+@register
+def users(spark, sf_dir):
+    """M-3."""
+    return _users(sess(spark, sf_dir))
+
+
+@register
+def orders(spark, sf_dir):
+    """M-4."""
+    return _orders(stg(spark, sf_dir))
+
+
+@register
+def product_events(spark, sf_dir):
+    """M-6."""
+    return _product_events(stg(spark, sf_dir))
+
+
+@register
+def kpis_daily(spark, sf_dir):
+    """M-7."""
+    s = stg(spark, sf_dir)
+    return marts.kpis_daily(_sessions(s), _orders(s))
+
+
+@register
+def segment_performance(spark, sf_dir):
+    """M-11."""
+    s = sess(spark, sf_dir)
+    return marts.segment_performance(s, _users(s))
+
+
+@register
+def product_performance(spark, sf_dir):
+    """M-12."""
+    return marts.product_performance(_product_events(stg(spark, sf_dir)))
+
+
+def retention_input(spark, sf_dir):
+    _prepare(spark)
+    return fixtures.retention_sessions(fixtures.table(spark, sf_dir, "orders"))
+
+
+@register
+def retention_cohorts(spark, sf_dir):
+    """M-9 on F2."""
+    return marts.retention_cohorts(retention_input(spark, sf_dir))
+
+
+def rfm_input(spark, sf_dir):
+    _prepare(spark)
+    return fixtures.rfm_orders(fixtures.table(spark, sf_dir, "orders"))
+
+
+@register
+def customer_rfm(spark, sf_dir):
+    """M-10 on F3."""
+    return marts.customer_rfm(rfm_input(spark, sf_dir))
