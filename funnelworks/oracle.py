@@ -397,6 +397,72 @@ rfm AS (
 )"""
 
 
+FUNNEL_SUMS = """
+fsum AS (
+  SELECT CAST(COALESCE(SUM(sessions_entered), 0) AS BIGINT) AS se,
+         CAST(COALESCE(SUM(sessions_product_view), 0) AS BIGINT) AS spv,
+         CAST(COALESCE(SUM(sessions_add_to_cart), 0) AS BIGINT) AS sac,
+         CAST(COALESCE(SUM(sessions_begin_checkout), 0) AS BIGINT) AS sbc,
+         CAST(COALESCE(SUM(sessions_purchase), 0) AS BIGINT) AS sp
+  FROM funnel_perf
+)"""
+
+CURVE_ALL = f"""
+curve_all AS (
+  SELECT activity_week_index, CAST(SUM(retained_users) AS BIGINT) AS total_retained,
+    CAST(SUM(cohort_size) AS BIGINT) AS total_cohort_size,
+    {sdiv("SUM(retained_users)", "SUM(cohort_size)")} AS avg_retention_rate
+  FROM retention GROUP BY activity_week_index
+)"""
+
+CONCENTRATION = """
+conc AS (
+  SELECT user_pseudo_id, monetary_value_usd,
+    ROW_NUMBER() OVER (ORDER BY monetary_value_usd DESC, user_pseudo_id) AS customer_rank,
+    CAST(SUM(CAST(ROUND(monetary_value_usd * 1000000) AS BIGINT)) OVER (
+      ORDER BY monetary_value_usd DESC, user_pseudo_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      AS DOUBLE) / 1000000.0 AS cumulative_revenue,
+    CAST(SUM(CAST(ROUND(monetary_value_usd * 1000000) AS BIGINT)) OVER () AS DOUBLE) / 1000000.0 AS total,
+    COUNT(*) OVER () AS n
+  FROM rfm WHERE monetary_value_usd > 0
+)"""
+
+
+def _pct(new: str, base: str) -> str:
+    return f"(CASE WHEN {base} > 0 THEN ({new} - {base}) / {base} * 100.0 ELSE 0.0 END)"
+
+
+def _roz(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END)"
+
+
+def _wow_body() -> str:
+    def s(cond, c):
+        return f"CAST(COALESCE(SUM(CASE WHEN {cond} THEN {c} END), 0) AS DOUBLE)"
+
+    def m(cond, c):
+        return f"COALESCE({msum(f'CASE WHEN {cond} THEN {c} END')}, 0.0)"
+    last = "report_date > mx - 7"
+    prev = "report_date <= mx - 7 AND report_date > mx - 14"
+    rev = _pct("l7_revenue_usd", "p7_revenue_usd")
+    return f"""
+wow_a AS (
+  SELECT {s(last, "total_sessions")} AS l7_sessions, {s(prev, "total_sessions")} AS p7_sessions,
+         {s(last, "total_orders")} AS l7_orders, {s(prev, "total_orders")} AS p7_orders,
+         {m(last, "total_revenue_usd")} AS l7_revenue_usd, {m(prev, "total_revenue_usd")} AS p7_revenue_usd
+  FROM kpis CROSS JOIN (SELECT MAX(report_date) AS mx FROM kpis)
+),
+wow AS (
+  SELECT *, {_pct("l7_sessions", "p7_sessions")} AS session_delta_pct,
+    {_pct("l7_orders", "p7_orders")} AS order_delta_pct,
+    {rev} AS revenue_delta_pct,
+    ({_roz("l7_orders", "l7_sessions")} - {_roz("p7_orders", "p7_sessions")}) * 100.0 AS cvr_delta_pp,
+    {_pct(_roz("l7_revenue_usd", "l7_orders"), _roz("p7_revenue_usd", "p7_orders"))} AS aov_delta_pct,
+    CASE WHEN {rev} > 5.0 THEN 'growth' WHEN {rev} < -5.0 THEN 'contraction' ELSE 'stable' END AS trend
+  FROM wow_a
+)"""
+
+
 def with_ctes(*parts: str, body: str) -> str:
     return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body
 
@@ -416,4 +482,99 @@ def oracle_sql() -> dict[str, str]:
     q["product_performance"] = with_ctes(STG, PRODUCTS, body="SELECT * FROM product_perf")
     q["retention_cohorts"] = with_ctes(F2, RETENTION, body="SELECT * FROM retention")
     q["customer_rfm"] = with_ctes(F3, RFM, body="SELECT * FROM rfm")
+    kp = (STG, SESSIONS, ORDERS, KPIS)
+    fm = (STG, SESSIONS, FUNNEL, FUNNEL_MART)
+    q["kpi_totals"] = with_ctes(*kp, body=f"""
+SELECT MIN(report_date) AS start_date, MAX(report_date) AS end_date,
+  CAST(SUM(daily_active_users) AS BIGINT) AS total_user_days, CAST(SUM(total_sessions) AS BIGINT) AS total_sessions,
+  CAST(SUM(total_orders) AS BIGINT) AS total_orders, {msum("total_revenue_usd")} AS total_revenue_usd,
+  {sdiv("SUM(total_orders)", "SUM(total_sessions)")} AS overall_session_conversion,
+  {sdiv(msum("total_revenue_usd"), "SUM(total_orders)")} AS overall_aov
+FROM kpis""")
+    q["week_over_week"] = with_ctes(*kp, _wow_body(), body="SELECT * FROM wow")
+    q["trend_class"] = with_ctes(*kp, _wow_body(), body="SELECT revenue_delta_pct, trend FROM wow")
+    q["peak_week"] = with_ctes(*kp, body="""
+SELECT report_date AS peak_date, CAST(r AS DOUBLE) / 1000000.0 AS peak_7d_revenue_usd FROM (
+  SELECT report_date, SUM(CAST(ROUND(total_revenue_usd * 1000000) AS BIGINT)) OVER (
+    ORDER BY report_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS r FROM kpis)
+ORDER BY r DESC, report_date LIMIT 1""")
+    steps = [("se", "Sessions Entered"), ("spv", "Product View"), ("sac", "Add to Cart"),
+             ("sbc", "Begin Checkout"), ("sp", "Purchase")]
+    parts = []
+    for i, (c, lab) in enumerate(steps):
+        prev = "CAST(NULL AS DOUBLE)" if i == 0 else _roz(f"CAST({c} AS DOUBLE)", f"CAST({steps[i-1][0]} AS DOUBLE)")
+        parts.append(f"SELECT {i + 1} AS step_index, '{lab}' AS step, {c} AS sessions, "
+                     f"{_roz(f'CAST({c} AS DOUBLE)', 'CAST(se AS DOUBLE)')} AS pct_of_entered, "
+                     f"{prev} AS pct_of_previous FROM fsum")
+    q["funnel_total"] = with_ctes(*fm, FUNNEL_SUMS, body="\nUNION ALL\n".join(parts))
+    drops = [f"SELECT {i} AS i, '{steps[i-1][1]}' AS from_step, '{steps[i][1]}' AS to_step, "
+             f"1.0 - CAST({steps[i][0]} AS DOUBLE) / CAST({steps[i-1][0]} AS DOUBLE) AS drop_rate "
+             f"FROM fsum WHERE {steps[i-1][0]} > 0" for i in range(1, 5)]
+    q["largest_drop"] = with_ctes(*fm, FUNNEL_SUMS, body=f"""
+SELECT from_step, to_step, drop_rate FROM ({" UNION ALL ".join(drops)}) ORDER BY drop_rate DESC, i LIMIT 1""")
+    q["cart_abandonment"] = with_ctes(*fm, FUNNEL_SUMS, body=f"""
+SELECT sac AS sessions_add_to_cart, sbc AS sessions_begin_checkout, 1.0 - {sdiv("sbc", "sac")} AS cart_abandonment_rate
+FROM fsum""")
+    dev = [("sessions_entered", "Entered"), ("sessions_product_view", "Product View"),
+           ("sessions_add_to_cart", "Add to Cart"), ("sessions_begin_checkout", "Checkout"),
+           ("sessions_purchase", "Purchase")]
+    q["funnel_by_device"] = with_ctes(*fm, body="\nUNION ALL\n".join(
+        f"SELECT device_category, '{lab}' AS funnel_step, CAST(SUM({c}) AS BIGINT) AS sessions "
+        f"FROM funnel_perf GROUP BY device_category" for c, lab in dev))
+    q["segment_compare"] = with_ctes(STG, SESSIONS, USERS, SEGMENTS, body="""
+SELECT segment_type, segment_value, unique_users, total_sessions, total_revenue_usd, session_conversion_rate,
+  avg_order_value_usd
+FROM segments WHERE segment_type IN ('device_category', 'search_adoption')""")
+    q["rfm_distribution"] = with_ctes(F3, RFM, body=f"""
+SELECT rfm_segment, COUNT(*) AS customer_count, {msum("monetary_value_usd")} AS total_revenue_usd,
+  CAST(SUM(frequency) AS DOUBLE) / COUNT(frequency) AS avg_frequency,
+  CAST(SUM(recency_days) AS DOUBLE) / COUNT(recency_days) AS avg_recency_days
+FROM rfm GROUP BY rfm_segment""")
+    rt = (F2, RETENTION)
+    q["retention_curve"] = with_ctes(*rt, CURVE_ALL, body="SELECT * FROM curve_all WHERE activity_week_index <= 8")
+    q["retention_matrix"] = with_ctes(*rt, body="SELECT cohort_week, " + ", ".join(
+        f"AVG(CASE WHEN activity_week_index = {w} THEN retention_rate END) AS week_{w}" for w in range(9))
+        + " FROM retention WHERE activity_week_index <= 8 GROUP BY cohort_week")
+    q["retention_stabilization"] = with_ctes(*rt, CURVE_ALL, body="""
+, c AS (
+  SELECT activity_week_index, avg_retention_rate AS rate,
+    ROW_NUMBER() OVER (ORDER BY activity_week_index) - 1 AS rn,
+    ABS(avg_retention_rate - LAG(avg_retention_rate) OVER (ORDER BY activity_week_index)) AS d,
+    LAG(activity_week_index) OVER (ORDER BY activity_week_index) AS pidx,
+    LAG(avg_retention_rate) OVER (ORDER BY activity_week_index) AS prate
+  FROM curve_all),
+c2 AS (SELECT *, LAG(d) OVER (ORDER BY activity_week_index) AS pd FROM c),
+hit AS (SELECT * FROM c2 WHERE rn >= 2 AND pd < CAST(0.01 AS DOUBLE) AND d < CAST(0.01 AS DOUBLE)
+        ORDER BY rn LIMIT 1)
+SELECT (SELECT pidx FROM hit) AS stabilization_week, (SELECT prate FROM hit) AS stabilization_rate""".lstrip())
+    q["cohort_sizes"] = with_ctes(*rt, body="SELECT cohort_week, cohort_size FROM retention WHERE activity_week_index = 0")
+    q["week1_retention"] = with_ctes(*rt, CURVE_ALL, body="""
+SELECT total_retained, total_cohort_size, avg_retention_rate AS week1_retention_rate
+FROM curve_all WHERE activity_week_index = 1""")
+    q["revenue_concentration"] = with_ctes(F3, RFM, CONCENTRATION, body="""
+SELECT user_pseudo_id, monetary_value_usd, customer_rank, cumulative_revenue,
+  cumulative_revenue / total AS cumulative_revenue_pct, CAST(customer_rank AS DOUBLE) / n AS customer_percentile
+FROM conc""")
+    q["top_decile_share"] = with_ctes(F3, RFM, CONCENTRATION, body="""
+SELECT n AS purchasers, CAST(FLOOR(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS top_decile_customers,
+  cumulative_revenue / total AS top_decile_revenue_share
+FROM conc WHERE customer_rank = FLOOR(n * CAST(0.1 AS DOUBLE)) AND FLOOR(n * CAST(0.1 AS DOUBLE)) >= 1""")
+    q["top_products"] = with_ctes(STG, PRODUCTS, body="""
+SELECT * FROM product_perf ORDER BY total_item_revenue_usd DESC, item_id LIMIT 20""")
+    us = (STG, SESSIONS, USERS)
+    q["repeat_rate"] = with_ctes(*us, body=f"""
+SELECT CAST(SUM(CASE WHEN is_purchaser THEN 1 ELSE 0 END) AS BIGINT) AS purchasers,
+  CAST(SUM(CASE WHEN is_purchaser AND order_count > 1 THEN 1 ELSE 0 END) AS BIGINT) AS repeat_purchasers,
+  {sdiv("SUM(CASE WHEN is_purchaser AND order_count > 1 THEN 1 ELSE 0 END)",
+        "SUM(CASE WHEN is_purchaser THEN 1 ELSE 0 END)")} AS repeat_purchase_rate
+FROM users""")
+    q["ltv_proxy"] = with_ctes(*us, body=f"""
+SELECT COUNT(user_pseudo_id) AS users, CAST(SUM(CASE WHEN is_purchaser THEN 1 ELSE 0 END) AS BIGINT) AS purchasers,
+  {msum("total_revenue_usd")} AS total_revenue_usd,
+  {sdiv(msum("total_revenue_usd"), "COUNT(user_pseudo_id)")} AS revenue_per_user_usd,
+  {sdiv(msum("total_revenue_usd"), "SUM(CASE WHEN is_purchaser THEN 1 ELSE 0 END)")} AS revenue_per_purchaser_usd
+FROM users""")
+    q["filtered_kpis"] = with_ctes(*fm, body="""
+SELECT * FROM funnel_perf
+WHERE report_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' AND device_category IN ('desktop', 'mobile')""")
     return q

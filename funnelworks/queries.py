@@ -122,3 +122,145 @@ def rfm_input(spark, sf_dir):
 def customer_rfm(spark, sf_dir):
     """M-10 on F3."""
     return marts.customer_rfm(rfm_input(spark, sf_dir))
+
+
+# ------------------------------------------------------------ findings / dashboard (INS-*, FLT-13)
+from funnelworks.plans import insights as _ins  # noqa: E402
+
+FILTER_WINDOW = ("2024-01-08", "2024-01-21")
+FILTER_DEVICES = ("desktop", "mobile")
+
+
+def kpis(spark, sf_dir):
+    return kpis_daily(spark, sf_dir)
+
+
+def funnel_mart(spark, sf_dir):
+    return funnel_performance(spark, sf_dir)
+
+
+@register
+def kpi_totals(spark, sf_dir):
+    """INS-1."""
+    return _ins.kpi_totals(kpis(spark, sf_dir))
+
+
+@register
+def week_over_week(spark, sf_dir):
+    """INS-2 (+ INS-3 trend column)."""
+    return _ins.week_over_week(kpis(spark, sf_dir))
+
+
+@register
+def trend_class(spark, sf_dir):
+    """INS-3."""
+    return _ins.trend_class(kpis(spark, sf_dir))
+
+
+@register
+def peak_week(spark, sf_dir):
+    """INS-4, WIN-5."""
+    return _ins.peak_week(kpis(spark, sf_dir))
+
+
+@register
+def funnel_total(spark, sf_dir):
+    """INS-5, RSH-3."""
+    return _ins.funnel_total(funnel_mart(spark, sf_dir))
+
+
+@register
+def largest_drop(spark, sf_dir):
+    """INS-6."""
+    return _ins.largest_drop(funnel_mart(spark, sf_dir))
+
+
+@register
+def funnel_by_device(spark, sf_dir):
+    """INS-7, RSH-1."""
+    return _ins.funnel_by_device(funnel_mart(spark, sf_dir))
+
+
+@register
+def segment_compare(spark, sf_dir):
+    """INS-8, FLT-8."""
+    return _ins.segment_compare(segment_performance(spark, sf_dir))
+
+
+@register
+def rfm_distribution(spark, sf_dir):
+    """INS-9."""
+    return _ins.rfm_distribution(customer_rfm(spark, sf_dir))
+
+
+@register
+def retention_curve(spark, sf_dir):
+    """INS-10."""
+    return _ins.retention_curve(retention_cohorts(spark, sf_dir))
+
+
+@register
+def retention_matrix(spark, sf_dir):
+    """INS-11, AGG-15, RSH-2."""
+    return _ins.retention_matrix(retention_cohorts(spark, sf_dir))
+
+
+@register
+def retention_stabilization(spark, sf_dir):
+    """INS-12, WIN-6, WIN-7."""
+    return _ins.retention_stabilization(retention_cohorts(spark, sf_dir))
+
+
+@register
+def cohort_sizes(spark, sf_dir):
+    """INS-13."""
+    return _ins.cohort_sizes(retention_cohorts(spark, sf_dir))
+
+
+@register
+def week1_retention(spark, sf_dir):
+    """INS-14."""
+    return _ins.week1_retention(retention_cohorts(spark, sf_dir))
+
+
+@register
+def revenue_concentration(spark, sf_dir):
+    """INS-15, WIN-3, WIN-4."""
+    return _ins.revenue_concentration(customer_rfm(spark, sf_dir))
+
+
+@register
+def top_decile_share(spark, sf_dir):
+    """INS-15 (top 10 % share)."""
+    return _ins.top_decile_share(_ins.revenue_concentration(customer_rfm(spark, sf_dir)))
+
+
+@register
+def top_products(spark, sf_dir):
+    """INS-16, SRT-5."""
+    return _ins.top_products(product_performance(spark, sf_dir), 20)
+
+
+@register
+def cart_abandonment(spark, sf_dir):
+    """INS-17."""
+    return _ins.cart_abandonment(funnel_mart(spark, sf_dir))
+
+
+@register
+def repeat_rate(spark, sf_dir):
+    """INS-18."""
+    return _ins.repeat_rate(users(spark, sf_dir))
+
+
+@register
+def ltv_proxy(spark, sf_dir):
+    """INS-19."""
+    return _ins.ltv_proxy(users(spark, sf_dir))
+
+
+@register
+def filtered_kpis(spark, sf_dir):
+    """FLT-13: global date / device filter on the funnel mart."""
+    return _ins.apply_filters(funnel_mart(spark, sf_dir), FILTER_WINDOW[0], FILTER_WINDOW[1],
+                              devices=list(FILTER_DEVICES))
