@@ -577,4 +577,110 @@ FROM users""")
     q["filtered_kpis"] = with_ctes(*fm, body="""
 SELECT * FROM funnel_perf
 WHERE report_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' AND device_category IN ('desktop', 'mobile')""")
+    q["source_coverage"] = with_ctes(STG, body="""
+SELECT COUNT(*) AS total_events, MIN(event_date) AS earliest_date, MAX(event_date) AS latest_date,
+  COUNT(DISTINCT event_date) AS distinct_dates, COUNT(DISTINCT user_pseudo_id) AS distinct_users FROM stg""")
+    q["event_inventory"] = with_ctes(STG, body="""
+SELECT event_name, COUNT(*) AS event_count, COUNT(DISTINCT user_pseudo_id) AS distinct_users,
+  MIN(event_date) AS first_seen, MAX(event_date) AS last_seen FROM stg GROUP BY event_name""")
+    nulls = [("user_id", "user_pseudo_id"), ("event_name", "event_name"), ("timestamp", "event_timestamp"),
+             ("session_id", "ga_session_id"), ("ecom_txn_id", "ecommerce_transaction_id")]
+    q["null_profile"] = with_ctes(STG, body="\nUNION ALL\n".join(
+        f"SELECT '{f}' AS field, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+        f"CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / COUNT(*) ELSE 0.0 END "
+        f"AS null_rate FROM stg" for f, c in nulls))
+    q["dup_transactions"] = with_ctes(STG, body="""
+SELECT ecommerce_transaction_id AS txn_id, COUNT(*) AS event_count FROM stg
+WHERE event_name = 'purchase' AND ecommerce_transaction_id IS NOT NULL
+GROUP BY ecommerce_transaction_id HAVING COUNT(*) > 1 ORDER BY event_count DESC, txn_id LIMIT 10""")
+    all_marts = (STG, SESSIONS, FUNNEL, FUNNEL_MART, ORDERS, KPIS, USERS, SEGMENTS, PRODUCTS, F2, RETENTION, F3, RFM)
+    mart_tables = [("mart_product_kpis_daily", "kpis"), ("mart_funnel_performance", "funnel_perf"),
+                   ("mart_retention_cohorts", "retention"), ("mart_customer_rfm", "rfm"),
+                   ("mart_segment_performance", "segments"), ("mart_product_performance", "product_perf")]
+    q["mart_row_counts"] = with_ctes(*all_marts, body="\nUNION ALL\n".join(
+        f"SELECT '{m}' AS mart, 'ok' AS status, COUNT(*) AS row_count FROM {t}" for m, t in mart_tables))
+    q["reconciliation"] = with_ctes(STG, ORDERS, body=f"""
+, o AS (SELECT {msum("order_revenue_usd")} AS orders_revenue FROM orders_m),
+s AS (SELECT {msum("COALESCE(ecommerce_purchase_revenue_in_usd, ecommerce_purchase_revenue, 0.0)")} AS source_revenue
+      FROM stg WHERE event_name = 'purchase' AND COALESCE(ecommerce_transaction_id, transaction_id) IS NOT NULL)
+SELECT orders_revenue, source_revenue, ABS(orders_revenue - source_revenue) AS absolute_diff,
+  {sdiv("ABS(orders_revenue - source_revenue)", "source_revenue")} AS relative_diff,
+  COALESCE({sdiv("ABS(orders_revenue - source_revenue)", "source_revenue")} > CAST(0.01 AS DOUBLE)
+           AND ABS(orders_revenue - source_revenue) > CAST(1.0 AS DOUBLE), FALSE) AS exceeds_tolerance
+FROM o CROSS JOIN s""".lstrip())
+    q["purchase_profile"] = with_ctes(STG, body=f"""
+SELECT COUNT(*) AS total_purchase_events, COUNT(ecommerce_transaction_id) AS has_ecommerce_txn_id,
+  COUNT(transaction_id) AS has_param_txn_id, COUNT(ecommerce_purchase_revenue) AS has_purchase_revenue,
+  COUNT(ecommerce_purchase_revenue_in_usd) AS has_purchase_revenue_usd,
+  MIN(ecommerce_purchase_revenue_in_usd) AS min_revenue_usd, MAX(ecommerce_purchase_revenue_in_usd) AS max_revenue_usd,
+  {msum("ecommerce_purchase_revenue_in_usd")} / COUNT(ecommerce_purchase_revenue_in_usd) AS avg_revenue_usd,
+  CAST(SUM(CASE WHEN e % 3 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS has_items,
+  COUNT(DISTINCT ecommerce_transaction_id) AS distinct_txn_ids
+FROM stg WHERE event_name = 'purchase'""")
+    q["session_crosscheck"] = with_ctes(STG, SESSIONS, ORDERS, KPIS, body="""
+SELECT 'int_sessions' AS model, COUNT(DISTINCT session_key) AS total_sessions,
+  COUNT(DISTINCT user_pseudo_id) AS total_users FROM sessions
+UNION ALL
+SELECT 'mart_kpis_sum' AS model, CAST(SUM(total_sessions) AS BIGINT), CAST(SUM(daily_active_users) AS BIGINT)
+FROM kpis""")
+    tbl = dict(mart_tables)
+    tbl.update({"stg_ga4_events": "stg", "int_sessions": "sessions", "int_users": "users",
+                "int_orders": "orders_m", "int_session_funnel": "funnel"})
+    from funnelworks.plans.quality import SCHEMA_TESTS
+    checks = []
+    for model, col, test, vals in SCHEMA_TESTS:
+        t = tbl[model]
+        if test == "not_null":
+            expr = f"SELECT COUNT(*) FILTER (WHERE {col} IS NULL) AS failures FROM {t}"
+        elif test == "unique":
+            expr = (f"SELECT COUNT(*) AS failures FROM (SELECT {col} FROM {t} WHERE {col} IS NOT NULL "
+                    f"GROUP BY {col} HAVING COUNT(*) > 1)")
+        else:
+            inlist = ", ".join("'" + v.replace("'", "''") + "'" for v in vals)
+            expr = f"SELECT COUNT(DISTINCT {col}) AS failures FROM {t} WHERE {col} NOT IN ({inlist})"
+        checks.append(f"SELECT '{model}' AS model, '{col}' AS column_name, '{test}' AS test, "
+                      f"CAST(failures AS BIGINT) AS failures FROM ({expr})")
+    q["schema_checks"] = with_ctes(*all_marts, body="\nUNION ALL\n".join(checks))
+    q["negative_revenue"] = with_ctes(STG, ORDERS, body="""
+SELECT order_transaction_key, order_revenue_usd FROM orders_m WHERE order_revenue_usd < 0""")
+    q["funnel_consistency"] = with_ctes(STG, FUNNEL, body="""
+SELECT session_key, reached_view_item, reached_add_to_cart_after_view, reached_begin_checkout_after_cart,
+  reached_purchase_after_checkout FROM funnel
+WHERE (reached_begin_checkout_after_cart AND NOT reached_add_to_cart_after_view)
+   OR (reached_purchase_after_checkout AND NOT reached_begin_checkout_after_cart)
+   OR (reached_add_to_cart_after_view AND NOT reached_view_item)
+LIMIT 10""")
+    q["missing_dates"] = with_ctes(STG, body="""
+SELECT CAST(d AS DATE) AS missing_date
+FROM (SELECT unnest(generate_series(MIN(event_date_parsed), MAX(event_date_parsed), INTERVAL 1 DAY)) AS d FROM stg)
+WHERE CAST(d AS DATE) NOT IN (SELECT event_date_parsed FROM stg WHERE event_date_parsed IS NOT NULL)""")
+    from funnelworks.plans.quality import REQUIRED_EVENTS
+    ev_rows = "\nUNION ALL\n".join(
+        f"SELECT 'event_present:{e}' AS check, CAST(COUNT(*) FILTER (WHERE event_name = '{e}') AS DOUBLE) AS value, "
+        f"COUNT(*) FILTER (WHERE event_name = '{e}') > 0 AS passed FROM stg" for e in REQUIRED_EVENTS)
+    q["quality_checklist"] = with_ctes(STG, body=f"""
+, gaps AS (
+  SELECT COUNT(*) AS g FROM (
+    SELECT CAST(d AS DATE) AS md FROM (SELECT unnest(generate_series(MIN(event_date_parsed), MAX(event_date_parsed),
+      INTERVAL 1 DAY)) AS d FROM stg)
+    WHERE CAST(d AS DATE) NOT IN (SELECT event_date_parsed FROM stg WHERE event_date_parsed IS NOT NULL)))
+SELECT 'user_pseudo_id_null_rate' AS check,
+  CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (WHERE user_pseudo_id IS NULL) AS DOUBLE) / COUNT(*) ELSE 0.0 END
+    AS value,
+  (CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (WHERE user_pseudo_id IS NULL) AS DOUBLE) / COUNT(*) ELSE 0.0 END)
+    < CAST(0.001 AS DOUBLE) AS passed FROM stg
+UNION ALL
+SELECT 'missing_dates', CAST(g AS DOUBLE), g = 0 FROM gaps
+UNION ALL
+{ev_rows}""".lstrip())
+    q["privacy_check"] = "SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS column_name WHERE FALSE"
+    label = ("CASE segment_value WHEN '(none)' THEN 'Direct' WHEN '(data deleted)' THEN 'Unknown' "
+             "WHEN '<Other>' THEN 'Other' WHEN '(not set)' THEN 'Unknown' ELSE segment_value END")
+    q["safe_extract"] = with_ctes(STG, SESSIONS, USERS, SEGMENTS, body=f"""
+SELECT segment_type, {label} AS segment_value, unique_users, total_sessions, purchase_sessions, purchasers,
+  total_revenue_usd, total_orders, session_conversion_rate, revenue_per_session_usd, avg_order_value_usd
+FROM segments""")
+    q["safe_extract_rfm"] = with_ctes(F3, RFM, body="""
+SELECT recency_days, frequency, monetary_value_usd, first_order_date, last_order_date, analysis_reference_date,
+  r_score, f_score, m_score, rfm_segment FROM rfm""")
     return q

@@ -264,3 +264,131 @@ def filtered_kpis(spark, sf_dir):
     """FLT-13: global date / device filter on the funnel mart."""
     return _ins.apply_filters(funnel_mart(spark, sf_dir), FILTER_WINDOW[0], FILTER_WINDOW[1],
                               devices=list(FILTER_DEVICES))
+
+
+# ------------------------------------------------------------ data quality (Q-*), extracts (X-*)
+from funnelworks.plans import export as _export  # noqa: E402
+from funnelworks.plans import quality as _qual  # noqa: E402
+
+
+def raw(spark, sf_dir):
+    _prepare(spark)
+    return fixtures.raw_events_from(spark, sf_dir)
+
+
+def all_marts(spark, sf_dir) -> dict:
+    s = stg(spark, sf_dir)
+    facts = _session_facts(s)
+    se, od = _sessions(s), _orders(s)
+    return {
+        "mart_product_kpis_daily": marts.kpis_daily(se, od),
+        "mart_funnel_performance": marts.funnel_performance(facts),
+        "mart_retention_cohorts": retention_cohorts(spark, sf_dir),
+        "mart_customer_rfm": customer_rfm(spark, sf_dir),
+        "mart_segment_performance": marts.segment_performance(se, _users(se)),
+        "mart_product_performance": marts.product_performance(_product_events(s)),
+    }
+
+
+@register
+def source_coverage(spark, sf_dir):
+    """Q-1."""
+    return _qual.source_coverage(raw(spark, sf_dir))
+
+
+@register
+def event_inventory(spark, sf_dir):
+    """Q-2."""
+    return _qual.event_inventory(raw(spark, sf_dir))
+
+
+@register
+def null_profile(spark, sf_dir):
+    """Q-3."""
+    return _qual.null_profile(raw(spark, sf_dir))
+
+
+@register
+def dup_transactions(spark, sf_dir):
+    """Q-4, SRT-3."""
+    return _qual.dup_transactions(raw(spark, sf_dir))
+
+
+@register
+def mart_row_counts(spark, sf_dir):
+    """Q-5."""
+    return _qual.mart_row_counts(spark, all_marts(spark, sf_dir))
+
+
+@register
+def reconciliation(spark, sf_dir):
+    """Q-6, JN-8."""
+    s = stg(spark, sf_dir)
+    return _qual.reconciliation(s, _orders(s))
+
+
+@register
+def purchase_profile(spark, sf_dir):
+    """Q-7."""
+    return _qual.purchase_profile(raw(spark, sf_dir))
+
+
+@register
+def session_crosscheck(spark, sf_dir):
+    """Q-8, SET-2."""
+    s = stg(spark, sf_dir)
+    se = _sessions(s)
+    return _qual.session_crosscheck(se, marts.kpis_daily(se, _orders(s)))
+
+
+@register
+def schema_checks(spark, sf_dir):
+    """Q-9."""
+    s = stg(spark, sf_dir)
+    se = _sessions(s)
+    models = dict(all_marts(spark, sf_dir))
+    models.update({"stg_ga4_events": s, "int_sessions": se, "int_users": _users(se), "int_orders": _orders(s),
+                   "int_session_funnel": _session_funnel(s)})
+    return _qual.schema_checks(models)
+
+
+@register
+def negative_revenue(spark, sf_dir):
+    """Q-10."""
+    return _qual.negative_revenue(orders(spark, sf_dir))
+
+
+@register
+def funnel_consistency(spark, sf_dir):
+    """Q-11, SRT-4."""
+    return _qual.funnel_consistency(session_funnel(spark, sf_dir))
+
+
+@register
+def missing_dates(spark, sf_dir):
+    """Q-12 (calendar gaps)."""
+    return _qual.missing_dates(stg(spark, sf_dir))
+
+
+@register
+def quality_checklist(spark, sf_dir):
+    """Q-12 (checklist thresholds)."""
+    return _qual.quality_checklist(stg(spark, sf_dir))
+
+
+@register
+def privacy_check(spark, sf_dir):
+    """Q-13 over the safe extracts of all marts."""
+    return _qual.privacy_check({k: _export.safe_extract(v) for k, v in all_marts(spark, sf_dir).items()})
+
+
+@register
+def safe_extract(spark, sf_dir):
+    """X-1...X-3 on the segment mart (labels such as '(none)' are cleaned)."""
+    return _export.safe_extract(segment_performance(spark, sf_dir))
+
+
+@register
+def safe_extract_rfm(spark, sf_dir):
+    """X-1 on the RFM mart (user id dropped)."""
+    return _export.safe_extract(customer_rfm(spark, sf_dir))
