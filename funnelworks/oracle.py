@@ -463,6 +463,102 @@ wow AS (
 )"""
 
 
+F4 = """
+f4 AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS user_id,
+    CASE WHEN o_custkey % 2 = 0 THEN 'exp_a' ELSE 'exp_b' END AS experiment_id,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant,
+    o_orderdate AS assignment_timestamp, TRUE AS is_eligible, 'mobile' AS device_category,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS converted_purchase,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0.0 END AS revenue_usd,
+    CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS payment_error,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS refund_or_cancelled,
+    CAST(20 + o_orderkey % 200 AS DOUBLE) AS checkout_duration_seconds
+  FROM orders
+)"""
+
+F5 = """
+fv AS (SELECT user_id, MIN(ts) AS t FROM events WHERE event_type = 'view' GROUP BY user_id HAVING user_id % 10 <> 0),
+f5 AS (
+  SELECT 'experiment_impression' AS event_name, 'exp_checkout' AS experiment_id,
+    CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant,
+    CAST(user_id AS VARCHAR) AS user_pseudo_id, epoch_us(t) AS event_timestamp,
+    CAST(NULL AS VARCHAR) AS transaction_id, CAST(NULL AS DOUBLE) AS revenue_usd
+  FROM fv
+  UNION ALL
+  SELECT 'experiment_impression', 'exp_checkout', CASE WHEN user_id % 2 = 0 THEN 'treatment' ELSE 'control' END,
+    CAST(user_id AS VARCHAR), epoch_us(t) + 1, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
+  FROM fv WHERE user_id % 15 = 0
+  UNION ALL
+  SELECT CASE WHEN event_type = 'purchase' THEN 'purchase' ELSE 'payment_error' END, 'exp_checkout',
+    CAST(NULL AS VARCHAR), CAST(user_id AS VARCHAR), epoch_us(ts),
+    CASE WHEN event_type = 'purchase' THEN 't' || CAST(event_id AS VARCHAR) END,
+    CASE WHEN event_type = 'purchase' THEN value END
+  FROM events WHERE event_type IN ('purchase', 'error')
+)"""
+
+
+def _dlit(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _ab_ctes() -> str:
+    from funnelworks.plans.experiment import MIN_PRACTICAL_LIFT, Z_ALPHA, Z_POWER
+    za, k, mde2 = _dlit(Z_ALPHA), _dlit((Z_ALPHA + Z_POWER) ** 2), _dlit(MIN_PRACTICAL_LIFT ** 2)
+    mde = _dlit(MIN_PRACTICAL_LIFT)
+    cols = ["n", "conversions", "conversion_rate", "arpu", "payment_error_rate", "refund_rate",
+            "median_checkout_duration_seconds"]
+    wide = ", ".join(f"MAX(CASE WHEN variant = '{v}' THEN {c} END) AS {c}_{s}"
+                     for v, s in (("control", "c"), ("treatment", "t")) for c in cols)
+    return f"""
+abm AS (
+  SELECT experiment_id, variant, COUNT(*) AS n, CAST(SUM(converted_purchase) AS BIGINT) AS conversions,
+    {sdiv("SUM(converted_purchase)", "COUNT(*)")} AS conversion_rate,
+    {msum("revenue_usd")} AS revenue_usd, {sdiv(msum("revenue_usd"), "COUNT(*)")} AS arpu,
+    CAST(SUM(payment_error) AS DOUBLE) / COUNT(payment_error) AS payment_error_rate,
+    CAST(SUM(refund_or_cancelled) AS DOUBLE) / COUNT(refund_or_cancelled) AS refund_rate,
+    MEDIAN(checkout_duration_seconds) AS median_checkout_duration_seconds
+  FROM f4 GROUP BY experiment_id, variant
+),
+abw AS (SELECT experiment_id, {wide} FROM abm GROUP BY experiment_id),
+abv AS (
+  SELECT *, CAST(conversions_c + conversions_t AS DOUBLE) / (CAST(n_c AS DOUBLE) + CAST(n_t AS DOUBLE)) AS pooled,
+    {za} * SQRT(conversion_rate_t * (1 - conversion_rate_t) / CAST(n_t AS DOUBLE)) AS half_t,
+    {za} * SQRT(conversion_rate_c * (1 - conversion_rate_c) / CAST(n_c AS DOUBLE)) AS half_c
+  FROM abw
+),
+aba AS (
+  SELECT experiment_id, n_c, n_t, conversions_c, conversions_t,
+    conversion_rate_c AS cvr_control, conversion_rate_t AS cvr_treatment,
+    conversion_rate_t - conversion_rate_c AS absolute_lift,
+    CASE WHEN conversion_rate_c > 0 THEN (conversion_rate_t - conversion_rate_c) / conversion_rate_c ELSE 0.0 END
+      AS relative_lift,
+    (conversion_rate_t - conversion_rate_c) / NULLIF(SQRT(pooled * (1 - pooled)
+      * (1.0 / CAST(n_t AS DOUBLE) + 1.0 / CAST(n_c AS DOUBLE))), 0.0) AS z_stat,
+    (conversion_rate_t - half_t) - (conversion_rate_c + half_c) AS diff_ci_low,
+    (conversion_rate_t + half_t) - (conversion_rate_c - half_c) AS diff_ci_high,
+    arpu_c AS arpu_control, arpu_t AS arpu_treatment,
+    payment_error_rate_c AS payment_error_rate_control, payment_error_rate_t AS payment_error_rate_treatment,
+    refund_rate_c AS refund_rate_control, refund_rate_t AS refund_rate_treatment,
+    median_checkout_duration_seconds_c AS median_duration_control,
+    median_checkout_duration_seconds_t AS median_duration_treatment,
+    CAST(CEIL({k} * (conversion_rate_c * (1 - conversion_rate_c)
+      + (conversion_rate_c + {mde}) * (1 - (conversion_rate_c + {mde}))) / {mde2}) AS BIGINT) AS required_n_per_arm
+  FROM abv
+),
+abd AS (
+  SELECT *, CASE
+    WHEN absolute_lift > 0 AND diff_ci_low > 0 AND absolute_lift >= {mde}
+         AND payment_error_rate_treatment - payment_error_rate_control <= CAST('0.002' AS DOUBLE)
+         AND refund_rate_treatment - refund_rate_control <= CAST('0.002' AS DOUBLE) THEN 'Ship'
+    WHEN absolute_lift > 0 AND (NOT (payment_error_rate_treatment - payment_error_rate_control <= CAST('0.002' AS DOUBLE))
+         OR NOT (refund_rate_treatment - refund_rate_control <= CAST('0.002' AS DOUBLE))) THEN 'Iterate'
+    WHEN diff_ci_high < 0 THEN 'Stop'
+    ELSE 'Inconclusive' END AS decision
+  FROM aba
+)"""
+
+
 def with_ctes(*parts: str, body: str) -> str:
     return "WITH " + ",".join(p.strip() for p in parts) + "\n" + body
 
@@ -683,4 +779,102 @@ FROM segments""")
     q["safe_extract_rfm"] = with_ctes(F3, RFM, body="""
 SELECT recency_days, frequency, monetary_value_usd, first_order_date, last_order_date, analysis_reference_date,
   r_score, f_score, m_score, rfm_segment FROM rfm""")
+    q["ab_validity"] = with_ctes(F4, body="""
+, pu AS (SELECT experiment_id, COUNT(*) FILTER (WHERE nv <> 1) AS multi_variant_users
+         FROM (SELECT experiment_id, user_id, COUNT(DISTINCT variant) AS nv FROM f4 GROUP BY 1, 2) GROUP BY 1),
+agg AS (
+  SELECT experiment_id, COUNT(*) AS n_units,
+    COUNT(*) FILTER (WHERE NOT COALESCE(variant IN ('control', 'treatment'), FALSE)) AS bad_variant,
+    COUNT(*) FILTER (WHERE variant = 'control') AS n_control,
+    COUNT(*) FILTER (WHERE variant = 'treatment') AS n_treatment,
+    COUNT(*) FILTER (WHERE NOT COALESCE(is_eligible, FALSE) OR NOT COALESCE(device_category = 'mobile', FALSE))
+      AS not_eligible_mobile,
+    COUNT(*) FILTER (WHERE NOT COALESCE(revenue_usd >= 0, FALSE)) AS negative_revenue,
+    COUNT(*) FILTER (WHERE converted_purchase = 0 AND NOT COALESCE(revenue_usd = 0, FALSE)) AS nonconverter_revenue
+  FROM f4 GROUP BY experiment_id)
+SELECT a.experiment_id, a.n_units, p.multi_variant_users, p.multi_variant_users = 0 AS single_variant_per_user,
+  (a.bad_variant = 0 AND a.n_control > 0 AND a.n_treatment > 0) AS valid_variants_only,
+  a.not_eligible_mobile = 0 AS all_eligible_mobile, a.negative_revenue = 0 AS non_negative_revenue,
+  a.nonconverter_revenue = 0 AS nonconverters_zero_revenue
+FROM agg a JOIN pu p ON a.experiment_id = p.experiment_id""".lstrip())
+    q["ab_metrics"] = with_ctes(F4, _ab_ctes(), body="""
+SELECT experiment_id, variant, n, conversions, conversion_rate, revenue_usd, arpu, payment_error_rate, refund_rate,
+  median_checkout_duration_seconds FROM abm""")
+    q["ab_lift"] = with_ctes(F4, _ab_ctes(), body="""
+SELECT experiment_id, cvr_control, cvr_treatment, absolute_lift, relative_lift FROM aba""")
+    q["ab_interval"] = with_ctes(F4, _ab_ctes(), body="""
+SELECT experiment_id, z_stat, diff_ci_low, diff_ci_high FROM aba""")
+    q["ab_power"] = with_ctes(F4, _ab_ctes(), body="SELECT experiment_id, cvr_control, required_n_per_arm FROM aba")
+    from funnelworks.plans.experiment import DECISION_REASONS
+    reason = "CASE decision " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in DECISION_REASONS.items()) + " END"
+    q["ab_decision"] = with_ctes(F4, _ab_ctes(), body=f"""
+SELECT experiment_id, absolute_lift, diff_ci_low, diff_ci_high, decision, {reason} AS reason FROM abd""")
+    q["ab_guardrails"] = with_ctes(F4, _ab_ctes(), body="\nUNION ALL\n".join(
+        f"SELECT experiment_id, '{m}' AS metric, {c}_control AS control, {c}_treatment AS treatment FROM aba"
+        for m, c in (("arpu", "arpu"), ("payment_error_rate", "payment_error_rate"), ("refund_rate", "refund_rate"),
+                     ("median_duration", "median_duration"))))
+    q["ab_histogram"] = with_ctes(F4, body="""
+, conv AS (SELECT * FROM f4 WHERE converted_purchase = 1),
+rng AS (SELECT experiment_id, MIN(revenue_usd) AS lo, MAX(revenue_usd) AS hi FROM conv GROUP BY experiment_id),
+h AS (
+  SELECT c.experiment_id, c.variant, r.lo, r.hi, (r.hi - r.lo) / 50.0 AS w,
+    CAST(CASE WHEN (r.hi - r.lo) / 50.0 > 0 THEN LEAST(FLOOR((c.revenue_usd - r.lo) / ((r.hi - r.lo) / 50.0)), 49)
+         ELSE 0 END AS INTEGER) AS bin
+  FROM conv c JOIN rng r ON c.experiment_id = r.experiment_id)
+SELECT experiment_id, variant, bin, lo + bin * w AS bin_start, lo + (bin + 1) * w AS bin_end, COUNT(*) AS units
+FROM h GROUP BY experiment_id, variant, bin, lo, hi, w""".lstrip())
+    firstchk = """
+, firstchk AS (
+  SELECT * FROM (
+    SELECT user_pseudo_id, event_timestamp_utc, device_category,
+      ROW_NUMBER() OVER (PARTITION BY user_pseudo_id ORDER BY event_timestamp_utc, device_category NULLS FIRST) AS rn
+    FROM stg WHERE event_name = 'begin_checkout' AND user_pseudo_id IS NOT NULL) WHERE rn = 1
+)"""
+    q["ab_eligible"] = with_ctes(STG, F5, body=firstchk.lstrip() + """
+SELECT user_pseudo_id, event_timestamp_utc AS eligibility_timestamp FROM firstchk
+WHERE device_category = 'mobile' AND user_pseudo_id NOT IN (
+  SELECT user_pseudo_id FROM f5 WHERE event_name = 'experiment_impression' AND experiment_id = 'exp_checkout')""")
+    q["ab_assign"] = with_ctes(STG, body=firstchk.lstrip() + """
+, b AS (SELECT user_pseudo_id, CAST(CAST(('0x' || substr(md5('exp_checkout:' || user_pseudo_id), 1, 8)) AS BIGINT)
+          % 100 AS INTEGER) AS bucket FROM firstchk WHERE device_category = 'mobile')
+SELECT 'exp_checkout' AS experiment_id, user_pseudo_id, bucket,
+  CASE WHEN bucket < 50 THEN 'control' ELSE 'treatment' END AS variant FROM b""")
+    q["ab_attribution"] = with_ctes(F5, body=f"""
+, fe AS (
+  SELECT experiment_id, user_pseudo_id, exposure_ts, variant FROM (
+    SELECT experiment_id, user_pseudo_id, event_timestamp AS exposure_ts, variant,
+      ROW_NUMBER() OVER (PARTITION BY experiment_id, user_pseudo_id ORDER BY event_timestamp, variant NULLS FIRST) AS rn
+    FROM f5 WHERE event_name = 'experiment_impression') WHERE rn = 1),
+oc AS (SELECT experiment_id, user_pseudo_id, event_name AS outcome, event_timestamp AS outcome_ts, revenue_usd
+       FROM f5 WHERE event_name <> 'experiment_impression'),
+pu AS (
+  SELECT fe.experiment_id, fe.variant, fe.user_pseudo_id,
+    COUNT(*) FILTER (WHERE oc.outcome = 'purchase' AND oc.outcome_ts >= fe.exposure_ts) AS purchases,
+    COUNT(*) FILTER (WHERE oc.outcome = 'payment_error' AND oc.outcome_ts >= fe.exposure_ts) AS payment_errors,
+    {msum("CASE WHEN oc.outcome = 'purchase' AND oc.outcome_ts >= fe.exposure_ts THEN oc.revenue_usd END")} AS revenue
+  FROM fe LEFT JOIN oc ON fe.experiment_id = oc.experiment_id AND fe.user_pseudo_id = oc.user_pseudo_id
+  GROUP BY 1, 2, 3)
+SELECT experiment_id, variant, COUNT(*) AS exposed_users, COUNT(*) FILTER (WHERE purchases > 0) AS converted_users,
+  CAST(COALESCE(SUM(purchases), 0) AS BIGINT) AS purchases, COALESCE({msum("revenue")}, 0.0) AS revenue_usd,
+  CAST(COALESCE(SUM(payment_errors), 0) AS BIGINT) AS payment_errors,
+  {sdiv("COUNT(*) FILTER (WHERE purchases > 0)", "COUNT(*)")} AS conversion_rate
+FROM pu GROUP BY experiment_id, variant""".lstrip())
+    q["ab_exposure_once"] = with_ctes(F5, body="""
+SELECT experiment_id, user_pseudo_id, COUNT(*) AS exposures FROM f5 WHERE event_name = 'experiment_impression'
+GROUP BY 1, 2 HAVING COUNT(*) <> 1""")
+    q["ab_missing_exposure"] = with_ctes(F5, body="""
+SELECT p.experiment_id, p.user_pseudo_id, p.transaction_id, p.event_timestamp, p.revenue_usd
+FROM f5 p WHERE p.event_name = 'purchase' AND NOT EXISTS (
+  SELECT 1 FROM f5 x WHERE x.event_name = 'experiment_impression' AND x.experiment_id = p.experiment_id
+    AND x.user_pseudo_id = p.user_pseudo_id)""")
+    q["ab_contamination"] = with_ctes(F5, body="""
+SELECT experiment_id, user_pseudo_id, COUNT(DISTINCT variant) AS variants FROM f5
+WHERE event_name = 'experiment_impression' GROUP BY 1, 2 HAVING COUNT(DISTINCT variant) > 1""")
+    q["ab_duration"] = with_ctes(STG, FUNNEL, body="""
+SELECT session_key, user_pseudo_id, first_begin_checkout_time AS checkout_start_time,
+  first_purchase_time AS purchase_time,
+  CAST(epoch_us(first_purchase_time) - epoch_us(first_begin_checkout_time) AS DOUBLE) / CAST(1000000.0 AS DOUBLE)
+    AS checkout_duration_seconds
+FROM funnel WHERE first_begin_checkout_time IS NOT NULL AND first_purchase_time IS NOT NULL
+  AND first_purchase_time >= first_begin_checkout_time""")
     return q

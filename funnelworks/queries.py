@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from funnelworks.operators.orders import orders as _orders
 from funnelworks.operators.products import product_events as _product_events
@@ -392,3 +393,130 @@ def safe_extract(spark, sf_dir):
 def safe_extract_rfm(spark, sf_dir):
     """X-1 on the RFM mart (user id dropped)."""
     return _export.safe_extract(customer_rfm(spark, sf_dir))
+
+
+# ------------------------------------------------------------ experiment analysis (AB-*)
+from funnelworks.plans import experiment as _ab  # noqa: E402
+
+EXPERIMENT_ID = "exp_checkout"
+
+
+def units(spark, sf_dir):
+    _prepare(spark)
+    return fixtures.experiment_units(fixtures.table(spark, sf_dir, "orders"))
+
+
+def exp_events(spark, sf_dir):
+    _prepare(spark)
+    return fixtures.experiment_events(fixtures.table(spark, sf_dir, "events"), EXPERIMENT_ID)
+
+
+@register
+def ab_validity(spark, sf_dir):
+    """AB-1."""
+    return _ab.validity(units(spark, sf_dir))
+
+
+@register
+def ab_srm(spark, sf_dir):
+    """AB-2 (p-value through erfc: rows-only check, unit-tested against math.erfc)."""
+    return _ab.srm(units(spark, sf_dir))
+
+
+@register
+def ab_metrics(spark, sf_dir):
+    """AB-3, AGG-12."""
+    return _ab.variant_metrics(units(spark, sf_dir))
+
+
+@register
+def ab_lift(spark, sf_dir):
+    """AB-4."""
+    return _ab.analysis(units(spark, sf_dir)).select(
+        "experiment_id", "cvr_control", "cvr_treatment", "absolute_lift", "relative_lift")
+
+
+@register
+def ab_interval(spark, sf_dir):
+    """AB-5 (z statistic) and AB-6 (difference of per-arm normal intervals)."""
+    return _ab.analysis(units(spark, sf_dir)).select("experiment_id", "z_stat", "diff_ci_low", "diff_ci_high")
+
+
+@register
+def ab_ztest(spark, sf_dir):
+    """AB-5 with the two-sided p-value (rows-only check)."""
+    return _ab.ztest(units(spark, sf_dir))
+
+
+@register
+def ab_power(spark, sf_dir):
+    """AB-7."""
+    return _ab.analysis(units(spark, sf_dir)).select("experiment_id", "cvr_control", "required_n_per_arm")
+
+
+@register
+def ab_decision(spark, sf_dir):
+    """AB-8."""
+    return _ab.analysis(units(spark, sf_dir)).select("experiment_id", "absolute_lift", "diff_ci_low",
+                                                     "diff_ci_high", "decision", "reason")
+
+
+@register
+def ab_summary(spark, sf_dir):
+    """AB-9 summary table (carries the p-value: rows-only check)."""
+    return _ab.summary(units(spark, sf_dir))
+
+
+@register
+def ab_guardrails(spark, sf_dir):
+    """AB-9 guardrail table."""
+    return _ab.guardrails(units(spark, sf_dir))
+
+
+@register
+def ab_histogram(spark, sf_dir):
+    """AB-10, AGG-17."""
+    return _ab.revenue_histogram(units(spark, sf_dir))
+
+
+@register
+def ab_eligible(spark, sf_dir):
+    """AB-11: first checkout on mobile, not yet exposed."""
+    return _ab.eligible_users(stg(spark, sf_dir), exp_events(spark, sf_dir).where(
+        F.col("event_name") == _ab.EXPOSURE_EVENT), EXPERIMENT_ID)
+
+
+@register
+def ab_assign(spark, sf_dir):
+    """AB-12: persistent hash assignment of every first-checkout-on-mobile user."""
+    return _ab.assign(_ab.eligible_users(stg(spark, sf_dir)), EXPERIMENT_ID)
+
+
+@register
+def ab_attribution(spark, sf_dir):
+    """AB-13."""
+    return _ab.attribution(exp_events(spark, sf_dir))
+
+
+@register
+def ab_exposure_once(spark, sf_dir):
+    """AB-14."""
+    return _ab.exposure_counts(exp_events(spark, sf_dir))
+
+
+@register
+def ab_missing_exposure(spark, sf_dir):
+    """AB-15."""
+    return _ab.missing_exposure(exp_events(spark, sf_dir))
+
+
+@register
+def ab_contamination(spark, sf_dir):
+    """AB-16."""
+    return _ab.contamination(exp_events(spark, sf_dir))
+
+
+@register
+def ab_duration(spark, sf_dir):
+    """AB-17."""
+    return _ab.checkout_duration(session_funnel(spark, sf_dir))
