@@ -11,15 +11,16 @@ VALUE_TYPES = ("string_value", "int_value", "double_value", "float_value")
 def event_param(key: str, value_type: str, params: str | Column = "event_params") -> Column:
     """Typed value of the first parameter named ``key``; NULL when absent.
 
-    A higher-order ``filter`` over the array, so no explode and no join: the
-    lookup stays inside the scan's projection. ``get`` (not ``[0]``) returns
-    NULL for a missing element instead of raising under ANSI mode.
+    ``array_position`` over the array of keys finds the first match (0 when
+    absent) and ``get`` reads that element, NULL when out of bounds (it does
+    not raise under ANSI mode, unlike ``[i]``). No explode, no join, and no
+    lambda: the lookup compiles into the scan's whole-stage code.
     """
     if value_type not in VALUE_TYPES:
         raise ValueError(f"value_type must be one of {VALUE_TYPES}, got {value_type!r}")
     arr = F.col(params) if isinstance(params, str) else params
-    hit = F.get(F.filter(arr, lambda p: p["key"] == F.lit(key)), 0)
-    return hit["value"][value_type]
+    pos = F.array_position(arr.getField("key"), F.lit(key))
+    return F.get(arr, (pos - 1).cast("int"))["value"][value_type]
 
 
 def session_key(user: str | Column, session_id: str | Column) -> Column:

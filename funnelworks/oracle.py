@@ -877,4 +877,11 @@ SELECT session_key, user_pseudo_id, first_begin_checkout_time AS checkout_start_
     AS checkout_duration_seconds
 FROM funnel WHERE first_begin_checkout_time IS NOT NULL AND first_purchase_time IS NOT NULL
   AND first_purchase_time >= first_begin_checkout_time""")
+    f2_from_sessions = "f2 AS (SELECT user_pseudo_id, session_key, session_date FROM sessions)"
+    f3_from_orders = ("f3 AS (SELECT order_transaction_key, order_date, user_pseudo_id, order_revenue_usd "
+                      "FROM orders_m)")
+    built = (STG, SESSIONS, FUNNEL, FUNNEL_MART, ORDERS, KPIS, USERS, SEGMENTS, PRODUCTS, f2_from_sessions,
+             RETENTION, f3_from_orders, RFM)
+    q["build_all"] = with_ctes(*built, body="\nUNION ALL\n".join(
+        f"SELECT '{m}' AS mart, 'ok' AS status, COUNT(*) AS row_count FROM {t}" for m, t in mart_tables))
     return q

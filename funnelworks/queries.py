@@ -520,3 +520,18 @@ def ab_contamination(spark, sf_dir):
 def ab_duration(spark, sf_dir):
     """AB-17."""
     return _ab.checkout_duration(session_funnel(spark, sf_dir))
+
+
+# ------------------------------------------------------------ M-13
+@register
+def build_all(spark, sf_dir):
+    """M-13: build every model into the shared folder; returns the mart row counts (Q-5)."""
+    import uuid
+
+    from funnelworks.plans.build import build_all as _build
+    from funnelworks.session import checkpoint_dir
+    _prepare(spark)
+    out = f"{checkpoint_dir(spark).rstrip('/')}/build-{uuid.uuid4().hex[:12]}"
+    t = _build(spark, raw(spark, sf_dir), out)
+    # Retention and RFM are built from the event fixture here; the counts below are of what was written.
+    return _qual.mart_row_counts(spark, {k: v for k, v in t.items() if k.startswith("mart_")})

@@ -15,12 +15,15 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    # HotSpot does not JIT methods over 8000 bytecodes: let Spark split such
+    # fused stages instead of running one huge interpreted method (Spark docs).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "funnelworks") -> SparkSession:
+              app_name: str = "funnelworks", extra_conf: dict | None = None) -> SparkSession:
     """Return (or create) a session with the settings above.
 
     On a cluster ``master`` stays None and the launcher decides; tests pass
@@ -29,7 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in BASE_CONF.items():
+    for k, v in {**BASE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -30,95 +30,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(index: Column, values: tuple[str, ...]) -> Column:
-    """values[index], NULL past the end (index is a non-negative integer)."""
-    expr = None
-    for i, v in enumerate(values):
-        expr = (F.when(index == i, F.lit(v)) if expr is None else expr.when(index == i, F.lit(v)))
-    return expr
-
-
-def _param(key: str, kind: str, value: Column, present: Column) -> Column:
-    sv = value.cast("string") if kind == "string_value" else F.lit(None).cast("string")
-    iv = value.cast("long") if kind == "int_value" else F.lit(None).cast("long")
-    v = F.struct(sv.alias("string_value"), iv.alias("int_value"),
-                 F.lit(None).cast("double").alias("double_value"),
-                 F.lit(None).cast("double").alias("float_value"))
-    return F.when(present & value.isNotNull(), F.struct(F.lit(key).alias("key"), v.alias("value")))
+def _param_sql(key: str, kind: str, value: str, present: str) -> str:
+    """SQL for a zero- or one-element array holding one event parameter."""
+    typed = {k: "CAST(NULL AS {})".format("STRING" if k == "string_value" else "BIGINT" if k == "int_value"
+                                          else "DOUBLE") for k in ("string_value", "int_value", "double_value",
+                                                                   "float_value")}
+    typed[kind] = f"CAST({value} AS {'STRING' if kind == 'string_value' else 'BIGINT'})"
+    inner = ", ".join(f"'{k}', {v}" for k, v in typed.items())
+    return (f"slice(array(named_struct('key', '{key}', 'value', named_struct({inner}))), 1, "
+            f"IF(({present}) AND ({value}) IS NOT NULL, 1, 0))")
+
+
+def _item_sql(j: int) -> str:
+    ej = f"(e + {j})"
+    k = f"((e * 7 + {j}) % 50)"
+    price = f"CAST(1 + {ej} % 20 AS DOUBLE)"
+    item = (f"named_struct('item_id', IF({ej} % 19 <> 0, concat('SKU', {k}), NULL), "
+            f"'item_name', concat('Item ', {k}), 'item_brand', concat('Brand ', {k} % 5), "
+            f"'item_category', concat('Category ', {k} % 4), "
+            f"'item_category2', CAST(NULL AS STRING), 'item_category3', CAST(NULL AS STRING), "
+            f"'price', {price}, 'price_in_usd', IF({ej} % 8 <> 0, {price}, NULL), "
+            f"'quantity', IF({ej} % 6 <> 0, CAST(1 + {ej} % 3 AS BIGINT), NULL), "
+            f"'item_revenue', CAST(NULL AS DOUBLE), "
+            f"'item_revenue_in_usd', IF({ej} % 4 <> 0, {price} * (1 + {ej} % 3), NULL))")
+    return f"slice(array({item}), 1, IF(e % 3 > {j}, 1, 0))"
+
+
+def _case(expr: str, values: tuple[str, ...]) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {expr} {whens} END"
 
 
 def raw_events(events: DataFrame) -> DataFrame:
-    """the ``events`` table as raw nested events (schema RAW_EVENT)."""
-    e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
-    ts = F.col("ts").cast("timestamp")
-    day = F.date_format(ts, "yyyyMMdd")
-    mapped = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(n)) for k, n in EVENT_NAME_MAP.items()])
-    name = F.when(e % 9 == 0, F.lit("page_view")).otherwise(mapped)
-    is_purchase = name == "purchase"
-    txn = F.concat(u.cast("string"), F.lit("-"), day)
-
-    params = F.array_compact(F.array(
-        _param("ga_session_id", "int_value", day.cast("long"), e % 20 != 0),
-        _param("page_location", "string_value", F.concat(F.lit("/p/"), (e % 50).cast("string")), F.lit(True)),
-        _param("search_term", "string_value", F.concat(F.lit("term"), (e % 10).cast("string")),
-               name == "view_search_results"),
-        _param("transaction_id", "string_value", txn, is_purchase & (e % 11 != 0)),
-        _param("engagement_time_msec", "int_value", F.round(v * 1000).cast("long"), e % 3 != 0),
-    ))
-    ecommerce = F.struct(
-        F.when(is_purchase & (e % 17 != 0), v).alias("purchase_revenue"),
-        F.when(is_purchase & (e % 7 != 0), v).alias("purchase_revenue_in_usd"),
-        F.when(is_purchase & (e % 5 != 0), txn).alias("transaction_id"),
-        F.when(is_purchase, 1 + e % 3).alias("total_item_quantity"),
-    )
-    device = F.struct(
-        _pick((u + e) % 4, DEVICE_CATEGORIES).alias("category"),
-        F.concat(F.lit("os"), (e % 3).cast("string")).alias("operating_system"),
-        F.struct(F.concat(F.lit("br"), (e % 4).cast("string")).alias("browser")).alias("web_info"),
-    )
-    geo = F.struct(
-        F.concat(F.lit("C"), (u % 7).cast("string")).alias("country"),
-        F.concat(F.lit("T"), (u % 11).cast("string")).alias("city"),
-        F.concat(F.lit("K"), (u % 3).cast("string")).alias("continent"),
-        F.concat(F.lit("S"), (u % 5).cast("string")).alias("sub_continent"),
-    )
-    traffic = F.struct(
-        _pick(u % 3, SOURCES).alias("source"),
-        _pick(u % 5, MEDIUMS).alias("medium"),
-        F.concat(F.lit("cmp"), (u % 4).cast("string")).alias("name"),
-    )
+    """the ``events`` table as raw nested events (schema RAW_EVENT).
 
-    def item(j: int) -> Column:
-        ej = e + j
-        k = (e * 7 + j) % 50
-        price = (1 + ej % 20).cast("double")
-        return F.when(e % 3 > j, F.struct(
-            F.when(ej % 19 != 0, F.concat(F.lit("SKU"), k.cast("string"))).alias("item_id"),
-            F.concat(F.lit("Item "), k.cast("string")).alias("item_name"),
-            F.concat(F.lit("Brand "), (k % 5).cast("string")).alias("item_brand"),
-            F.concat(F.lit("Category "), (k % 4).cast("string")).alias("item_category"),
-            F.lit(None).cast("string").alias("item_category2"),
-            F.lit(None).cast("string").alias("item_category3"),
-            price.alias("price"),
-            F.when(ej % 8 != 0, price).alias("price_in_usd"),
-            F.when(ej % 6 != 0, 1 + ej % 3).cast("long").alias("quantity"),
-            F.lit(None).cast("double").alias("item_revenue"),
-            F.when(ej % 4 != 0, price * (1 + ej % 3)).alias("item_revenue_in_usd"),
-        ))
-
-    items = F.when(name.isin(*ITEM_EVENTS), F.array_compact(F.array(*[item(j) for j in range(MAX_ITEMS)])))
-
-    out = events.select(
-        day.alias("event_date"),
-        F.unix_micros(ts).alias("event_timestamp"),
-        name.alias("event_name"),
-        u.cast("string").alias("user_pseudo_id"),
-        params.alias("event_params"),
-        ecommerce.alias("ecommerce"),
-        device.alias("device"),
-        geo.alias("geo"),
-        traffic.alias("traffic_source"),
-        items.alias("items"),
+    Written as SQL expressions: two projections, compiled into the scan's
+    whole-stage code (zero- or one-element arrays are concatenated instead
+    of filtering with a lambda).
+    """
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_NAME_MAP.items())
+    base = events.selectExpr(
+        "event_id AS e", "user_id AS u", "value AS v",
+        "date_format(CAST(ts AS TIMESTAMP), 'yyyyMMdd') AS day",
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS micros",
+        f"IF(event_id % 9 = 0, 'page_view', CASE event_type {names} END) AS name",
+    ).selectExpr("*", "concat(CAST(u AS STRING), '-', day) AS txn", "name = 'purchase' AS is_purchase")
+    params = "concat(" + ", ".join([
+        _param_sql("ga_session_id", "int_value", "CAST(day AS BIGINT)", "e % 20 <> 0"),
+        _param_sql("page_location", "string_value", "concat('/p/', e % 50)", "TRUE"),
+        _param_sql("search_term", "string_value", "concat('term', e % 10)", "name = 'view_search_results'"),
+        _param_sql("transaction_id", "string_value", "txn", "is_purchase AND e % 11 <> 0"),
+        _param_sql("engagement_time_msec", "int_value", "round(v * 1000)", "e % 3 <> 0"),
+    ]) + ")"
+    items = ("IF(name IN (" + ", ".join(f"'{n}'" for n in ITEM_EVENTS) + "), concat("
+             + ", ".join(_item_sql(j) for j in range(MAX_ITEMS)) + "), NULL)")
+    out = base.selectExpr(
+        "day AS event_date",
+        "micros AS event_timestamp",
+        "name AS event_name",
+        "CAST(u AS STRING) AS user_pseudo_id",
+        f"{params} AS event_params",
+        "named_struct('purchase_revenue', IF(is_purchase AND e % 17 <> 0, v, NULL), "
+        "'purchase_revenue_in_usd', IF(is_purchase AND e % 7 <> 0, v, NULL), "
+        "'transaction_id', IF(is_purchase AND e % 5 <> 0, txn, NULL), "
+        "'total_item_quantity', IF(is_purchase, 1 + e % 3, NULL)) AS ecommerce",
+        f"named_struct('category', {_case('(u + e) % 4', DEVICE_CATEGORIES)}, "
+        "'operating_system', concat('os', e % 3), "
+        "'web_info', named_struct('browser', concat('br', e % 4))) AS device",
+        "named_struct('country', concat('C', u % 7), 'city', concat('T', u % 11), "
+        "'continent', concat('K', u % 3), 'sub_continent', concat('S', u % 5)) AS geo",
+        f"named_struct('source', {_case('u % 3', SOURCES)}, 'medium', {_case('u % 5', MEDIUMS)}, "
+        "'name', concat('cmp', u % 4)) AS traffic_source",
+        f"{items} AS items",
     )
     # Cast to the declared schema so adapters and real sources are interchangeable.
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_EVENT.fields])
