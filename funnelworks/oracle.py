@@ -884,4 +884,6 @@ FROM funnel WHERE first_begin_checkout_time IS NOT NULL AND first_purchase_time
              RETENTION, f3_from_orders, RFM)
     q["build_all"] = with_ctes(*built, body="\nUNION ALL\n".join(
         f"SELECT '{m}' AS mart, 'ok' AS status, COUNT(*) AS row_count FROM {t}" for m, t in mart_tables))
+    q["filter_options"] = with_ctes(*fm, body="""
+SELECT DISTINCT CAST(device_category AS VARCHAR) AS option FROM funnel_perf WHERE device_category IS NOT NULL""")
     return q

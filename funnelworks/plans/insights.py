@@ -307,3 +307,10 @@ def apply_filters(df: DataFrame, start=None, end=None, devices=None, mediums=Non
             continue
         df = df.where(F.col(col).isin(*sel)) if len(sel) else df.where(F.lit(False))
     return df
+
+
+# ------------------------------------------------------------ SRT-7
+def filter_options(df: DataFrame, column: str) -> DataFrame:
+    """Sorted distinct non-NULL values of a dimension (the options of a global filter)."""
+    return (df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("option"))
+            .distinct().orderBy("option"))

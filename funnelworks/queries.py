@@ -535,3 +535,9 @@ def build_all(spark, sf_dir):
     t = _build(spark, raw(spark, sf_dir), out)
     # Retention and RFM are built from the event fixture here; the counts below are of what was written.
     return _qual.mart_row_counts(spark, {k: v for k, v in t.items() if k.startswith("mart_")})
+
+
+@register
+def filter_options(spark, sf_dir):
+    """SRT-7: device options of the global filter, from the funnel mart."""
+    return _ins.filter_options(funnel_mart(spark, sf_dir), "device_category")
