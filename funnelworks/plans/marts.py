@@ -171,15 +171,24 @@ def purchaser_metrics(ords: DataFrame) -> DataFrame:
                         F.datediff("analysis_reference_date", "last_order_date").cast("long")))
 
 
-def customer_rfm(ords: DataFrame, tiles: int = RFM_TILES, rows_per_range: int | None = None) -> DataFrame:
+def customer_rfm(ords: DataFrame, tiles: int = RFM_TILES, rows_per_range: int | None = None,
+                 materialize: str = "persist") -> DataFrame:
     """One row per purchaser: recency / frequency / money quintiles and a label.
 
     Quintiles are exact global ``ntile`` (see ``global_rank``), with
-    ``user_pseudo_id`` as the tie-break the reference lacks. The per-user
-    table is persisted because the tile step reads it three times (count,
-    bounded sample, final plan).
+    ``user_pseudo_id`` as the tie-break the reference lacks. The tile step
+    reads the per-user table three times (count, bounded sample, final
+    plan), so it is materialized once. Default ``"persist"``: cached, and a
+    lost executor only recomputes one aggregation of the orders;
+    ``"checkpoint"`` writes it as a table in the shared checkpoint folder
+    (cuts lineage, for long upstream plans); ``"none"`` recomputes.
     """
-    pm = purchaser_metrics(ords).persist()
+    pm = purchaser_metrics(ords)
+    if materialize == "checkpoint":
+        from funnelworks.sources.sinks import materialize as _write
+        pm = _write(pm, "rfm-purchasers")
+    elif materialize == "persist":
+        pm = pm.persist()
     specs = {
         "r_score": [SortKey("recency_days", False), SortKey("user_pseudo_id")],
         "f_score": [SortKey("frequency"), SortKey("user_pseudo_id")],

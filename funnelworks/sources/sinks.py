@@ -36,3 +36,17 @@ def write_experiment_tables(summary: DataFrame, guardrails: DataFrame, out_dir:
             w.option("header", True).csv(path)
         else:
             w.parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    One job (``checkpoint()`` computes the plan twice unless it is cached
+    first), the result survives lost executors, and the lineage is cut.
+    """
+    import uuid
+
+    from funnelworks.session import checkpoint_dir
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
