@@ -23,6 +23,14 @@ def event_param(key: str, value_type: str, params: str | Column = "event_params"
     return F.get(arr, (pos - 1).cast("int"))["value"][value_type]
 
 
+def event_param_sql(key: str, value_type: str, params: str = "event_params") -> str:
+    """``event_param`` as Spark SQL text (one expression string, same semantics)."""
+    if value_type not in VALUE_TYPES:
+        raise ValueError(f"value_type must be one of {VALUE_TYPES}, got {value_type!r}")
+    k = key.replace("'", "\\'")
+    return f"get({params}, CAST(array_position({params}.key, '{k}') - 1 AS INT)).value.{value_type}"
+
+
 def session_key(user: str | Column, session_id: str | Column) -> Column:
     """``user || '-' || session_id``; NULL when either side is NULL."""
     u = F.col(user) if isinstance(user, str) else user

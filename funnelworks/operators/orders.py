@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.functions.metrics import first_by_time
-from funnelworks.operators.sessions import transaction_key
+from funnelworks.functions import sql as S
+from funnelworks.operators.sessions import TRANSACTION_KEY
 from funnelworks.sources.schema import ORDER_COLUMNS
 
 
@@ -17,16 +17,16 @@ def orders(stg: DataFrame) -> DataFrame:
     the tie-break. Map-side partial aggregation collapses duplicate
     purchases of a hot key before the shuffle.
     """
-    pe = (stg.where(F.col("event_name") == "purchase")
-          .withColumn("order_transaction_key", transaction_key())
-          .where(F.col("order_transaction_key").isNotNull())
-          .withColumn("order_revenue_usd",
-                      F.coalesce(F.col("ecommerce_purchase_revenue_in_usd"),
-                                 F.col("ecommerce_purchase_revenue"), F.lit(0.0)))
-          .withColumnRenamed("ecommerce_total_item_quantity", "total_item_quantity"))
+    pe = (stg.where(f"event_name = 'purchase' AND {TRANSACTION_KEY} IS NOT NULL")
+          .selectExpr(f"{TRANSACTION_KEY} AS order_transaction_key", "event_timestamp_utc", "event_date_parsed",
+                      "user_pseudo_id", "session_key",
+                      "coalesce(ecommerce_purchase_revenue_in_usd, ecommerce_purchase_revenue, CAST(0 AS DOUBLE)) "
+                      "AS order_revenue_usd",
+                      "ecommerce_total_item_quantity AS total_item_quantity", "device_category", "country",
+                      "first_user_source", "first_user_medium"))
     values = ["event_date_parsed", "user_pseudo_id", "session_key", "order_revenue_usd", "total_item_quantity",
               "device_category", "country", "first_user_source", "first_user_medium"]
-    agg = pe.groupBy("order_transaction_key").agg(first_by_time(["event_timestamp_utc"], values).alias("f"))
+    agg = pe.groupBy("order_transaction_key").agg(F.expr(f"{S.first_by(['event_timestamp_utc'], values)} AS f"))
     rename = {"order_timestamp": "_o0", "order_date": "event_date_parsed"}
-    return agg.select("order_transaction_key", *[
-        F.col(f"f.{rename.get(c, c)}").alias(c) for c in ORDER_COLUMNS if c != "order_transaction_key"])
+    return agg.selectExpr("order_transaction_key", *[
+        f"f.{rename.get(c, c)} AS {c}" for c in ORDER_COLUMNS if c != "order_transaction_key"])

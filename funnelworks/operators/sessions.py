@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.functions.metrics import any_flag, count_when, first_by_time, money_sum
+from funnelworks.functions import sql as S
 from funnelworks.sources.schema import FUNNEL_COLUMNS, SESSION_COLUMNS, USER_COLUMNS
 
 # Presence flags of int_sessions: (column, event name).
@@ -42,71 +42,76 @@ FIRST_EVENT_ATTRS = [
 ]
 
 
+TRANSACTION_KEY = "coalesce(ecommerce_transaction_id, transaction_id)"
+
+
 def transaction_key() -> Column:
     """EXP-7: canonical transaction key."""
-    return F.coalesce(F.col("ecommerce_transaction_id"), F.col("transaction_id"))
+    return F.expr(TRANSACTION_KEY)
 
 
 def _session_aggs() -> list[Column]:
-    ts = F.col("event_timestamp_utc")
-    purchase = F.col("event_name") == "purchase"
-    aggs = [
-        F.min(ts).alias("session_start_timestamp"),
-        F.max(ts).alias("session_end_timestamp"),
-        F.min("event_date_parsed").alias("session_date"),
-        F.min("user_pseudo_id").alias("user_pseudo_id"),
-        F.count(F.lit(1)).alias("event_count"),
+    purchase = "event_name = 'purchase'"
+    pairs = [
+        ("session_start_timestamp", "min(event_timestamp_utc)"),
+        ("session_end_timestamp", "max(event_timestamp_utc)"),
+        ("session_date", "min(event_date_parsed)"),
+        ("user_pseudo_id", "min(user_pseudo_id)"),
+        ("event_count", "count(1)"),
     ]
-    aggs += [any_flag(F.col("event_name") == ev).alias(name) for name, ev in SESSION_FLAGS]
-    aggs += [
-        F.coalesce(money_sum(F.when(purchase, F.col("ecommerce_purchase_revenue_in_usd"))),
-                   F.lit(0.0)).alias("session_revenue_usd"),
-        F.countDistinct(F.when(purchase, transaction_key())).alias("transaction_count"),
-        F.sum(F.coalesce(F.col("engagement_time_msec"), F.lit(0))).alias("total_engagement_time_msec"),
-        first_by_time([ts], [c for c, _ in FIRST_EVENT_ATTRS]).alias("_first"),
+    pairs += [(name, S.any_flag(f"event_name = '{ev}'")) for name, ev in SESSION_FLAGS]
+    pairs += [
+        ("session_revenue_usd",
+         f"coalesce({S.money_sum(f'IF({purchase}, ecommerce_purchase_revenue_in_usd, NULL)')}, CAST(0 AS DOUBLE))"),
+        ("transaction_count", f"count(DISTINCT IF({purchase}, {TRANSACTION_KEY}, NULL))"),
+        ("total_engagement_time_msec", "sum(coalesce(engagement_time_msec, 0))"),
+        ("_first", S.first_by(["event_timestamp_utc"], [c for c, _ in FIRST_EVENT_ATTRS])),
     ]
-    return aggs
+    return [F.expr(e) for e in S.aliased(pairs)]
 
 
 def _funnel_time_aggs(steps) -> list[Column]:
-    ts = F.col("event_timestamp_utc")
-    return [F.min(F.when(F.col("event_name") == s, ts)).alias(f"first_{s}_time") for s in steps]
+    return [F.expr(f"min(IF(event_name = '{s}', event_timestamp_utc, NULL)) AS first_{s}_time") for s in steps]
 
 
-def funnel_flags(steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> list[Column]:
+def funnel_flag_sql(steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> list[str]:
     """Cumulative sequential flags: step n is reached iff the first times of
     steps 1..n all exist and never decrease (ties pass)."""
-    times = [F.col(f"first_{s}_time") for s in steps]
-    flags = [F.lit(True).alias("reached_session")]
+    times = [f"first_{s}_time" for s in steps]
+    flags = ["true AS reached_session"]
     for n, step in enumerate(steps):
-        cond = times[0].isNotNull()
+        conds = [f"{times[0]} IS NOT NULL"]
         for i in range(1, n + 1):
-            cond = cond & times[i].isNotNull() & (times[i] >= times[i - 1])
+            conds.append(f"{times[i]} IS NOT NULL AND {times[i]} >= {times[i - 1]}")
         name = f"reached_{step}" if n == 0 else f"reached_{step}_after_{labels[n - 1]}"
-        flags.append(cond.alias(name))
+        flags.append(f"({' AND '.join(conds)}) AS {name}")
     return flags
 
 
+def funnel_flags(steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> list[Column]:
+    return [F.expr(e) for e in funnel_flag_sql(steps, labels)]
+
+
 def _with_session_key(stg: DataFrame) -> DataFrame:
-    return stg.where(F.col("session_key").isNotNull())
+    return stg.where("session_key IS NOT NULL")
 
 
-def _session_select() -> list[Column]:
-    first = {out: F.col(f"_first.{src}").alias(out) for src, out in FIRST_EVENT_ATTRS}
-    return [first[c] if c in first else F.col(c) for c in SESSION_COLUMNS]
+def _session_select() -> list[str]:
+    first = {out: f"_first.{src} AS {out}" for src, out in FIRST_EVENT_ATTRS}
+    return [first.get(c, c) for c in SESSION_COLUMNS]
 
 
 def sessions(stg: DataFrame) -> DataFrame:
     """M-2: one row per ``session_key`` (events without a session are dropped)."""
-    return _with_session_key(stg).groupBy("session_key").agg(*_session_aggs()).select(*_session_select())
+    return _with_session_key(stg).groupBy("session_key").agg(*_session_aggs()).selectExpr(*_session_select())
 
 
 def session_funnel(stg: DataFrame, steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> DataFrame:
     """M-5: first time of each step per session and the sequential flags."""
     grouped = (_with_session_key(stg).groupBy("session_key", "user_pseudo_id")
-               .agg(F.min("event_timestamp_utc").alias("session_start_time"), *_funnel_time_aggs(steps)))
+               .agg(F.expr("min(event_timestamp_utc) AS session_start_time"), *_funnel_time_aggs(steps)))
     cols = ["session_key", "user_pseudo_id", "session_start_time"] + [f"first_{s}_time" for s in steps]
-    out = grouped.select(*cols, *funnel_flags(steps, labels))
+    out = grouped.selectExpr(*cols, *funnel_flag_sql(steps, labels))
     if tuple(steps) == FUNNEL_STEPS:
         out = out.select(*FUNNEL_COLUMNS)
     return out
@@ -121,28 +126,26 @@ def session_facts(stg: DataFrame, steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> D
     grouped = (_with_session_key(stg).groupBy("session_key")
                .agg(*_session_aggs(), *_funnel_time_aggs(steps)))
     time_cols = [f"first_{s}_time" for s in steps]
-    return grouped.select(*_session_select(), F.col("session_start_timestamp").alias("session_start_time"),
-                          *time_cols, *funnel_flags(steps, labels))
+    return grouped.selectExpr(*_session_select(), "session_start_timestamp AS session_start_time",
+                              *time_cols, *funnel_flag_sql(steps, labels))
 
 
 def users(sess: DataFrame) -> DataFrame:
     """M-3: one row per user from sessions (``session_key`` is unique there,
     so distinct session counts are plain counts)."""
-    first = first_by_time(["session_start_timestamp", "session_key"],
-                          ["device_category", "first_user_source", "first_user_medium", "first_user_campaign"])
-    agg = sess.groupBy("user_pseudo_id").agg(
-        F.min("session_date").alias("first_seen_date"),
-        F.max("session_date").alias("last_seen_date"),
-        F.count("session_key").alias("session_count"),
-        count_when(F.col("has_purchase")).alias("purchase_session_count"),
-        F.sum("transaction_count").alias("order_count"),
-        money_sum("session_revenue_usd").alias("total_revenue_usd"),
-        any_flag(F.col("has_purchase")).alias("is_purchaser"),
-        any_flag(F.col("has_search")).alias("has_ever_searched"),
-        first.alias("_first"),
-    )
-    return agg.select(*[
-        F.col("_first.device_category").alias("first_device_category") if c == "first_device_category"
-        else F.col(f"_first.{c}").alias(c) if c.startswith("first_user_") else F.col(c)
-        for c in USER_COLUMNS
-    ])
+    first = S.first_by(["session_start_timestamp", "session_key"],
+                       ["device_category", "first_user_source", "first_user_medium", "first_user_campaign"])
+    agg = sess.groupBy("user_pseudo_id").agg(*[F.expr(e) for e in S.aliased([
+        ("first_seen_date", "min(session_date)"),
+        ("last_seen_date", "max(session_date)"),
+        ("session_count", "count(session_key)"),
+        ("purchase_session_count", S.count_when("has_purchase")),
+        ("order_count", "sum(transaction_count)"),
+        ("total_revenue_usd", S.money_sum("session_revenue_usd")),
+        ("is_purchaser", S.any_flag("has_purchase")),
+        ("has_ever_searched", S.any_flag("has_search")),
+        ("_first", first),
+    ])])
+    rename = {"first_device_category": "_first.device_category AS first_device_category"}
+    return agg.selectExpr(*[rename.get(c, f"_first.{c} AS {c}" if c.startswith("first_user_") else c)
+                            for c in USER_COLUMNS])

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from funnelworks.functions.params import event_param, session_key
+from funnelworks.functions.params import event_param_sql
 from funnelworks.sources.events import date_range
 from funnelworks.sources.schema import STG_COLUMNS
 
@@ -27,38 +26,39 @@ def stage_events(raw: DataFrame, start: str | None = None, end: str | None = Non
                  lenient_dates: bool = False) -> DataFrame:
     """One row per event, columns of ``stg_ga4_events`` in order.
 
-    A single narrow projection: parameter lookups are higher-order functions
-    on the array, structs are flattened by dot access, the date range is a
-    partition filter when ``raw`` comes from ``scan_events``.
+    A single narrow projection, written as SQL expressions: parameter
+    lookups are array_position/get on the array (no explode, no lambda),
+    structs are flattened by dot access, and the date range is a partition
+    filter when ``raw`` comes from ``scan_events``. ``lenient_dates`` turns
+    a malformed ``event_date`` into NULL instead of an error.
     """
     raw = date_range(raw, start, end)
-    to_date = F.try_to_date if lenient_dates else F.to_date
-    p = {out: event_param(key, kind) for out, key, kind in STAGED_PARAMS}
+    parse = "try_to_date" if lenient_dates else "to_date"
+    p = {out: event_param_sql(key, kind) for out, key, kind in STAGED_PARAMS}
     cols = {
-        "event_date": F.col("event_date"),
-        "event_timestamp": F.col("event_timestamp"),
-        "event_timestamp_utc": F.timestamp_micros(F.col("event_timestamp")),
-        "event_date_parsed": to_date(F.col("event_date"), "yyyyMMdd"),
-        "event_name": F.col("event_name"),
-        "user_pseudo_id": F.col("user_pseudo_id"),
-        "ga_session_id": p["ga_session_id"],
-        "session_key": session_key("user_pseudo_id", p["ga_session_id"]),
-        "ecommerce_purchase_revenue": F.col("ecommerce.purchase_revenue"),
-        "ecommerce_purchase_revenue_in_usd": F.col("ecommerce.purchase_revenue_in_usd"),
-        "ecommerce_transaction_id": F.col("ecommerce.transaction_id"),
-        "ecommerce_total_item_quantity": F.col("ecommerce.total_item_quantity"),
-        "device_category": F.col("device.category"),
-        "operating_system": F.col("device.operating_system"),
-        "browser": F.col("device.web_info.browser"),
-        "country": F.col("geo.country"),
-        "city": F.col("geo.city"),
-        "continent": F.col("geo.continent"),
-        "sub_continent": F.col("geo.sub_continent"),
-        "first_user_source": F.col("traffic_source.source"),
-        "first_user_medium": F.col("traffic_source.medium"),
-        "first_user_campaign": F.col("traffic_source.name"),
-        "items": F.col("items"),
+        "event_date": "event_date",
+        "event_timestamp": "event_timestamp",
+        "event_timestamp_utc": "timestamp_micros(event_timestamp)",
+        "event_date_parsed": f"{parse}(event_date, 'yyyyMMdd')",
+        "event_name": "event_name",
+        "user_pseudo_id": "user_pseudo_id",
+        "session_key": f"IF(({p['ga_session_id']}) IS NOT NULL, "
+                       f"concat(user_pseudo_id, '-', CAST({p['ga_session_id']} AS STRING)), NULL)",
+        "ecommerce_purchase_revenue": "ecommerce.purchase_revenue",
+        "ecommerce_purchase_revenue_in_usd": "ecommerce.purchase_revenue_in_usd",
+        "ecommerce_transaction_id": "ecommerce.transaction_id",
+        "ecommerce_total_item_quantity": "ecommerce.total_item_quantity",
+        "device_category": "device.category",
+        "operating_system": "device.operating_system",
+        "browser": "device.web_info.browser",
+        "country": "geo.country",
+        "city": "geo.city",
+        "continent": "geo.continent",
+        "sub_continent": "geo.sub_continent",
+        "first_user_source": "traffic_source.source",
+        "first_user_medium": "traffic_source.medium",
+        "first_user_campaign": "traffic_source.name",
+        "items": "items",
+        **p,
     }
-    for out in p:
-        cols.setdefault(out, p[out])
-    return raw.select(*[cols[c].alias(c) for c in STG_COLUMNS])
+    return raw.selectExpr(*[f"{cols[c]} AS {c}" for c in STG_COLUMNS])

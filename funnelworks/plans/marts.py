@@ -15,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.functions.metrics import (
-    any_flag, count_when, money_sum, safe_divide, week_start, weeks_between,
-)
+from funnelworks.functions import sql as S
+from funnelworks.functions.metrics import safe_divide, week_start, weeks_between
 from funnelworks.operators.global_rank import SortKey, global_ntile
 
 RFM_TILES = 5
 
 
+def _exprs(pairs: list[tuple[str, str]]) -> list[Column]:
+    """Aggregate expressions from (name, SQL) pairs."""
+    return [F.expr(e) for e in S.aliased(pairs)]
+
+
 def _small_ordered(df: DataFrame, *cols) -> DataFrame:
     """Total order for an output of bounded size (days, segments, cohorts)."""
     return df.coalesce(1).sortWithinPartitions(*cols)
@@ -31,49 +35,55 @@ def _small_ordered(df: DataFrame, *cols) -> DataFrame:
 # ---------------------------------------------------------------- M-7
 def kpis_daily(sess: DataFrame, ords: DataFrame) -> DataFrame:
     """One row per session date; order days without sessions drop out (left join)."""
-    per_user = sess.groupBy("session_date", "user_pseudo_id").agg(
-        F.count("session_key").alias("n"),
-        count_when(F.col("has_view_item")).alias("pv"),
-        count_when(F.col("has_add_to_cart")).alias("atc"),
-        count_when(F.col("has_begin_checkout")).alias("chk"),
-        count_when(F.col("has_purchase")).alias("pur"),
-        count_when(F.col("has_search")).alias("srch"),
-        any_flag(F.col("has_purchase")).alias("buyer"),
-    )
-    daily = per_user.groupBy("session_date").agg(
-        F.count("user_pseudo_id").alias("daily_active_users"),
-        F.sum("n").alias("total_sessions"),
-        count_when(F.col("buyer") & F.col("user_pseudo_id").isNotNull()).alias("daily_purchasers"),
-        F.sum("pv").alias("sessions_with_product_view"),
-        F.sum("atc").alias("sessions_with_add_to_cart"),
-        F.sum("chk").alias("sessions_with_checkout"),
-        F.sum("pur").alias("sessions_with_purchase"),
-        F.sum("srch").alias("sessions_with_search"),
-    )
-    daily_orders = ords.groupBy(F.col("order_date").alias("session_date")).agg(
-        F.count("order_transaction_key").alias("total_orders"),
-        money_sum("order_revenue_usd").alias("total_revenue_usd"),
-    )
+    per_user = sess.groupBy("session_date", "user_pseudo_id").agg(*_exprs([
+        ("n", "count(session_key)"),
+        ("pv", S.count_when("has_view_item")),
+        ("atc", S.count_when("has_add_to_cart")),
+        ("chk", S.count_when("has_begin_checkout")),
+        ("pur", S.count_when("has_purchase")),
+        ("srch", S.count_when("has_search")),
+        ("buyer", S.any_flag("has_purchase")),
+    ]))
+    daily = per_user.groupBy("session_date").agg(*_exprs([
+        ("daily_active_users", "count(user_pseudo_id)"),
+        ("total_sessions", "sum(n)"),
+        ("daily_purchasers", S.count_when("buyer AND user_pseudo_id IS NOT NULL")),
+        ("sessions_with_product_view", "sum(pv)"),
+        ("sessions_with_add_to_cart", "sum(atc)"),
+        ("sessions_with_checkout", "sum(chk)"),
+        ("sessions_with_purchase", "sum(pur)"),
+        ("sessions_with_search", "sum(srch)"),
+    ]))
+    daily_orders = ords.groupBy(F.col("order_date").alias("session_date")).agg(*_exprs([
+        ("total_orders", "count(order_transaction_key)"),
+        ("total_revenue_usd", S.money_sum("order_revenue_usd")),
+    ]))
     # One row per calendar day on each side: the broadcast is bounded by the date range.
     j = daily.join(F.broadcast(daily_orders), "session_date", "left")
-    orders_n = F.coalesce(F.col("total_orders"), F.lit(0)).cast("long")
-    revenue = F.coalesce(F.col("total_revenue_usd"), F.lit(0.0))
-    out = j.select(
-        F.col("session_date").alias("report_date"),
-        "daily_active_users", "total_sessions", "daily_purchasers",
-        orders_n.alias("total_orders"), revenue.alias("total_revenue_usd"),
-        "sessions_with_product_view", "sessions_with_add_to_cart", "sessions_with_checkout",
-        "sessions_with_purchase", "sessions_with_search",
-        safe_divide("daily_purchasers", "daily_active_users").alias("user_conversion_rate"),
-        safe_divide("sessions_with_purchase", "total_sessions").alias("session_conversion_rate"),
-        safe_divide(revenue, orders_n).alias("avg_order_value_usd"),
-        safe_divide(revenue, "total_sessions").alias("revenue_per_session_usd"),
-        safe_divide("sessions_with_product_view", "total_sessions").alias("product_view_rate"),
-        safe_divide("sessions_with_add_to_cart", "sessions_with_product_view").alias("view_to_cart_rate"),
-        safe_divide("sessions_with_checkout", "sessions_with_add_to_cart").alias("cart_to_checkout_rate"),
-        safe_divide("sessions_with_purchase", "sessions_with_checkout").alias("checkout_to_purchase_rate"),
-        safe_divide("sessions_with_search", "total_sessions").alias("search_adoption_rate"),
-    )
+    orders_n = "CAST(coalesce(total_orders, 0) AS BIGINT)"
+    revenue = "coalesce(total_revenue_usd, CAST(0 AS DOUBLE))"
+    out = j.selectExpr(*S.aliased([
+        ("report_date", "session_date"),
+        ("daily_active_users", "daily_active_users"),
+        ("total_sessions", "total_sessions"),
+        ("daily_purchasers", "daily_purchasers"),
+        ("total_orders", orders_n),
+        ("total_revenue_usd", revenue),
+        ("sessions_with_product_view", "sessions_with_product_view"),
+        ("sessions_with_add_to_cart", "sessions_with_add_to_cart"),
+        ("sessions_with_checkout", "sessions_with_checkout"),
+        ("sessions_with_purchase", "sessions_with_purchase"),
+        ("sessions_with_search", "sessions_with_search"),
+        ("user_conversion_rate", S.safe_divide("daily_purchasers", "daily_active_users")),
+        ("session_conversion_rate", S.safe_divide("sessions_with_purchase", "total_sessions")),
+        ("avg_order_value_usd", S.safe_divide(revenue, orders_n)),
+        ("revenue_per_session_usd", S.safe_divide(revenue, "total_sessions")),
+        ("product_view_rate", S.safe_divide("sessions_with_product_view", "total_sessions")),
+        ("view_to_cart_rate", S.safe_divide("sessions_with_add_to_cart", "sessions_with_product_view")),
+        ("cart_to_checkout_rate", S.safe_divide("sessions_with_checkout", "sessions_with_add_to_cart")),
+        ("checkout_to_purchase_rate", S.safe_divide("sessions_with_purchase", "sessions_with_checkout")),
+        ("search_adoption_rate", S.safe_divide("sessions_with_search", "total_sessions")),
+    ]))
     return _small_ordered(out, "report_date")
 
 
@@ -99,18 +109,17 @@ def funnel_performance(funnel: DataFrame, sess: DataFrame | None = None) -> Data
         funnel = funnel.select("session_key", *[f for _, f in FUNNEL_COUNTS]).join(
             sess.select("session_key", "session_date", "device_category"), "session_key")
     agg = funnel.groupBy("session_date", "device_category").agg(
-        *[count_when(F.col(flag) & F.col("session_key").isNotNull()).alias(name)
-          for name, flag in FUNNEL_COUNTS])
-    out = agg.select(
-        F.col("session_date").alias("report_date"),
-        F.coalesce(F.col("device_category"), F.lit("unknown")).alias("device_category"),
-        *[name for name, _ in FUNNEL_COUNTS],
-        safe_divide("sessions_product_view", "sessions_entered").alias("rate_session_to_view"),
-        safe_divide("sessions_add_to_cart", "sessions_product_view").alias("rate_view_to_cart"),
-        safe_divide("sessions_begin_checkout", "sessions_add_to_cart").alias("rate_cart_to_checkout"),
-        safe_divide("sessions_purchase", "sessions_begin_checkout").alias("rate_checkout_to_purchase"),
-        safe_divide("sessions_purchase", "sessions_entered").alias("overall_conversion_rate"),
-    )
+        *_exprs([(name, S.count_when(f"{flag} AND session_key IS NOT NULL")) for name, flag in FUNNEL_COUNTS]))
+    out = agg.selectExpr(*S.aliased([
+        ("report_date", "session_date"),
+        ("device_category", "coalesce(device_category, 'unknown')"),
+        *[(name, name) for name, _ in FUNNEL_COUNTS],
+        ("rate_session_to_view", S.safe_divide("sessions_product_view", "sessions_entered")),
+        ("rate_view_to_cart", S.safe_divide("sessions_add_to_cart", "sessions_product_view")),
+        ("rate_cart_to_checkout", S.safe_divide("sessions_begin_checkout", "sessions_add_to_cart")),
+        ("rate_checkout_to_purchase", S.safe_divide("sessions_purchase", "sessions_begin_checkout")),
+        ("overall_conversion_rate", S.safe_divide("sessions_purchase", "sessions_entered")),
+    ]))
     return _small_ordered(out, "report_date", "device_category")
 
 
@@ -159,16 +168,15 @@ def rfm_label(r: Column, f: Column, m: Column) -> Column:
 
 
 def purchaser_metrics(ords: DataFrame) -> DataFrame:
-    pm = ords.groupBy("user_pseudo_id").agg(
-        F.count("order_transaction_key").alias("frequency"),
-        money_sum("order_revenue_usd").alias("monetary_value_usd"),
-        F.max("order_date").alias("last_order_date"),
-        F.min("order_date").alias("first_order_date"),
-    )
+    pm = ords.groupBy("user_pseudo_id").agg(*_exprs([
+        ("frequency", "count(order_transaction_key)"),
+        ("monetary_value_usd", S.money_sum("order_revenue_usd")),
+        ("last_order_date", "max(order_date)"),
+        ("first_order_date", "min(order_date)"),
+    ]))
     ref = ords.agg(F.max("order_date").alias("analysis_reference_date"))   # one row
     return (pm.crossJoin(F.broadcast(ref))
-            .withColumn("recency_days",
-                        F.datediff("analysis_reference_date", "last_order_date").cast("long")))
+            .withColumn("recency_days", F.expr("CAST(datediff(analysis_reference_date, last_order_date) AS BIGINT)")))
 
 
 def customer_rfm(ords: DataFrame, tiles: int = RFM_TILES, rows_per_range: int | None = None,
@@ -220,58 +228,56 @@ def segment_performance(sess: DataFrame, usrs: DataFrame) -> DataFrame:
     distinct counts. Labels are applied after grouping on the raw value,
     so NULL and a literal default label stay two rows, as in the reference.
     """
-    dims = F.array(
-        F.struct(F.lit("device_category").alias("t"), F.col("device_category").alias("v")),
-        F.struct(F.lit("acquisition_medium").alias("t"), F.col("first_user_medium").alias("v")),
-        F.struct(F.lit("search_adoption").alias("t"), F.col("has_search").cast("string").alias("v")),
-    )
-    stacked = sess.select("user_pseudo_id", "session_key", "has_purchase", "session_revenue_usd",
-                          "transaction_count", F.explode(dims).alias("d"))
-    per_user = stacked.groupBy(F.col("d.t").alias("t"), F.col("d.v").alias("v"), "user_pseudo_id").agg(
-        F.count("session_key").alias("n"),
-        count_when(F.col("has_purchase") & F.col("session_key").isNotNull()).alias("ps"),
-        any_flag(F.col("has_purchase")).alias("buyer"),
-        money_sum("session_revenue_usd").alias("rev"),
-        F.sum("transaction_count").alias("txn"),
-    )
-    seg = per_user.groupBy("t", "v").agg(
-        F.count("user_pseudo_id").alias("unique_users"),
-        F.sum("n").alias("total_sessions"),
-        F.sum("ps").alias("purchase_sessions"),
-        count_when(F.col("buyer") & F.col("user_pseudo_id").isNotNull()).alias("purchasers"),
-        money_sum("rev").alias("total_revenue_usd"),
-        F.sum("txn").alias("total_orders"),
-    )
-    label = (F.when(F.col("t") == "device_category", F.coalesce(F.col("v"), F.lit("unknown")))
-             .when(F.col("t") == "acquisition_medium", F.coalesce(F.col("v"), F.lit("(none)")))
-             .otherwise(F.when(F.col("v") == "true", F.lit("search_session"))
-                        .otherwise(F.lit("non_search_session"))))
-    session_level = seg.select(
-        F.col("t").alias("segment_type"), label.alias("segment_value"), "unique_users", "total_sessions",
-        "purchase_sessions", "purchasers", "total_revenue_usd", "total_orders",
-        safe_divide("purchase_sessions", "total_sessions").alias("session_conversion_rate"),
-        safe_divide("total_revenue_usd", "total_sessions").alias("revenue_per_session_usd"),
-        safe_divide("total_revenue_usd", "total_orders").alias("avg_order_value_usd"),
-    )
-    pu = usrs.groupBy("is_purchaser").agg(
-        F.count("user_pseudo_id").alias("unique_users"),
-        F.sum("session_count").alias("total_sessions"),
-        F.sum("purchase_session_count").alias("purchase_sessions"),
-        count_when(F.col("is_purchaser")).alias("purchasers"),
-        money_sum("total_revenue_usd").alias("total_revenue_usd"),
-        F.sum("order_count").alias("total_orders"),
-    )
-    user_level = pu.select(
-        F.lit("purchaser_status").alias("segment_type"),
-        F.when(F.col("is_purchaser"), F.lit("purchaser")).otherwise(F.lit("non_purchaser")).alias("segment_value"),
-        "unique_users", "total_sessions", "purchase_sessions", "purchasers", "total_revenue_usd", "total_orders",
-        safe_divide("purchase_sessions", "total_sessions").alias("session_conversion_rate"),
-        safe_divide("total_revenue_usd", "total_sessions").alias("revenue_per_session_usd"),
-        safe_divide("total_revenue_usd", "total_orders").alias("avg_order_value_usd"),
-    )
+    dims = ("array(named_struct('t', 'device_category', 'v', device_category), "
+            "named_struct('t', 'acquisition_medium', 'v', first_user_medium), "
+            "named_struct('t', 'search_adoption', 'v', CAST(has_search AS STRING)))")
+    stacked = sess.selectExpr("user_pseudo_id", "session_key", "has_purchase", "session_revenue_usd",
+                              "transaction_count", f"explode({dims}) AS d")
+    per_user = stacked.groupBy(F.col("d.t").alias("t"), F.col("d.v").alias("v"), "user_pseudo_id").agg(*_exprs([
+        ("n", "count(session_key)"),
+        ("ps", S.count_when("has_purchase AND session_key IS NOT NULL")),
+        ("buyer", S.any_flag("has_purchase")),
+        ("rev", S.money_sum("session_revenue_usd")),
+        ("txn", "sum(transaction_count)"),
+    ]))
+    seg = per_user.groupBy("t", "v").agg(*_exprs([
+        ("unique_users", "count(user_pseudo_id)"),
+        ("total_sessions", "sum(n)"),
+        ("purchase_sessions", "sum(ps)"),
+        ("purchasers", S.count_when("buyer AND user_pseudo_id IS NOT NULL")),
+        ("total_revenue_usd", S.money_sum("rev")),
+        ("total_orders", "sum(txn)"),
+    ]))
+    label = ("CASE WHEN t = 'device_category' THEN coalesce(v, 'unknown') "
+             "WHEN t = 'acquisition_medium' THEN coalesce(v, '(none)') "
+             "ELSE IF(v = 'true', 'search_session', 'non_search_session') END")
+    session_level = seg.selectExpr(*S.aliased([("segment_type", "t"), ("segment_value", label)]),
+                                   *_segment_metric_sql())
+    pu = usrs.groupBy("is_purchaser").agg(*_exprs([
+        ("unique_users", "count(user_pseudo_id)"),
+        ("total_sessions", "sum(session_count)"),
+        ("purchase_sessions", "sum(purchase_session_count)"),
+        ("purchasers", S.count_when("is_purchaser")),
+        ("total_revenue_usd", S.money_sum("total_revenue_usd")),
+        ("total_orders", "sum(order_count)"),
+    ]))
+    user_level = pu.selectExpr(*S.aliased([
+        ("segment_type", "'purchaser_status'"),
+        ("segment_value", "IF(is_purchaser, 'purchaser', 'non_purchaser')")]), *_segment_metric_sql())
     return session_level.unionByName(user_level).select(*SEGMENT_COLUMNS)
 
 
+def _segment_metric_sql() -> list[str]:
+    return S.aliased([
+        ("unique_users", "unique_users"), ("total_sessions", "total_sessions"),
+        ("purchase_sessions", "purchase_sessions"), ("purchasers", "purchasers"),
+        ("total_revenue_usd", "total_revenue_usd"), ("total_orders", "total_orders"),
+        ("session_conversion_rate", S.safe_divide("purchase_sessions", "total_sessions")),
+        ("revenue_per_session_usd", S.safe_divide("total_revenue_usd", "total_sessions")),
+        ("avg_order_value_usd", S.safe_divide("total_revenue_usd", "total_orders")),
+    ])
+
+
 # ---------------------------------------------------------------- M-12
 def product_performance(pe: DataFrame) -> DataFrame:
     """Purchase metrics per ``item_id`` (not deduplicated by transaction).
@@ -280,26 +286,25 @@ def product_performance(pe: DataFrame) -> DataFrame:
     count distinct sessions and users without ``Expand``; a hot item is
     combined map-side at every level.
     """
-    rev = F.coalesce(F.col("item_revenue_in_usd"), F.col("item_revenue"), F.col("price_in_usd"),
-                     F.col("price"), F.lit(0.0))
-    items = (pe.where((F.col("event_name") == "purchase") & F.col("item_id").isNotNull())
-             .select("item_id", "item_name", "item_brand", "item_category", "user_pseudo_id", "session_key",
-                     "event_date_parsed", F.coalesce(F.col("quantity"), F.lit(1)).alias("q"), rev.alias("r")))
-    names = [F.min(c).alias(c) for c in ("item_name", "item_brand", "item_category")]
-    l1 = items.groupBy("item_id", "user_pseudo_id", "session_key").agg(
-        *names, F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), money_sum("r").alias("r"),
-        F.min("event_date_parsed").alias("d0"), F.max("event_date_parsed").alias("d1"))
-    l2 = l1.groupBy("item_id", "user_pseudo_id").agg(
-        *names, F.sum("n").alias("n"), F.sum("q").alias("q"), money_sum("r").alias("r"),
-        F.count("session_key").alias("s"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
-    l3 = l2.groupBy("item_id").agg(
-        *names, F.sum("n").alias("purchase_event_count"), F.sum("q").alias("total_units_sold"),
-        F.count("user_pseudo_id").alias("unique_purchasers"), F.sum("s").alias("purchase_sessions"),
-        money_sum("r").alias("total_item_revenue_usd"),
-        F.min("d0").alias("first_purchase_date"), F.max("d1").alias("last_purchase_date"))
-    return l3.select(
+    items = pe.where("event_name = 'purchase' AND item_id IS NOT NULL").selectExpr(
+        "item_id", "item_name", "item_brand", "item_category", "user_pseudo_id", "session_key", "event_date_parsed",
+        "coalesce(quantity, 1) AS q",
+        "coalesce(item_revenue_in_usd, item_revenue, price_in_usd, price, CAST(0 AS DOUBLE)) AS r")
+    names = [(c, f"min({c})") for c in ("item_name", "item_brand", "item_category")]
+    l1 = items.groupBy("item_id", "user_pseudo_id", "session_key").agg(*_exprs([
+        *names, ("n", "count(1)"), ("q", "sum(q)"), ("r", S.money_sum("r")),
+        ("d0", "min(event_date_parsed)"), ("d1", "max(event_date_parsed)")]))
+    l2 = l1.groupBy("item_id", "user_pseudo_id").agg(*_exprs([
+        *names, ("n", "sum(n)"), ("q", "sum(q)"), ("r", S.money_sum("r")), ("s", "count(session_key)"),
+        ("d0", "min(d0)"), ("d1", "max(d1)")]))
+    l3 = l2.groupBy("item_id").agg(*_exprs([
+        *names, ("purchase_event_count", "sum(n)"), ("total_units_sold", "sum(q)"),
+        ("unique_purchasers", "count(user_pseudo_id)"), ("purchase_sessions", "sum(s)"),
+        ("total_item_revenue_usd", S.money_sum("r")),
+        ("first_purchase_date", "min(d0)"), ("last_purchase_date", "max(d1)")]))
+    return l3.selectExpr(
         "item_id", "item_name", "item_brand", "item_category", "purchase_event_count", "total_units_sold",
         "unique_purchasers", "purchase_sessions", "total_item_revenue_usd",
-        safe_divide("total_item_revenue_usd", "total_units_sold").alias("avg_revenue_per_unit_usd"),
+        f"{S.safe_divide('total_item_revenue_usd', 'total_units_sold')} AS avg_revenue_per_unit_usd",
         "first_purchase_date", "last_purchase_date",
     ).orderBy(F.col("total_item_revenue_usd").desc_nulls_last(), F.col("item_id"))

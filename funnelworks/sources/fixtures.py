@@ -104,7 +104,7 @@ def raw_events(events: DataFrame) -> DataFrame:
         f"{items} AS items",
     )
     # Cast to the declared schema so adapters and real sources are interchangeable.
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_EVENT.fields])
+    return out.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in RAW_EVENT.fields])
 
 
 def raw_events_from(spark: SparkSession, sf_dir: str) -> DataFrame:
