@@ -4,10 +4,16 @@ Staging is written once, projected and partitioned by ``event_date`` (the
 reference re-flattens raw events for each of its four readers); sessions
 and the funnel come from one aggregation; each model is read back from its
 written table, so the next model starts from stored data.
+
+Models whose inputs are ready are written concurrently (one Spark job per
+thread): the small marts cannot fill a cluster alone, and independent jobs
+share it instead of queueing.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from funnelworks.operators.orders import orders
@@ -20,25 +26,38 @@ from funnelworks.sources.sinks import as_table
 
 
 def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, start: str | None = None,
-              end: str | None = None) -> dict[str, DataFrame]:
+              end: str | None = None, max_parallel: int = 4) -> dict[str, DataFrame]:
     """Build staging, intermediates and marts under ``out_dir`` (a shared folder)."""
     base = out_dir.rstrip("/")
-    t = {}
-    t["stg_ga4_events"] = as_table(stage_events(raw, start, end), f"{base}/stg_ga4_events", ["event_date"])
-    stg = t["stg_ga4_events"]
-    facts = as_table(session_facts(stg), f"{base}/_session_facts")
-    t["int_sessions"] = as_table(facts.select(*SESSION_COLUMNS), f"{base}/int_sessions")
-    t["int_session_funnel"] = as_table(facts.select(*FUNNEL_COLUMNS), f"{base}/int_session_funnel")
-    t["int_orders"] = as_table(orders(stg), f"{base}/int_orders")
-    t["int_product_events"] = as_table(product_events(stg), f"{base}/int_product_events")
-    t["int_users"] = as_table(users(t["int_sessions"]), f"{base}/int_users")
-    s, o = t["int_sessions"], t["int_orders"]
-    t["mart_product_kpis_daily"] = as_table(marts.kpis_daily(s, o), f"{base}/mart_product_kpis_daily")
-    t["mart_funnel_performance"] = as_table(marts.funnel_performance(facts), f"{base}/mart_funnel_performance")
-    t["mart_retention_cohorts"] = as_table(marts.retention_cohorts(s), f"{base}/mart_retention_cohorts")
-    t["mart_customer_rfm"] = as_table(marts.customer_rfm(o), f"{base}/mart_customer_rfm")
-    t["mart_segment_performance"] = as_table(marts.segment_performance(s, t["int_users"]),
-                                             f"{base}/mart_segment_performance")
-    t["mart_product_performance"] = as_table(marts.product_performance(t["int_product_events"]),
-                                             f"{base}/mart_product_performance")
+    t: dict[str, DataFrame] = {}
+
+    def wave(jobs: dict) -> None:
+        """Write each (name -> (DataFrame builder, partition columns)) concurrently."""
+        def one(item):
+            name, (make, parts) = item
+            return name, as_table(make(), f"{base}/{name}", parts)
+        with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(jobs)))) as pool:
+            t.update(dict(pool.map(one, jobs.items())))
+
+    wave({"stg_ga4_events": (lambda: stage_events(raw, start, end), ["event_date"])})
+    wave({
+        "_session_facts": (lambda: session_facts(t["stg_ga4_events"]), None),
+        "int_orders": (lambda: orders(t["stg_ga4_events"]), None),
+        "int_product_events": (lambda: product_events(t["stg_ga4_events"]), None),
+    })
+    wave({
+        "int_sessions": (lambda: t["_session_facts"].select(*SESSION_COLUMNS), None),
+        "int_session_funnel": (lambda: t["_session_facts"].select(*FUNNEL_COLUMNS), None),
+        "mart_funnel_performance": (lambda: marts.funnel_performance(t["_session_facts"]), None),
+        "mart_customer_rfm": (lambda: marts.customer_rfm(t["int_orders"]), None),
+        "mart_product_performance": (lambda: marts.product_performance(t["int_product_events"]), None),
+    })
+    wave({
+        "int_users": (lambda: users(t["int_sessions"]), None),
+        "mart_product_kpis_daily": (lambda: marts.kpis_daily(t["int_sessions"], t["int_orders"]), None),
+        "mart_retention_cohorts": (lambda: marts.retention_cohorts(t["int_sessions"]), None),
+    })
+    wave({"mart_segment_performance": (lambda: marts.segment_performance(t["int_sessions"], t["int_users"]),
+                                       None)})
+    t.pop("_session_facts")
     return t
