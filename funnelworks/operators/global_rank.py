@@ -191,3 +191,31 @@ def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str,
                         / F.lit(float(MONEY_SCALE)))
             .withColumn(f"{out}_total", F.col("__total") / F.lit(float(MONEY_SCALE)))
             .drop(rid, "__m", "__coff", "__soff", "__total"))
+
+
+def grouped_median(df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str],
+                   out: str = "median", rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17) -> DataFrame:
+    """Exact interpolated median of ``value`` per group (NULLs ignored).
+
+    Rows get their global position under (group, value, tie-break) from the
+    range ranking above; each group's first position and size come from a
+    grouped count/min (combined map-side), and only the one or two middle
+    rows per group are kept. No group is ever gathered in one task, however
+    large. The tie-break must make rows unique (e.g. the unit id) so that a
+    heavily repeated value is still split across ranges.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*group_cols, value, *tiebreak)
+    keys = [SortKey(c) for c in group_cols] + [SortKey(value)] + [SortKey(c) for c in tiebreak]
+    splits = choose_splits(d, keys, d.count(), rows_per_range, seed)
+    ranked = global_rank(d, keys, "__pos", splits)
+    size = ranked.groupBy(*group_cols).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    local = F.col("__pos") - F.col("__first")
+    lo = F.floor((F.col("__n") - 1) / 2)
+    hi = F.ceil((F.col("__n") - 1) / 2)
+    mid = (ranked.join(size, group_cols)
+           .where((local == lo) | (local == hi))
+           .groupBy(*group_cols, "__n")
+           .agg(F.min(F.when(local == lo, F.col(value))).alias("__lo"),
+                F.max(F.when(local == hi, F.col(value))).alias("__hi")))
+    frac = (F.col("__n") - 1) / 2 - F.floor((F.col("__n") - 1) / 2)
+    return mid.select(*group_cols, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).alias(out))

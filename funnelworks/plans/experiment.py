@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.functions.metrics import count_when, money_sum, safe_divide
 from funnelworks.functions.stats import chi2_1df_p, two_sided_p, z_quantile
+from funnelworks.operators.global_rank import grouped_median
 
 # Fixed values of the analysis.
 ALPHA = 0.05
@@ -85,18 +86,26 @@ def srm(units: DataFrame, threshold: float = SRM_P_THRESHOLD) -> DataFrame:
 
 # ------------------------------------------------------------ AB-3
 def variant_metrics(units: DataFrame) -> DataFrame:
-    """One row per (experiment, variant)."""
-    return units.groupBy("experiment_id", "variant").agg(
+    """One row per (experiment, variant).
+
+    The median duration is exact and distributed (``grouped_median``): an
+    arm holding most of the units is never merged into one task.
+    """
+    m = units.groupBy("experiment_id", "variant").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("converted_purchase").cast("long").alias("conversions"),
         money_sum("revenue_usd").alias("revenue_usd"),
         (F.sum("payment_error").cast("double") / F.count("payment_error")).alias("payment_error_rate"),
         (F.sum("refund_or_cancelled").cast("double") / F.count("refund_or_cancelled")).alias("refund_rate"),
-        F.median("checkout_duration_seconds").alias("median_checkout_duration_seconds"),
-    ).select("experiment_id", "variant", "n", "conversions",
-             safe_divide("conversions", "n").alias("conversion_rate"), "revenue_usd",
-             safe_divide("revenue_usd", "n").alias("arpu"), "payment_error_rate", "refund_rate",
-             "median_checkout_duration_seconds")
+    )
+    med = grouped_median(units, ["experiment_id", "variant"], "checkout_duration_seconds", ["user_id"],
+                         "median_checkout_duration_seconds")
+    # both sides have one row per (experiment, variant)
+    return m.join(med, ["experiment_id", "variant"], "left").select(
+        "experiment_id", "variant", "n", "conversions",
+        safe_divide("conversions", "n").alias("conversion_rate"), "revenue_usd",
+        safe_divide("revenue_usd", "n").alias("arpu"), "payment_error_rate", "refund_rate",
+        "median_checkout_duration_seconds")
 
 
 def _wide(metrics: DataFrame) -> DataFrame:
@@ -256,26 +265,33 @@ def first_exposure(events: DataFrame, exposure_event: str = EXPOSURE_EVENT) -> D
 def attribution(events: DataFrame, exposure_event: str = EXPOSURE_EVENT) -> DataFrame:
     """Per (experiment, variant of first exposure): outcomes at or after the exposure only.
 
-    Equi-join on (experiment, user) plus ``outcome_ts >= exposure_ts``; a
-    user with a hot stream of outcomes is split by AQE's skew-join handling
-    (the exposure side has one row per user).
+    Inner equi-join on (experiment, user) plus ``outcome_ts >= exposure_ts``:
+    with an inner join AQE may split a skewed partition on either side, so a
+    user with a hot stream of outcomes is spread over tasks. Exposed users
+    are counted from the exposures alone and joined to the per-variant
+    totals (one row per experiment and variant on both sides).
     """
     exp = first_exposure(events, exposure_event)
     out = events.where(F.col("event_name") != exposure_event).select(
         "experiment_id", "user_pseudo_id", F.col("event_name").alias("outcome"),
         F.col("event_timestamp").alias("outcome_ts"), "revenue_usd")
-    j = exp.join(out, ["experiment_id", "user_pseudo_id"], "left")
-    after = F.coalesce(F.col("outcome_ts") >= F.col("exposure_ts"), F.lit(False))
+    j = exp.join(out, ["experiment_id", "user_pseudo_id"]).where(F.col("outcome_ts") >= F.col("exposure_ts"))
     per_user = j.groupBy("experiment_id", "variant", "user_pseudo_id").agg(
-        count_when((F.col("outcome") == "purchase") & after).alias("purchases"),
-        count_when((F.col("outcome") == "payment_error") & after).alias("payment_errors"),
-        money_sum(F.when((F.col("outcome") == "purchase") & after, F.col("revenue_usd"))).alias("revenue"))
-    agg = per_user.groupBy("experiment_id", "variant").agg(
-        F.count(F.lit(1)).alias("exposed_users"),
+        count_when(F.col("outcome") == "purchase").alias("purchases"),
+        count_when(F.col("outcome") == "payment_error").alias("payment_errors"),
+        money_sum(F.when(F.col("outcome") == "purchase", F.col("revenue_usd"))).alias("revenue"))
+    per_variant = per_user.groupBy("experiment_id", "variant").agg(
         count_when(F.col("purchases") > 0).alias("converted_users"),
-        F.coalesce(F.sum("purchases"), F.lit(0)).cast("long").alias("purchases"),
-        F.coalesce(money_sum("revenue"), F.lit(0.0)).alias("revenue_usd"),
-        F.coalesce(F.sum("payment_errors"), F.lit(0)).cast("long").alias("payment_errors"))
+        F.sum("purchases").alias("purchases"),
+        money_sum("revenue").alias("revenue_usd"),
+        F.sum("payment_errors").alias("payment_errors"))
+    exposed = exp.groupBy("experiment_id", "variant").agg(F.count(F.lit(1)).alias("exposed_users"))
+    agg = exposed.join(per_variant, ["experiment_id", "variant"], "left").select(
+        "experiment_id", "variant", "exposed_users",
+        F.coalesce(F.col("converted_users"), F.lit(0)).cast("long").alias("converted_users"),
+        F.coalesce(F.col("purchases"), F.lit(0)).cast("long").alias("purchases"),
+        F.coalesce(F.col("revenue_usd"), F.lit(0.0)).alias("revenue_usd"),
+        F.coalesce(F.col("payment_errors"), F.lit(0)).cast("long").alias("payment_errors"))
     return agg.withColumn("conversion_rate", safe_divide("converted_users", "exposed_users"))
 
 

@@ -56,3 +56,23 @@ def test_no_single_task_window_over_rows(spark):
         .queryExecution().executedPlan().toString()
     # the per-row window is partitioned by the range id
     assert "__t_pos_range" in plan and "Window [row_number()" in plan
+
+
+@pytest.mark.parametrize("rows_per_range", [5, 1_000_000])
+def test_grouped_median_matches_pandas(spark, rows_per_range):
+    import pandas as pd
+
+    from funnelworks.operators.global_rank import grouped_median
+    rnd = random.Random(11)
+    rows = []
+    for i in range(300):
+        g = rnd.choice(["a", "a", "a", "b", "c"])           # "a" is the hot group
+        v = rnd.choice([20.0, 20.0, 21.0, 35.5, None, float(rnd.randint(0, 99))])
+        rows.append((g, f"id{i}", v))
+    rows.append(("d", "solo", 7.0))                          # single-row group
+    df = spark.createDataFrame(rows, "g string, id string, v double")
+    got = {r.g: r.median for r in grouped_median(df, ["g"], "v", ["id"], rows_per_range=rows_per_range).collect()}
+    want = pd.DataFrame(rows, columns=["g", "id", "v"]).groupby("g")["v"].median().to_dict()
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=0, abs=1e-12)
