@@ -160,13 +160,17 @@ def global_ntile(df: DataFrame, specs: dict[str, list[SortKey]], k: int = 5,
 
 
 def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str,
-                rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17) -> DataFrame:
+                rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17, persist: bool = True) -> DataFrame:
     """Adds ``out`` (running sum of the money column ``value`` under ``keys``),
     ``out_total`` (grand total), ``out_pos`` (0-based position), ``out_n`` (rows).
 
     Sums are exact integer micro-units, so the result does not depend on
-    how rows were split into ranges.
+    how rows were split into ranges. The input is read three times (count,
+    bounded sample, final plan), so it is cached once unless ``persist`` is
+    False (pass False when ``df`` is already cached or stored).
     """
+    if persist:
+        df = df.persist()
     n_rows = df.count()
     splits = choose_splits(df, keys, n_rows, rows_per_range, seed)
     rid = f"__{out}_range"
