@@ -23,7 +23,8 @@ def as_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     spark: SparkSession = df.sparkSession
-    return spark.read.parquet(path)
+    # the schema is known: no footer-reading inference job on read-back
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_experiment_tables(summary: DataFrame, guardrails: DataFrame, out_dir: str,
@@ -49,4 +50,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     from funnelworks.session import checkpoint_dir
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
