@@ -42,14 +42,10 @@ FIRST_EVENT_ATTRS = [
 ]
 
 
+# EXP-7: canonical transaction key.
 TRANSACTION_KEY = "coalesce(ecommerce_transaction_id, transaction_id)"
 
 
-def transaction_key() -> Column:
-    """EXP-7: canonical transaction key."""
-    return F.expr(TRANSACTION_KEY)
-
-
 def _session_aggs() -> list[Column]:
     purchase = "event_name = 'purchase'"
     pairs = [
@@ -88,10 +84,6 @@ def funnel_flag_sql(steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> list[str]:
     return flags
 
 
-def funnel_flags(steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> list[Column]:
-    return [F.expr(e) for e in funnel_flag_sql(steps, labels)]
-
-
 def _with_session_key(stg: DataFrame) -> DataFrame:
     return stg.where("session_key IS NOT NULL")
 

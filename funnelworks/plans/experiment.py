@@ -118,8 +118,15 @@ def _wide(metrics: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ AB-4...AB-8
-def analysis(units: DataFrame) -> DataFrame:
-    """Lift, z-test, interval, power and decision: one row per experiment."""
+def analysis(units: DataFrame, interval: str = "per_arm") -> DataFrame:
+    """Lift, z-test, interval, power and decision: one row per experiment.
+
+    ``interval="per_arm"`` (the reference): the lift interval is the
+    difference of the two per-arm normal intervals, [t_lo - c_hi, t_hi - c_lo],
+    wider than a Wald interval. ``interval="wald"``: (t - c) +- z * sqrt(t(1-t)/n_t + c(1-c)/n_c).
+    """
+    if interval not in ("per_arm", "wald"):
+        raise ValueError("interval must be 'per_arm' or 'wald'")
     w = _wide(variant_metrics(units))
     pc, pt = F.col("conversion_rate_c"), F.col("conversion_rate_t")
     nc, nt = F.col("n_c").cast("double"), F.col("n_t").cast("double")
@@ -128,14 +135,15 @@ def analysis(units: DataFrame) -> DataFrame:
     z = F.try_divide(pt - pc, F.nullif(se, F.lit(0.0)))
     half_t = F.lit(Z_ALPHA) * F.sqrt(F.try_divide(pt * (1 - pt), nt))
     half_c = F.lit(Z_ALPHA) * F.sqrt(F.try_divide(pc * (1 - pc), nc))
+    wald = F.lit(Z_ALPHA) * F.sqrt(F.try_divide(pt * (1 - pt), nt) + F.try_divide(pc * (1 - pc), nc))
     out = w.select(
         "experiment_id", "n_c", "n_t", "conversions_c", "conversions_t",
         pc.alias("cvr_control"), pt.alias("cvr_treatment"),
         (pt - pc).alias("absolute_lift"),
         F.when(pc > 0, (pt - pc) / pc).otherwise(F.lit(0.0)).alias("relative_lift"),
         z.alias("z_stat"),
-        ((pt - half_t) - (pc + half_c)).alias("diff_ci_low"),
-        ((pt + half_t) - (pc - half_c)).alias("diff_ci_high"),
+        (((pt - half_t) - (pc + half_c)) if interval == "per_arm" else ((pt - pc) - wald)).alias("diff_ci_low"),
+        (((pt + half_t) - (pc - half_c)) if interval == "per_arm" else ((pt - pc) + wald)).alias("diff_ci_high"),
         F.col("arpu_c").alias("arpu_control"), F.col("arpu_t").alias("arpu_treatment"),
         F.col("payment_error_rate_c").alias("payment_error_rate_control"),
         F.col("payment_error_rate_t").alias("payment_error_rate_treatment"),

@@ -97,17 +97,22 @@ FUNNEL_COUNTS = [
 ]
 
 
-def funnel_performance(funnel: DataFrame, sess: DataFrame | None = None) -> DataFrame:
+def funnel_performance(funnel: DataFrame, sess: DataFrame | None = None,
+                       normalize_first: bool = False) -> DataFrame:
     """By (date, device): five step counts, four step rates and the overall rate.
 
     Pass the output of ``session_facts`` alone (fused path, no join), or
     ``session_funnel`` plus ``sessions`` (model path: inner join on
     ``session_key``; both sides are hash-partitioned by it).
-    Grouping is on the raw device, the label is defaulted afterwards.
+    Grouping is on the raw device and the label is defaulted afterwards, so
+    NULL and a literal 'unknown' stay two rows (the reference's behaviour);
+    ``normalize_first`` groups on the defaulted label instead.
     """
     if sess is not None:
         funnel = funnel.select("session_key", *[f for _, f in FUNNEL_COUNTS]).join(
             sess.select("session_key", "session_date", "device_category"), "session_key")
+    if normalize_first:
+        funnel = funnel.withColumn("device_category", F.expr("coalesce(device_category, 'unknown')"))
     agg = funnel.groupBy("session_date", "device_category").agg(
         *_exprs([(name, S.count_when(f"{flag} AND session_key IS NOT NULL")) for name, flag in FUNNEL_COUNTS]))
     out = agg.selectExpr(*S.aliased([
@@ -219,17 +224,20 @@ SEGMENT_COLUMNS = [
 ]
 
 
-def segment_performance(sess: DataFrame, usrs: DataFrame) -> DataFrame:
+def segment_performance(sess: DataFrame, usrs: DataFrame, normalize_first: bool = False) -> DataFrame:
     """Device, medium and search segments (session level) plus purchaser status (user level).
 
     The three session-level segmentations share one scan: each session is
     emitted once per segmentation with its raw group value, then two levels
     of aggregation ((type, value, user) then (type, value)) replace the
     distinct counts. Labels are applied after grouping on the raw value,
-    so NULL and a literal default label stay two rows, as in the reference.
+    so NULL and a literal default label stay two rows, as in the reference;
+    ``normalize_first`` applies the default labels before grouping instead.
     """
-    dims = ("array(named_struct('t', 'device_category', 'v', device_category), "
-            "named_struct('t', 'acquisition_medium', 'v', first_user_medium), "
+    device, medium = (("coalesce(device_category, 'unknown')", "coalesce(first_user_medium, '(none)')")
+                      if normalize_first else ("device_category", "first_user_medium"))
+    dims = (f"array(named_struct('t', 'device_category', 'v', {device}), "
+            f"named_struct('t', 'acquisition_medium', 'v', {medium}), "
             "named_struct('t', 'search_adoption', 'v', CAST(has_search AS STRING)))")
     stacked = sess.selectExpr("user_pseudo_id", "session_key", "has_purchase", "session_revenue_usd",
                               "transaction_count", f"explode({dims}) AS d")

@@ -56,10 +56,6 @@ SCHEMA_TESTS = [
 ]
 
 
-def _one_row(df: DataFrame, *aggs: Column) -> DataFrame:
-    return df.agg(*aggs)
-
-
 # ------------------------------------------------------------ Q-1
 def source_coverage(raw: DataFrame) -> DataFrame:
     per_date = raw.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))      # one row per date

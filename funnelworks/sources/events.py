@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +66,3 @@ def load_mart(spark: SparkSession, name: str, mode: str = "static", base: str |
     if mode in ("table", "warehouse", "catalog"):
         return spark.table(name)
     raise ValueError(f"invalid data mode {mode!r}: use 'static' or 'table'")
-
-
-def local_path(path: str) -> str:
-    return os.path.abspath(path)

@@ -60,3 +60,9 @@ def test_incremental_staging_is_exactly_once(spark, tmp_dir):
     stage_incrementally(spark, f"{tmp_dir}/raw", f"{tmp_dir}/stg", f"{tmp_dir}/ckpt")
     stage_incrementally(spark, f"{tmp_dir}/raw", f"{tmp_dir}/stg", f"{tmp_dir}/ckpt")   # nothing new
     assert spark.read.parquet(f"{tmp_dir}/stg").count() == raw.count() > n1
+
+
+def test_view_materialization(spark):
+    from funnelworks.sources.sinks import as_view
+    as_view(spark.range(3), "fw_view_test")
+    assert spark.sql("SELECT count(*) AS n FROM fw_view_test").first().n == 3

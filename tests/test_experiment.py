@@ -120,3 +120,23 @@ def test_attribution_ignores_outcomes_before_exposure(spark):
     assert (r["control"].purchases, r["control"].revenue_usd, r["control"].converted_users) == (1, 4.0, 1)
     assert (r["treatment"].purchases, r["treatment"].payment_errors) == (0, 1)
     assert ab.missing_exposure(ev).count() == 0
+
+
+def test_wald_interval_option(spark):
+    df = units(spark, [("control", 400, 40, 0, 0, 10.0), ("treatment", 400, 60, 0, 0, 10.0)])
+    a = ab.analysis(df, interval="wald").first()
+    z = NormalDist().inv_cdf(0.975)
+    se = math.sqrt(0.15 * 0.85 / 400 + 0.1 * 0.9 / 400)
+    assert (a.diff_ci_low, a.diff_ci_high) == (pytest.approx(0.05 - z * se), pytest.approx(0.05 + z * se))
+    per_arm = ab.analysis(df).first()
+    assert per_arm.diff_ci_low < a.diff_ci_low and per_arm.diff_ci_high > a.diff_ci_high
+    with pytest.raises(ValueError):
+        ab.analysis(df, interval="exact")
+
+
+def test_experiment_tables_written(spark, tmp_dir):
+    from funnelworks.sources.sinks import write_experiment_tables
+    df = units(spark, [("control", 50, 5, 0, 0, 10.0), ("treatment", 50, 6, 0, 0, 10.0)])
+    write_experiment_tables(ab.summary(df), ab.guardrails(df), tmp_dir, fmt="csv")
+    back = spark.read.option("header", True).csv(f"{tmp_dir}/guardrails_by_variant")
+    assert back.count() == 4 and "median_duration" in {r.metric for r in back.collect()}

@@ -144,3 +144,15 @@ def test_rfm_fewer_purchasers_than_tiles(spark):
     assert (r["u1"].recency_days, r["u2"].recency_days) == (2, 0)
     assert (r["u1"].r_score, r["u2"].r_score) == (1, 2)      # recency desc: most recent scores highest
     assert (r["u1"].m_score, r["u2"].m_score) == (2, 1)
+
+
+def test_normalize_first_merges_null_and_literal_label(spark):
+    rows = [ev("page_view", "a", 1, medium=None, device=None), ev("page_view", "b", 1, medium="(none)", device="unknown")]
+    s = stg(spark, rows)
+    se = sessions(s)
+    seg = marts.segment_performance(se, users(se), normalize_first=True)
+    med = [r for r in seg.collect() if r.segment_type == "acquisition_medium"]
+    assert [(r.segment_value, r.unique_users) for r in med] == [("(none)", 2)]
+    f = marts.funnel_performance(session_facts(s), normalize_first=True).collect()
+    assert [(r.device_category, r.sessions_entered) for r in f] == [("unknown", 2)]
+    assert len(marts.funnel_performance(session_facts(s)).collect()) == 2
