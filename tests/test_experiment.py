@@ -140,3 +140,32 @@ def test_experiment_tables_written(spark, tmp_dir):
     write_experiment_tables(ab.summary(df), ab.guardrails(df), tmp_dir, fmt="csv")
     back = spark.read.option("header", True).csv(f"{tmp_dir}/guardrails_by_variant")
     assert back.count() == 4 and "median_duration" in {r.metric for r in back.collect()}
+
+
+def test_attribution_with_a_hot_user_matches_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for u in range(40):
+        user = "hot" if u == 0 else f"u{u}"
+        rows.append(("experiment_impression", "x", "control" if u % 2 else "treatment", user, 1000 + u, None, None))
+        for k in range(600 if u == 0 else rnd.randint(0, 6)):           # the hot user: most of all outcomes
+            kind = rnd.choice(["purchase", "payment_error"])
+            rows.append((kind, "x", None, user, rnd.randint(900, 1200), f"t{u}-{k}",
+                         round(rnd.random() * 50, 2) if kind == "purchase" else None))
+    ev = spark.createDataFrame(rows, "event_name string, experiment_id string, variant string, "
+                                     "user_pseudo_id string, event_timestamp bigint, transaction_id string, "
+                                     "revenue_usd double")
+    got = {r.variant: r for r in ab.attribution(ev).collect()}
+    expo = {r[3]: (r[2], r[4]) for r in rows if r[0] == "experiment_impression"}
+    want = {}
+    for v in ("control", "treatment"):
+        users = [u for u, (var, _) in expo.items() if var == v]
+        after = [r for r in rows if r[0] != "experiment_impression" and r[3] in users and r[4] >= expo[r[3]][1]]
+        buyers = {r[3] for r in after if r[0] == "purchase"}
+        want[v] = (len(users), len(buyers), sum(r[0] == "purchase" for r in after),
+                   round(sum(r[6] for r in after if r[0] == "purchase"), 6),
+                   sum(r[0] == "payment_error" for r in after))
+    for v, w in want.items():
+        g = got[v]
+        assert (g.exposed_users, g.converted_users, g.purchases, round(g.revenue_usd, 6), g.payment_errors) == w

@@ -156,3 +156,12 @@ def test_normalize_first_merges_null_and_literal_label(spark):
     f = marts.funnel_performance(session_facts(s), normalize_first=True).collect()
     assert [(r.device_category, r.sessions_entered) for r in f] == [("unknown", 2)]
     assert len(marts.funnel_performance(session_facts(s)).collect()) == 2
+
+
+def test_retention_invariants_on_orders_fixture(spark):
+    from conftest import SF_CHECK
+    import __spark_entry__ as entry
+    r = entry.queries()["retention_cohorts"](spark, SF_CHECK)
+    week0 = r.where("activity_week_index = 0").collect()
+    assert week0 and all(x.retention_rate == 1.0 and x.retained_users == x.cohort_size for x in week0)
+    assert r.where("retained_users > cohort_size OR activity_week_index < 0").count() == 0

@@ -40,3 +40,29 @@ def test_broadcasts_only_bounded_sides(spark):
     plan = _plan(entry.queries()["kpis_daily"](spark, SF_SMALL))
     # the only broadcast is the per-day order table
     assert plan.count("BroadcastExchange") == 1
+
+
+def _exchange_children(plan: str) -> list[str]:
+    """First non-Project operator below every hash-partitioning Exchange in a plan string."""
+    lines = plan.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            j = i + 1
+            while j < len(lines) and lines[j].strip().startswith("+- Project"):
+                j += 1
+            if j < len(lines):
+                out.append(lines[j].strip())
+    return out
+
+
+def test_every_shuffle_is_fed_by_an_aggregate(spark):
+    """Map-side combine before each shuffle: a hot key is reduced to one row per
+    map task before it is sent anywhere (the skew rule for grouped models)."""
+    q = entry.queries()
+    for name in ("sessions", "users", "orders", "session_funnel", "kpis_daily", "funnel_performance",
+                 "segment_performance", "product_performance", "retention_cohorts", "event_inventory"):
+        children = _exchange_children(_plan(q[name](spark, SF_SMALL)))
+        assert children, name
+        for child in children:
+            assert "Aggregate" in child, f"{name}: shuffle fed by {child[:80]}"
