@@ -46,7 +46,8 @@ def safe_extract(df: DataFrame) -> DataFrame:
     return normalize_dates(clean_labels(drop_forbidden(df)))
 
 
-def write_extracts(spark: SparkSession, marts: dict[str, DataFrame], out_dir: str) -> DataFrame:
+def write_extracts(spark: SparkSession, marts: dict[str, DataFrame], out_dir: str,
+                   source_dataset: str = "") -> DataFrame:
     """SNK-2 + SNK-3: one Parquet folder per mart, plus a metadata record.
 
     Marts are small, so each is coalesced to one file. Errors propagate.
@@ -55,7 +56,8 @@ def write_extracts(spark: SparkSession, marts: dict[str, DataFrame], out_dir: st
     for name, df in marts.items():
         safe_extract(df).coalesce(1).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
     meta = spark.createDataFrame(
-        [(_dt.datetime.now(_dt.timezone.utc).isoformat(), DISCLOSURE, list(marts))],
-        "export_timestamp_utc string, dataset_disclosure string, tables_exported array<string>")
+        [(_dt.datetime.now(_dt.timezone.utc).isoformat(), source_dataset, DISCLOSURE, list(marts))],
+        "export_timestamp_utc string, source_dataset string, dataset_disclosure string, "
+        "tables_exported array<string>")
     meta.coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/metadata")
     return meta

@@ -6,7 +6,7 @@ are counted by a two-level aggregation (first per (group, user), then per
 group), so no ``Expand`` multiplies rows and every level combines map-side
 before its shuffle: a hot user or a hot group value never lands whole in
 one task. Outputs whose size is bounded by the calendar or by the number of
-segment values are ordered in one task after their last shuffle
+segment values are ordered in one task after their final aggregation
 (``_small_ordered``); item-level output is range-sorted.
 """
 
@@ -28,8 +28,13 @@ def _exprs(pairs: list[tuple[str, str]]) -> list[Column]:
 
 
 def _small_ordered(df: DataFrame, *cols) -> DataFrame:
-    """Total order for an output of bounded size (days, segments, cohorts)."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    """Total order for an output of bounded size (days, segments, cohorts).
+
+    ``repartition(1)`` (not ``coalesce(1)``, which would pull the final
+    aggregation itself into one task) moves only the finished rows; the
+    sort then needs no sampling job.
+    """
+    return df.repartition(1).sortWithinPartitions(*cols)
 
 
 # ---------------------------------------------------------------- M-7
