@@ -59,13 +59,33 @@ def _session_aggs() -> list[Column]:
     pairs += [
         ("session_revenue_usd",
          f"coalesce({S.money_sum(f'IF({purchase}, ecommerce_purchase_revenue_in_usd, NULL)')}, CAST(0 AS DOUBLE))"),
-        ("transaction_count", f"count(DISTINCT IF({purchase}, {TRANSACTION_KEY}, NULL))"),
         ("total_engagement_time_msec", "sum(coalesce(engagement_time_msec, 0))"),
         ("_first", S.first_by(["event_timestamp_utc"], [c for c, _ in FIRST_EVENT_ATTRS])),
     ]
     return [F.expr(e) for e in S.aliased(pairs)]
 
 
+def _transaction_counts(ev: DataFrame) -> DataFrame:
+    """Distinct transaction keys of purchase events per session.
+
+    Counted apart from the session aggregation: a ``count(DISTINCT ...)``
+    inside it would make Spark shuffle every session twice, while purchase
+    events are a small share of all events. The result is hash-partitioned
+    by ``session_key`` like the session aggregation, so joining the two
+    adds no exchange.
+    """
+    return (ev.where(f"event_name = 'purchase' AND {TRANSACTION_KEY} IS NOT NULL")
+            .selectExpr("session_key", f"{TRANSACTION_KEY} AS t").distinct()
+            .groupBy("session_key").agg(F.expr("count(1) AS transaction_count")))
+
+
+def _aggregate_sessions(stg: DataFrame, extra: list[Column]) -> DataFrame:
+    ev = _with_session_key(stg)
+    main = ev.groupBy("session_key").agg(*_session_aggs(), *extra)
+    return (main.join(_transaction_counts(ev), "session_key", "left")
+            .withColumn("transaction_count", F.expr("coalesce(transaction_count, CAST(0 AS BIGINT))")))
+
+
 def _funnel_time_aggs(steps) -> list[Column]:
     return [F.expr(f"min(IF(event_name = '{s}', event_timestamp_utc, NULL)) AS first_{s}_time") for s in steps]
 
@@ -95,7 +115,7 @@ def _session_select() -> list[str]:
 
 def sessions(stg: DataFrame) -> DataFrame:
     """M-2: one row per ``session_key`` (events without a session are dropped)."""
-    return _with_session_key(stg).groupBy("session_key").agg(*_session_aggs()).selectExpr(*_session_select())
+    return _aggregate_sessions(stg, []).selectExpr(*_session_select())
 
 
 def session_funnel(stg: DataFrame, steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> DataFrame:
@@ -115,8 +135,7 @@ def session_facts(stg: DataFrame, steps=FUNNEL_STEPS, labels=FUNNEL_LABELS) -> D
     Both models read the same filtered events and group by the same key, so
     the funnel mart's join of the two disappears on this path.
     """
-    grouped = (_with_session_key(stg).groupBy("session_key")
-               .agg(*_session_aggs(), *_funnel_time_aggs(steps)))
+    grouped = _aggregate_sessions(stg, _funnel_time_aggs(steps))
     time_cols = [f"first_{s}_time" for s in steps]
     return grouped.selectExpr(*_session_select(), "session_start_timestamp AS session_start_time",
                               *time_cols, *funnel_flag_sql(steps, labels))
