@@ -43,9 +43,11 @@ def _c(name: str) -> Column:
 # ------------------------------------------------------------ AB-1
 def validity(units: DataFrame) -> DataFrame:
     """Per experiment: the unit-table checks (each ``True`` when it holds)."""
+    # "not exactly one variant" = no variant, or min != max: one shuffle, no distinct count
     per_user = (units.groupBy("experiment_id", "user_id")
-                .agg(F.countDistinct("variant").alias("nv"))
-                .groupBy("experiment_id").agg(count_when(F.col("nv") != 1).alias("multi_variant_users")))
+                .agg(F.min("variant").alias("v0"), F.max("variant").alias("v1"))
+                .groupBy("experiment_id")
+                .agg(count_when(F.col("v0").isNull() | (F.col("v0") != F.col("v1"))).alias("multi_variant_users")))
     bad_variant = ~F.coalesce(F.col("variant").isin(*VARIANTS), F.lit(False))
     rows = units.groupBy("experiment_id").agg(
         F.count(F.lit(1)).alias("n_units"),
