@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from funnelworks.operators.staging import stage_events
 from funnelworks.sources.events import date_range
@@ -13,18 +13,17 @@ def stage_incrementally(spark: SparkSession, raw_path: str, out_path: str, check
                         start: str | None = None, end: str | None = None):
     """Stage every raw file not processed yet, then stop (``availableNow``).
 
-    The file source tracks processed files in ``checkpoint`` (on the shared
-    folder), so a rerun after a failure neither skips nor repeats files;
-    each micro-batch appends staged rows partitioned by ``event_date``.
+    The file source records processed files and the Parquet file sink
+    records committed output in its ``_spark_metadata`` log, both under the
+    shared folders given, so a rerun after a failure neither skips nor
+    duplicates anything (exactly-once); readers of ``out_path`` see only
+    committed files. Output is partitioned by ``event_date``.
     Returns the finished ``StreamingQuery``.
     """
     raw = spark.readStream.schema(RAW_EVENT).parquet(raw_path)
     staged = stage_events(date_range(raw, start, end))
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").partitionBy("event_date").parquet(out_path)
-
-    q = (staged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    q = (staged.writeStream.format("parquet").partitionBy("event_date")
+         .option("path", out_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
