@@ -165,3 +165,13 @@ def test_retention_invariants_on_orders_fixture(spark):
     week0 = r.where("activity_week_index = 0").collect()
     assert week0 and all(x.retention_rate == 1.0 and x.retained_users == x.cohort_size for x in week0)
     assert r.where("retained_users > cohort_size OR activity_week_index < 0").count() == 0
+
+
+def test_segment_methods_agree(spark):
+    from conftest import SF_SMALL
+    import funnelworks.queries as q
+    se = sessions(q.stg(spark, SF_SMALL))
+    u = users(se)
+    a = sorted(tuple(r) for r in marts.segment_performance(se, u).collect())
+    b = sorted(tuple(r) for r in marts.segment_performance(se, u, method="grouping_sets").collect())
+    assert a == b and len(a) > 4
