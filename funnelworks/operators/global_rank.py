@@ -7,10 +7,12 @@ task. Here the ordering is split into key ranges instead:
    collected once and frozen as literals;
 2. each row gets its range id from a balanced tree of comparisons against
    those literals (log2(B) comparisons, JVM-side);
-3. per-range counts / sums form a table of B rows (bounded by B), whose
-   prefix sums give each range its global offset;
+3. per-range counts / sums form a table of at most B rows per ordering
+   (bounded by B, not by the data), collected once; their prefix sums are
+   each range's global offset, applied as a literal map;
 4. ``row_number`` / running sums run partitioned by range id, plus the
-   offset, which gives exact global ranks.
+   offset, which gives exact global ranks. Plans stay linear: no self-join
+   of the rows with their own range table.
 
 Any split points give exact results; they only decide the balance. The
 tie-break columns make keys unique, so a value shared by a third of the rows
@@ -113,50 +115,96 @@ def _ordered(keys: list[SortKey]) -> list[Column]:
             for k in keys]
 
 
+def _lookup(rid: str, values: dict[int, int]) -> Column:
+    """Per-range constant as a literal map (folded to one map literal by Catalyst)."""
+    if len(values) == 1:
+        return F.lit(next(iter(values.values())))
+    pairs = []
+    for k, v in sorted(values.items()):
+        pairs += [F.lit(k), F.lit(v)]
+    return F.element_at(F.create_map(*pairs), F.col(rid))
+
+
+def _range_stats(ranged: DataFrame, rids: list[str], micros: str | None = None) -> list[dict[int, tuple]]:
+    """(count, sum of ``micros``) per range id, for several range columns in one job.
+
+    The result has at most (number of orderings x number of ranges) rows,
+    bounded by the range size, not by the data: it is the only thing about
+    the ranking that reaches the driver besides the split-point sample.
+    """
+    parts = []
+    for i, rid in enumerate(rids):
+        aggs = [F.count(F.lit(1)).alias("c")]
+        aggs.append(F.coalesce(F.sum(micros), F.lit(0)).alias("s") if micros else F.lit(0).cast("long").alias("s"))
+        parts.append(ranged.groupBy(F.col(rid).alias("rid")).agg(*aggs).withColumn("which", F.lit(i)))
+    u = parts[0]
+    for part in parts[1:]:
+        u = u.unionByName(part)
+    out: list[dict[int, tuple]] = [{} for _ in rids]
+    for r in u.collect():
+        out[r["which"]][r["rid"]] = (r["c"], r["s"])
+    return out
+
+
+def _offsets(stats: dict[int, tuple], idx: int) -> dict[int, int]:
+    acc, off = 0, {}
+    for k in sorted(stats):
+        off[k] = acc
+        acc += stats[k][idx]
+    return off or {0: 0}
+
+
 def _with_range(df: DataFrame, keys: list[SortKey], splits: list[tuple], name: str) -> DataFrame:
     return df.withColumn(name, range_id(keys, splits) if splits else F.lit(0))
 
 
-def global_rank(df: DataFrame, keys: list[SortKey], out: str, splits: list[tuple]) -> DataFrame:
-    """Adds ``out`` = 0-based global position under ``keys`` and ``out_n`` = row count."""
-    rid = f"__{out}_range"
-    ranged = _with_range(df, keys, splits, rid)
-    counts = ranged.groupBy(rid).agg(F.count(F.lit(1)).alias("__cnt"))
-    # <= number of ranges rows: a single-task window and a broadcast are both bounded.
-    w_all = Window.orderBy(rid).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_pre = Window.orderBy(rid).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(rid, F.coalesce(F.sum("__cnt").over(w_pre), F.lit(0)).alias("__off"),
-                            F.sum("__cnt").over(w_all).alias(f"{out}_n"))
-    w = Window.partitionBy(rid).orderBy(*_ordered(keys))
-    return (ranged.join(F.broadcast(offsets), rid)
-            .withColumn(out, F.row_number().over(w) - 1 + F.col("__off"))
-            .drop(rid, "__off"))
+def global_positions(df: DataFrame, specs: dict[str, list[SortKey]], splits: dict[str, list[tuple]]
+                     ) -> tuple[DataFrame, int]:
+    """Adds one column per spec: the row's 0-based global position under that ordering.
+
+    Returns the frame and the row count. Plan: range ids (narrow) -> one
+    window per ordering, partitioned by its range id (one shuffle each) ->
+    plus that range's offset, a literal. ``df`` is read once more for the
+    range counts, so pass a cached or stored frame.
+    """
+    rids = {name: f"__{name}_range" for name in specs}
+    ranged = df
+    for name, keys in specs.items():
+        ranged = _with_range(ranged, keys, splits.get(name, []), rids[name])
+    stats = _range_stats(ranged, list(rids.values()))
+    n = sum(c for c, _ in stats[0].values()) if stats else 0
+    for i, (name, keys) in enumerate(specs.items()):
+        w = Window.partitionBy(rids[name]).orderBy(*_ordered(keys))
+        ranged = ranged.withColumn(name, F.row_number().over(w) - 1 + _lookup(rids[name], _offsets(stats[i], 0)))
+    return ranged.drop(*rids.values()), n
 
 
-def tile_expr(i: Column, n: Column, k: int) -> Column:
+def tile_expr(i: Column, n: int, k: int) -> Column:
     """``ntile(k)`` from 0-based position i of n rows (first n mod k tiles get one extra)."""
-    q = F.floor(n / F.lit(k)).cast("long")
-    r = (n - q * F.lit(k)).cast("long")
+    q, r = divmod(n, k)
     big = r * (q + 1)
-    return F.when(i < big, F.floor(i / (q + 1)) + 1) \
-        .otherwise(F.floor((i - big) / F.greatest(q, F.lit(1))) + r + 1).cast("long")
+    first = F.floor(i / F.lit(q + 1)) + 1
+    if q == 0:                      # fewer rows than tiles: row i is in tile i + 1
+        return first.cast("long")
+    return F.when(i < F.lit(big), first).otherwise(F.floor((i - F.lit(big)) / F.lit(q)) + F.lit(r + 1)).cast("long")
 
 
 def global_ntile(df: DataFrame, specs: dict[str, list[SortKey]], k: int = 5,
                  rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17) -> DataFrame:
     """Adds one ``ntile(k)`` column per entry of ``specs`` (name -> ordering).
 
-    One count and one bounded sample are taken on the driver for all
-    orderings together; everything else stays in the plan.
+    Driver work, all bounded: one count, one sample of split points for all
+    orderings, one table of per-range counts. ``df`` is read by each of
+    them, so pass a cached or stored frame.
     """
     n_rows = df.count()
-    result = df
-    for name, keys in specs.items():
-        splits = choose_splits(df, keys, n_rows, rows_per_range, seed)
-        result = global_rank(result, keys, f"__{name}_pos", splits)
-        result = result.withColumn(name, tile_expr(F.col(f"__{name}_pos"), F.col(f"__{name}_pos_n"), k)) \
-            .drop(f"__{name}_pos", f"__{name}_pos_n")
-    return result
+    splits = {name: choose_splits(df, keys, n_rows, rows_per_range, seed) for name, keys in specs.items()}
+    pos_names = {name: f"__{name}_pos" for name in specs}
+    ranked, n = global_positions(df, {pos_names[nm]: keys for nm, keys in specs.items()},
+                                 {pos_names[nm]: sp for nm, sp in splits.items()})
+    for name in specs:
+        ranked = ranked.withColumn(name, tile_expr(F.col(pos_names[name]), n, k)).drop(pos_names[name])
+    return ranked
 
 
 def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str,
@@ -165,9 +213,9 @@ def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str,
     ``out_total`` (grand total), ``out_pos`` (0-based position), ``out_n`` (rows).
 
     Sums are exact integer micro-units, so the result does not depend on
-    how rows were split into ranges. The input is read three times (count,
-    bounded sample, final plan), so it is cached once unless ``persist`` is
-    False (pass False when ``df`` is already cached or stored).
+    how rows were split into ranges. The input is read several times (count,
+    bounded sample, per-range totals, final plan), so it is cached once
+    unless ``persist`` is False (pass False when ``df`` is already cached or stored).
     """
     if persist:
         df = df.persist()
@@ -176,25 +224,18 @@ def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str,
     rid = f"__{out}_range"
     micros = F.round(F.col(value) * F.lit(MONEY_SCALE)).cast("long")
     ranged = _with_range(df, keys, splits, rid).withColumn("__m", micros)
-    per = ranged.groupBy(rid).agg(F.count(F.lit(1)).alias("__cnt"),
-                                  F.coalesce(F.sum("__m"), F.lit(0)).alias("__sum"))
-    w_all = Window.orderBy(rid).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_pre = Window.orderBy(rid).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(
-        rid,
-        F.coalesce(F.sum("__cnt").over(w_pre), F.lit(0)).alias("__coff"),
-        F.coalesce(F.sum("__sum").over(w_pre), F.lit(0)).alias("__soff"),
-        F.sum("__cnt").over(w_all).alias(f"{out}_n"),
-        F.sum("__sum").over(w_all).alias("__total"),
-    )
+    stats = _range_stats(ranged, [rid], "__m")[0]
+    total_c = sum(c for c, _ in stats.values())
+    total_s = sum(s for _, s in stats.values())
     w = Window.partitionBy(rid).orderBy(*_ordered(keys))
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (ranged.join(F.broadcast(offsets), rid)
-            .withColumn(f"{out}_pos", F.row_number().over(w) - 1 + F.col("__coff"))
-            .withColumn(out, (F.coalesce(F.sum("__m").over(w_run), F.lit(0)) + F.col("__soff"))
+    return (ranged
+            .withColumn(f"{out}_pos", F.row_number().over(w) - 1 + _lookup(rid, _offsets(stats, 0)))
+            .withColumn(out, (F.coalesce(F.sum("__m").over(w_run), F.lit(0)) + _lookup(rid, _offsets(stats, 1)))
                         / F.lit(float(MONEY_SCALE)))
-            .withColumn(f"{out}_total", F.col("__total") / F.lit(float(MONEY_SCALE)))
-            .drop(rid, "__m", "__coff", "__soff", "__total"))
+            .withColumn(f"{out}_total", F.lit(total_s / float(MONEY_SCALE)))
+            .withColumn(f"{out}_n", F.lit(total_c).cast("long"))
+            .drop(rid, "__m"))
 
 
 def grouped_median(df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str],
@@ -208,10 +249,10 @@ def grouped_median(df: DataFrame, group_cols: list[str], value: str, tiebreak: l
     large. The tie-break must make rows unique (e.g. the unit id) so that a
     heavily repeated value is still split across ranges.
     """
-    d = df.where(F.col(value).isNotNull()).select(*group_cols, value, *tiebreak)
+    d = df.where(F.col(value).isNotNull()).select(*group_cols, value, *tiebreak).persist()
     keys = [SortKey(c) for c in group_cols] + [SortKey(value)] + [SortKey(c) for c in tiebreak]
     splits = choose_splits(d, keys, d.count(), rows_per_range, seed)
-    ranked = global_rank(d, keys, "__pos", splits)
+    ranked, _ = global_positions(d, {"__pos": keys}, {"__pos": splits})
     size = ranked.groupBy(*group_cols).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
     local = F.col("__pos") - F.col("__first")
     lo = F.floor((F.col("__n") - 1) / 2)

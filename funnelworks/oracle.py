@@ -649,7 +649,8 @@ SELECT total_retained, total_cohort_size, avg_retention_rate AS week1_retention_
 FROM curve_all WHERE activity_week_index = 1""")
     q["revenue_concentration"] = with_ctes(F3, RFM, CONCENTRATION, body="""
 SELECT user_pseudo_id, monetary_value_usd, customer_rank, cumulative_revenue,
-  cumulative_revenue / total AS cumulative_revenue_pct, CAST(customer_rank AS DOUBLE) / n AS customer_percentile
+  cumulative_revenue / total AS cumulative_revenue_pct, CAST(customer_rank AS DOUBLE) / n AS customer_percentile,
+  n AS purchasers
 FROM conc""")
     q["top_decile_share"] = with_ctes(F3, RFM, CONCENTRATION, body="""
 SELECT n AS purchasers, CAST(FLOOR(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS top_decile_customers,

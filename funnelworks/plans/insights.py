@@ -257,15 +257,14 @@ def revenue_concentration(rfm: DataFrame, rows_per_range: int | None = None) ->
         "cumulative_revenue",
         (F.col("cumulative_revenue") / F.col("cumulative_revenue_total")).alias("cumulative_revenue_pct"),
         ((F.col("cumulative_revenue_pos") + 1).cast("double") / F.col("cumulative_revenue_n"))
-        .alias("customer_percentile"))
+        .alias("customer_percentile"),
+        F.col("cumulative_revenue_n").alias("purchasers"))
 
 
 def top_decile_share(concentration: DataFrame) -> DataFrame:
     """Cumulative share at row int(n * 0.1) - 1; no row when fewer than 10 purchasers."""
-    n = concentration.agg(F.count(F.lit(1)).alias("purchasers"))          # one row
     k = F.floor(F.col("purchasers").cast("double") * F.lit(0.1)).cast("long")
-    return (concentration.crossJoin(F.broadcast(n))
-            .where((k >= 1) & (F.col("customer_rank") == k))
+    return (concentration.where((k >= 1) & (F.col("customer_rank") == k))
             .select("purchasers", k.alias("top_decile_customers"),
                     F.col("cumulative_revenue_pct").alias("top_decile_revenue_share")))
 

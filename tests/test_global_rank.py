@@ -50,12 +50,15 @@ def test_running_sum_matches_cumsum(spark, rows_per_range):
     assert rows[-1].cum_total == acc / 1_000_000 and rows[0].cum_n == 257
 
 
-def test_no_single_task_window_over_rows(spark):
-    df = _data(spark, 100)
-    plan = global_ntile(df, {"t": [SortKey("m"), SortKey("u")]}, 5, rows_per_range=10)._jdf \
-        .queryExecution().executedPlan().toString()
-    # the per-row window is partitioned by the range id
-    assert "__t_pos_range" in plan and "Window [row_number()" in plan
+def test_ranking_plan_is_linear_and_partitioned(spark):
+    df = _data(spark, 100).persist()
+    out = global_ntile(df, {"a": [SortKey("m"), SortKey("u")], "b": [SortKey("f"), SortKey("u")]}, 5,
+                       rows_per_range=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # one window per ordering, each partitioned by its range id; no join of the rows with a range table
+    assert plan.count("Window [row_number()") == 2
+    assert "__a_pos_range" in plan and "__b_pos_range" in plan
+    assert "Join" not in plan
 
 
 @pytest.mark.parametrize("rows_per_range", [5, 1_000_000])
