@@ -69,8 +69,9 @@ def week_over_week(kpis: DataFrame) -> DataFrame:
     0); percentage-point change for conversion (orders / sessions); plus the
     trend class of the revenue change.
     """
-    mx = kpis.agg(F.max("report_date").alias("_max"))            # one row
-    k = kpis.crossJoin(F.broadcast(mx))
+    # one row per report day: a whole-table window is bounded by the calendar and avoids
+    # joining the mart with its own aggregate (which would plan the mart twice)
+    k = kpis.withColumn("_max", F.max("report_date").over(Window.partitionBy(F.lit(1))))
     last = F.col("report_date") > F.date_sub("_max", 7)
     prev = (F.col("report_date") <= F.date_sub("_max", 7)) & (F.col("report_date") > F.date_sub("_max", 14))
 
