@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from funnelworks.sources.schema import EXPERIMENT_UNIT, RAW_EVENT
 
@@ -32,6 +33,33 @@ def scan_events(spark: SparkSession, path: str, start: str | None = DEFAULT_STAR
     return date_range(df, start, end)
 
 
+def scan_sharded_events(spark: SparkSession, base: str, start: str | None = DEFAULT_START,
+                        end: str | None = DEFAULT_END, prefix: str = "events_") -> DataFrame:
+    """SRC-1 for date-sharded exports: one folder per day named ``<prefix>YYYYMMDD``.
+
+    Shards outside the inclusive range are dropped while listing the base
+    folder (file metadata only), so they are never opened; ``event_date``
+    is taken from the shard name of each row's file (``_metadata.file_path``).
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        suffix = name[len(prefix):]
+        if not (st.isDirectory() and name.startswith(prefix) and len(suffix) == 8 and suffix.isdigit()):
+            continue
+        if (start is None or suffix >= start) and (end is None or suffix <= end):
+            paths.append(st.getPath().toString())
+    data_schema = T.StructType([f for f in RAW_EVENT.fields if f.name != "event_date"])
+    if not paths:
+        return spark.createDataFrame([], RAW_EVENT)
+    df = spark.read.schema(data_schema).parquet(*sorted(paths))
+    shard = F.regexp_extract(F.col("_metadata.file_path"), f"/{prefix}([0-9]{{8}})/", 1)
+    return df.select(shard.alias("event_date"), *[f.name for f in data_schema.fields])
+
+
 def read_experiment_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-5: experiment unit CSV whose first line is a ``#`` disclaimer."""
     return (spark.read.option("header", True).option("comment", "#")

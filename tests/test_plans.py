@@ -66,3 +66,21 @@ def test_every_shuffle_is_fed_by_an_aggregate(spark):
         assert children, name
         for child in children:
             assert "Aggregate" in child, f"{name}: shuffle fed by {child[:80]}"
+
+
+def test_sharded_scan_prunes_shards(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from funnelworks.sources.events import scan_sharded_events
+    raw = fixtures.raw_events_from(spark, SF_SMALL).persist()
+    for day in ("20240104", "20240105", "20240106", "20240107", "20240108"):
+        raw.where(F.col("event_date") == day).drop("event_date").write.parquet(f"{tmp_dir}/shards/events_{day}")
+    df = scan_sharded_events(spark, f"{tmp_dir}/shards", "20240105", "20240107")
+    files = {f.split("/events_")[1][:8] for f in df.inputFiles()}
+    assert files == {"20240105", "20240106", "20240107"}           # other shards never listed into the scan
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    got = sorted((tuple(r) for r in stage_events(df).select("event_date", "session_key", "event_timestamp")
+                  .collect()), key=key)
+    want = sorted((tuple(r) for r in stage_events(raw.where(F.col("event_date").between("20240105", "20240107")))
+                   .select("event_date", "session_key", "event_timestamp").collect()), key=key)
+    assert got == want and len(got) > 0
