@@ -20,14 +20,17 @@ def z_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf(T.DoubleType())
-def _erfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.erfc(v) if pd.notna(v) else float("nan")).astype("float64")
+def _erfc_udf():
+    """The pandas UDF, built in a closure so it is shipped to Python workers by
+    value: workers need only ``math`` and ``pandas``, not this package."""
+    def erfc_series(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.erfc(v) if pd.notna(v) else float("nan")).astype("float64")
+    return F.pandas_udf(erfc_series, T.DoubleType())
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function (NULL stays NULL)."""
-    return F.when(x.isNotNull(), _erfc(x.cast("double")))
+    return F.when(x.isNotNull(), _erfc_udf()(x.cast("double")))
 
 
 def two_sided_p(z: Column) -> Column:
