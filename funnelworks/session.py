@@ -22,6 +22,16 @@ BASE_CONF = {
 }
 
 
+# Applied only when a session is created: bound the driver's job/stage/task status history
+# (kept even with the UI off), so a long-lived driver does not grow with every query.
+STATIC_CONF = {
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "100",
+    "spark.ui.retainedTasks": "10000",
+    "spark.sql.ui.retainedExecutions": "50",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "funnelworks", extra_conf: dict | None = None) -> SparkSession:
     """Return (or create) a session with the settings above.
@@ -32,7 +42,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in {**BASE_CONF, **(extra_conf or {})}.items():
+    for k, v in {**STATIC_CONF, **BASE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
