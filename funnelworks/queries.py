@@ -93,8 +93,7 @@ def kpis_daily(spark, sf_dir):
 @register
 def segment_performance(spark, sf_dir):
     """M-11."""
-    s = sess(spark, sf_dir)
-    return marts.segment_performance(s, _users(s))
+    return marts.segment_performance(sess(spark, sf_dir))
 
 
 @register
@@ -286,7 +285,7 @@ def all_marts(spark, sf_dir) -> dict:
         "mart_funnel_performance": marts.funnel_performance(facts),
         "mart_retention_cohorts": retention_cohorts(spark, sf_dir),
         "mart_customer_rfm": customer_rfm(spark, sf_dir),
-        "mart_segment_performance": marts.segment_performance(se, _users(se)),
+        "mart_segment_performance": marts.segment_performance(se),
         "mart_product_performance": marts.product_performance(_product_events(s)),
     }
 
