@@ -178,13 +178,18 @@ def rfm_label(r: Column, f: Column, m: Column) -> Column:
 
 
 def purchaser_metrics(ords: DataFrame) -> DataFrame:
-    pm = ords.groupBy("user_pseudo_id").agg(*_exprs([
+    """Per-user frequency, money and first/last order date (one row per purchaser)."""
+    return ords.groupBy("user_pseudo_id").agg(*_exprs([
         ("frequency", "count(order_transaction_key)"),
         ("monetary_value_usd", S.money_sum("order_revenue_usd")),
         ("last_order_date", "max(order_date)"),
         ("first_order_date", "min(order_date)"),
     ]))
-    ref = ords.agg(F.max("order_date").alias("analysis_reference_date"))   # one row
+
+
+def with_recency(pm: DataFrame) -> DataFrame:
+    """Reference date = latest order date overall (= latest last-order date), one row, broadcast."""
+    ref = pm.agg(F.max("last_order_date").alias("analysis_reference_date"))
     return (pm.crossJoin(F.broadcast(ref))
             .withColumn("recency_days", F.expr("CAST(datediff(analysis_reference_date, last_order_date) AS BIGINT)")))
 
@@ -207,6 +212,7 @@ def customer_rfm(ords: DataFrame, tiles: int = RFM_TILES, rows_per_range: int |
         pm = _write(pm, "rfm-purchasers")
     elif materialize == "persist":
         pm = pm.persist()
+    pm = with_recency(pm)      # orders are scanned once; the date comes from the per-user table
     specs = {
         "r_score": [SortKey("recency_days", False), SortKey("user_pseudo_id")],
         "f_score": [SortKey("frequency"), SortKey("user_pseudo_id")],
