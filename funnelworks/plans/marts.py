@@ -339,24 +339,30 @@ def product_performance(pe: DataFrame) -> DataFrame:
 
     Three nested aggregations - (item, user, session), (item, user), item -
     count distinct sessions and users without ``Expand``; a hot item is
-    combined map-side at every level.
+    combined map-side at every level. Item attributes (min of the names)
+    come from a separate aggregation joined on ``item_id``.
     """
     items = pe.where("event_name = 'purchase' AND item_id IS NOT NULL").selectExpr(
         "item_id", "item_name", "item_brand", "item_category", "user_pseudo_id", "session_key", "event_date_parsed",
         "coalesce(quantity, 1) AS q",
         "coalesce(item_revenue_in_usd, item_revenue, price_in_usd, price, CAST(0 AS DOUBLE)) AS r")
-    names = [(c, f"min({c})") for c in ("item_name", "item_brand", "item_category")]
+    # Names are taken in their own one-level aggregation: string buffers force sort-based
+    # aggregation, so keeping them out of the three counting levels lets those hash-aggregate.
+    names = items.groupBy("item_id").agg(*_exprs([(c, f"min({c})") for c in ("item_name", "item_brand",
+                                                                           "item_category")]))
     l1 = items.groupBy("item_id", "user_pseudo_id", "session_key").agg(*_exprs([
-        *names, ("n", "count(1)"), ("q", "sum(q)"), ("r", S.money_sum("r")),
+        ("n", "count(1)"), ("q", "sum(q)"), ("r", S.money_sum("r")),
         ("d0", "min(event_date_parsed)"), ("d1", "max(event_date_parsed)")]))
     l2 = l1.groupBy("item_id", "user_pseudo_id").agg(*_exprs([
-        *names, ("n", "sum(n)"), ("q", "sum(q)"), ("r", S.money_sum("r")), ("s", "count(session_key)"),
+        ("n", "sum(n)"), ("q", "sum(q)"), ("r", S.money_sum("r")), ("s", "count(session_key)"),
         ("d0", "min(d0)"), ("d1", "max(d1)")]))
     l3 = l2.groupBy("item_id").agg(*_exprs([
-        *names, ("purchase_event_count", "sum(n)"), ("total_units_sold", "sum(q)"),
+        ("purchase_event_count", "sum(n)"), ("total_units_sold", "sum(q)"),
         ("unique_purchasers", "count(user_pseudo_id)"), ("purchase_sessions", "sum(s)"),
         ("total_item_revenue_usd", S.money_sum("r")),
         ("first_purchase_date", "min(d0)"), ("last_purchase_date", "max(d1)")]))
+    # both sides are one row per item, hash-partitioned by item_id: the join adds no shuffle
+    l3 = l3.join(names, "item_id")
     return l3.selectExpr(
         "item_id", "item_name", "item_brand", "item_category", "purchase_event_count", "total_units_sold",
         "unique_purchasers", "purchase_sessions", "total_item_revenue_usd",
