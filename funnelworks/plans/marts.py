@@ -134,13 +134,15 @@ def funnel_performance(funnel: DataFrame, sess: DataFrame | None = None,
 
 
 # ---------------------------------------------------------------- M-9
-def retention_cohorts(sess: DataFrame) -> DataFrame:
+def retention_cohorts(sess: DataFrame, zero_fill: bool = False) -> DataFrame:
     """Weekly cohorts: (cohort week, activity week index) -> retained users.
 
     One shuffle by user collects each user's set of active weeks (bounded by
     the number of weeks in the data window, combined map-side); the cohort
     is its smallest element. A second, tiny aggregation counts users per
-    (cohort, week); week-0 counts are the cohort sizes.
+    (cohort, week); week-0 counts are the cohort sizes. Weeks in which no
+    cohort member was active are absent (the reference's behaviour);
+    ``zero_fill`` lists them with 0 retained users instead.
     """
     weeks = (sess.where(F.col("user_pseudo_id").isNotNull())
              .select("user_pseudo_id", week_start("session_date").alias("w"))
@@ -151,10 +153,21 @@ def retention_cohorts(sess: DataFrame) -> DataFrame:
     # cells has one row per (cohort, week): bounded by the calendar.
     size = F.max(F.when(F.col("activity_week_index") == 0, F.col("retained_users"))) \
         .over(Window.partitionBy("cohort_week"))
-    out = (cells.withColumn("cohort_size", size)
-           .where(F.col("activity_week_index") >= 0)
-           .select("cohort_week", "activity_week", "activity_week_index", "cohort_size", "retained_users",
-                   safe_divide("retained_users", "cohort_size").alias("retention_rate")))
+    cells = cells.withColumn("cohort_size", size).where(F.col("activity_week_index") >= 0)
+    if zero_fill:
+        # every week from the cohort's own week to the last active week of the data, 0 where no
+        # user returned; each cohort expands its own range (bounded by the calendar), no cross join
+        last = F.max("activity_week").over(Window.partitionBy(F.lit(1)))
+        grid = (cells.withColumn("_last", last).where(F.col("activity_week_index") == 0)
+                .select("cohort_week", "cohort_size",
+                        F.explode(F.sequence(F.col("cohort_week"), F.col("_last"), F.expr("INTERVAL 7 DAYS")))
+                        .alias("activity_week")))
+        cells = (grid.join(cells.select("cohort_week", "activity_week", "retained_users"),
+                           ["cohort_week", "activity_week"], "left")
+                 .withColumn("retained_users", F.coalesce(F.col("retained_users"), F.lit(0).cast("long")))
+                 .withColumn("activity_week_index", weeks_between("activity_week", "cohort_week")))
+    out = cells.select("cohort_week", "activity_week", "activity_week_index", "cohort_size", "retained_users",
+                       safe_divide("retained_users", "cohort_size").alias("retention_rate"))
     return _small_ordered(out, "cohort_week", "activity_week_index")
 
 

@@ -175,3 +175,15 @@ def test_segment_methods_agree(spark):
     runs = [sorted(tuple(r) for r in marts.segment_performance(se, users_, method=m).collect())
             for users_ in (u, None) for m in ("stack", "grouping_sets")]
     assert all(r == runs[0] for r in runs) and len(runs[0]) > 4
+
+
+def test_retention_zero_fill(spark):
+    df = spark.createDataFrame(
+        [("u1", "s1", dt.date(2024, 1, 1)), ("u1", "s2", dt.date(2024, 1, 16)), ("u2", "s3", dt.date(2024, 1, 9))],
+        "user_pseudo_id string, session_key string, session_date date")
+    r = [(x.cohort_week.isoformat(), x.activity_week_index, x.retained_users, x.retention_rate)
+         for x in marts.retention_cohorts(df, zero_fill=True).collect()]
+    assert r == [("2024-01-01", 0, 1, 1.0), ("2024-01-01", 1, 0, 0.0), ("2024-01-01", 2, 1, 1.0),
+                 ("2024-01-08", 0, 1, 1.0), ("2024-01-08", 1, 0, 0.0)]
+    plain = marts.retention_cohorts(df).collect()
+    assert [(x.activity_week_index, x.retained_users) for x in plain] == [(0, 1), (2, 1), (0, 1)]
