@@ -187,3 +187,17 @@ def test_retention_zero_fill(spark):
                  ("2024-01-08", 0, 1, 1.0), ("2024-01-08", 1, 0, 0.0)]
     plain = marts.retention_cohorts(df).collect()
     assert [(x.activity_week_index, x.retained_users) for x in plain] == [(0, 1), (2, 1), (0, 1)]
+
+
+def test_global_filter_rules(spark):
+    from funnelworks.plans.insights import apply_filters
+    df = spark.createDataFrame(
+        [(dt.date(2024, 1, 1), "mobile", "cpc"), (dt.date(2024, 1, 2), None, "organic"),
+         (dt.date(2024, 1, 3), "desktop", None)],
+        "report_date date, device_category string, acquisition_medium string")
+    assert apply_filters(df, "2024-01-02", "2024-01-03").count() == 2            # inclusive range
+    assert apply_filters(df, devices=["mobile", "desktop"]).count() == 2         # NULL never selected
+    assert apply_filters(df, devices=[]).count() == 0                            # empty selection
+    assert apply_filters(df, mediums=["cpc"]).count() == 1
+    no_dims = df.select("report_date")
+    assert apply_filters(no_dims, devices=[], mediums=[]).count() == 3           # absent columns do not filter
