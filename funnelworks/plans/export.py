@@ -18,9 +18,9 @@ LABEL_MAP = {
     "<Other>": "Other",
     "(not set)": "Unknown",
 }
-DISCLOSURE = ("SIMULATED EXPERIMENT DATA - Educational demonstration only. This is not GA4 data and is not "
-              "evidence of real business impact. Base observational data is a public, obfuscated web-analytics "
-              "sample.")
+DISCLOSURE = ("SIMULATED EXPERIMENT DATA - Educational demonstration only. This is not production analytics "
+              "data and is not evidence of real business impact. Base observational data is a public, obfuscated "
+              "web-analytics sample.")
 
 
 def drop_forbidden(df: DataFrame, forbidden=FORBIDDEN_COLUMNS) -> DataFrame:

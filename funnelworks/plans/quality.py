@@ -179,7 +179,7 @@ def session_crosscheck(sess: DataFrame, kpis: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ Q-9
 def schema_checks(models: dict[str, DataFrame], tests=SCHEMA_TESTS) -> DataFrame:
-    """(model, column_name, test, failures) with dbt's counting: NULL rows for
+    """(model, column_name, test, failures) with schema-test counting: NULL rows for
     not_null, duplicated values for unique, distinct unaccepted values for
     accepted_values. One pass per model for not_null, one shuffle per unique key."""
     parts = []
