@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from funnelworks.functions import sql as S
 from funnelworks.sources.schema import FUNNEL_COLUMNS, SESSION_COLUMNS, USER_COLUMNS
 
-# Presence flags of int_sessions: (column, event name).
+# Presence flags of the sessions model, (column, event name).
 SESSION_FLAGS = [
     ("has_page_view", "page_view"),
     ("has_view_item", "view_item"),
@@ -24,11 +24,11 @@ SESSION_FLAGS = [
     ("has_search", "view_search_results"),
 ]
 
-# Default sequential funnel: event names and the short labels used in flag names.
+# Default sequential funnel steps and the short labels used in flag names.
 FUNNEL_STEPS = ("view_item", "add_to_cart", "begin_checkout", "purchase")
 FUNNEL_LABELS = ("view", "cart", "checkout", "purchase")
 
-# First-event attributes: (source column in staging, output column).
+# First-event attributes, (source column in staging, output column).
 FIRST_EVENT_ATTRS = [
     ("device_category", "device_category"),
     ("operating_system", "operating_system"),

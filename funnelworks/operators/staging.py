@@ -8,7 +8,7 @@ from funnelworks.functions.params import event_param_sql
 from funnelworks.sources.events import date_range
 from funnelworks.sources.schema import STG_COLUMNS
 
-# Parameters extracted from event_params: (output column, key, typed sub-field).
+# Parameters extracted from event_params, (output column, key, typed sub-field).
 STAGED_PARAMS = [
     ("ga_session_id", "ga_session_id", "int_value"),
     ("ga_session_number", "ga_session_number", "int_value"),

@@ -15,7 +15,7 @@ from funnelworks.functions.metrics import count_when, money_sum, safe_divide
 from funnelworks.functions.metrics import MONEY_SCALE
 from funnelworks.operators.global_rank import SortKey, running_sum
 
-# Fixed labels of the reference's funnel views.
+# Funnel step labels, trend threshold (percent) and stabilization delta.
 FUNNEL_STEP_LABELS = [
     ("sessions_entered", "Sessions Entered"),
     ("sessions_product_view", "Product View"),

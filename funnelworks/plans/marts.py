@@ -19,7 +19,6 @@ from funnelworks.functions import sql as S
 from funnelworks.functions.metrics import safe_divide, week_start, weeks_between
 from funnelworks.operators.global_rank import SortKey, global_ntile
 
-RFM_TILES = 5
 
 
 def _exprs(pairs: list[tuple[str, str]]) -> list[Column]:
@@ -172,7 +171,9 @@ def retention_cohorts(sess: DataFrame, zero_fill: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M-10
-RFM_RULES = [  # first match wins; else "Occasional Customers"
+# RFM tiles, segment rules (first match wins) and the default label.
+RFM_TILES = 5
+RFM_RULES = [
     ("Champions", lambda r, f, m: (r >= 4) & (f >= 4) & (m >= 4)),
     ("Loyal Customers", lambda r, f, m: (f >= 4) & (r >= 3)),
     ("Potential Loyalists", lambda r, f, m: (r >= 4) & (f >= 2) & (f <= 3)),

@@ -24,7 +24,7 @@ RECONCILIATION_ABS_TOL = 1.0
 MART_NAMES = ("mart_product_kpis_daily", "mart_funnel_performance", "mart_retention_cohorts",
               "mart_customer_rfm", "mart_segment_performance", "mart_product_performance")
 
-# Schema tests of the models: (model, column, test, accepted values).
+# Schema tests of the models, (model, column, test, accepted values).
 RFM_SEGMENTS = ("Champions", "Loyal Customers", "Potential Loyalists", "Recent Customers", "At Risk",
                 "Occasional Customers")
 SEGMENT_TYPES = ("device_category", "acquisition_medium", "search_adoption", "purchaser_status")
