@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from funnelworks.functions.metrics import count_when, money_sum, safe_divide
 from funnelworks.functions.metrics import MONEY_SCALE
 from funnelworks.operators.global_rank import SortKey, running_sum
+from funnelworks.plans.marts import small_ordered
 
 # Funnel step labels, trend threshold (percent) and stabilization delta.
 FUNNEL_STEP_LABELS = [
@@ -186,7 +187,7 @@ def segment_compare(segments: DataFrame, types=("device_category", "search_adopt
     return (segments.where(F.col("segment_type").isin(*types))
             .select("segment_type", "segment_value", "unique_users", "total_sessions", "total_revenue_usd",
                     "session_conversion_rate", "avg_order_value_usd")
-            .orderBy("segment_type", F.col("total_sessions").desc(), "segment_value"))
+            .transform(lambda d: small_ordered(d, "segment_type", F.col("total_sessions").desc(), "segment_value")))
 
 
 # ------------------------------------------------------------ INS-9
@@ -196,7 +197,7 @@ def rfm_distribution(rfm: DataFrame) -> DataFrame:
         money_sum("monetary_value_usd").alias("total_revenue_usd"),
         (F.sum("frequency").cast("double") / F.count("frequency")).alias("avg_frequency"),
         (F.sum("recency_days").cast("double") / F.count("recency_days")).alias("avg_recency_days"),
-    ).orderBy(F.col("total_revenue_usd").desc(), "rfm_segment"))
+    ).transform(lambda d: small_ordered(d, F.col("total_revenue_usd").desc(), "rfm_segment")))
 
 
 # ------------------------------------------------------------ INS-10...14
@@ -207,7 +208,7 @@ def retention_curve(retention: DataFrame, max_week: int | None = 8) -> DataFrame
         F.sum("retained_users").alias("total_retained"),
         F.sum("cohort_size").alias("total_cohort_size"))
         .withColumn("avg_retention_rate", safe_divide("total_retained", "total_cohort_size"))
-        .orderBy("activity_week_index"))
+        .transform(lambda d: small_ordered(d, "activity_week_index")))
 
 
 def retention_matrix(retention: DataFrame, max_week: int = 8) -> DataFrame:
@@ -215,7 +216,7 @@ def retention_matrix(retention: DataFrame, max_week: int = 8) -> DataFrame:
     weeks = list(range(max_week + 1))
     p = (retention.where(F.col("activity_week_index") <= max_week)
          .groupBy("cohort_week").pivot("activity_week_index", weeks).agg(F.avg("retention_rate")))
-    return p.select("cohort_week", *[F.col(f"`{w}`").alias(f"week_{w}") for w in weeks]).orderBy("cohort_week")
+    return small_ordered(p.select("cohort_week", *[F.col(f"`{w}`").alias(f"week_{w}") for w in weeks]), "cohort_week")
 
 
 def retention_stabilization(retention: DataFrame, delta: float = STABILIZATION_DELTA) -> DataFrame:
@@ -237,7 +238,7 @@ def retention_stabilization(retention: DataFrame, delta: float = STABILIZATION_D
 
 def cohort_sizes(retention: DataFrame) -> DataFrame:
     return (retention.where(F.col("activity_week_index") == 0)
-            .select("cohort_week", "cohort_size").orderBy("cohort_week"))
+            .select("cohort_week", "cohort_size").transform(lambda d: small_ordered(d, "cohort_week")))
 
 
 def week1_retention(retention: DataFrame) -> DataFrame:
@@ -313,4 +314,4 @@ def apply_filters(df: DataFrame, start=None, end=None, devices=None, mediums=Non
 def filter_options(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-NULL values of a dimension (the options of a global filter)."""
     return (df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("option"))
-            .distinct().orderBy("option"))
+            .distinct().transform(lambda d: small_ordered(d, "option")))

@@ -7,7 +7,7 @@ group), so no ``Expand`` multiplies rows and every level combines map-side
 before its shuffle: a hot user or a hot group value never lands whole in
 one task. Outputs whose size is bounded by the calendar or by the number of
 segment values are ordered in one task after their final aggregation
-(``_small_ordered``); item-level output is range-sorted.
+(``small_ordered``); item-level output is range-sorted.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def _exprs(pairs: list[tuple[str, str]]) -> list[Column]:
     return [F.expr(e) for e in S.aliased(pairs)]
 
 
-def _small_ordered(df: DataFrame, *cols) -> DataFrame:
+def small_ordered(df: DataFrame, *cols) -> DataFrame:
     """Total order for an output of bounded size (days, segments, cohorts).
 
     ``repartition(1)`` (not ``coalesce(1)``, which would pull the final
@@ -88,7 +88,7 @@ def kpis_daily(sess: DataFrame, ords: DataFrame) -> DataFrame:
         ("checkout_to_purchase_rate", S.safe_divide("sessions_with_purchase", "sessions_with_checkout")),
         ("search_adoption_rate", S.safe_divide("sessions_with_search", "total_sessions")),
     ]))
-    return _small_ordered(out, "report_date")
+    return small_ordered(out, "report_date")
 
 
 # ---------------------------------------------------------------- M-8
@@ -129,7 +129,7 @@ def funnel_performance(funnel: DataFrame, sess: DataFrame | None = None,
         ("rate_checkout_to_purchase", S.safe_divide("sessions_purchase", "sessions_begin_checkout")),
         ("overall_conversion_rate", S.safe_divide("sessions_purchase", "sessions_entered")),
     ]))
-    return _small_ordered(out, "report_date", "device_category")
+    return small_ordered(out, "report_date", "device_category")
 
 
 # ---------------------------------------------------------------- M-9
@@ -167,7 +167,7 @@ def retention_cohorts(sess: DataFrame, zero_fill: bool = False) -> DataFrame:
                  .withColumn("activity_week_index", weeks_between("activity_week", "cohort_week")))
     out = cells.select("cohort_week", "activity_week", "activity_week_index", "cohort_size", "retained_users",
                        safe_divide("retained_users", "cohort_size").alias("retention_rate"))
-    return _small_ordered(out, "cohort_week", "activity_week_index")
+    return small_ordered(out, "cohort_week", "activity_week_index")
 
 
 # ---------------------------------------------------------------- M-10

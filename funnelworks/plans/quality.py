@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from funnelworks.functions.metrics import count_when, money_sum, safe_divide
 from funnelworks.functions.params import event_param
+from funnelworks.plans.marts import small_ordered
 from funnelworks.sources.events import table_exists
 
 # Events the checklist requires and the tolerance of the reconciliation test.
@@ -72,7 +73,7 @@ def event_inventory(raw: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("event_count"),
         F.countDistinct("user_pseudo_id").alias("distinct_users"),
         F.min("event_date").alias("first_seen"), F.max("event_date").alias("last_seen"))
-        .orderBy(F.col("event_count").desc(), "event_name"))
+        .transform(lambda d: small_ordered(d, F.col("event_count").desc(), "event_name")))
 
 
 # ------------------------------------------------------------ Q-3
