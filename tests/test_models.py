@@ -201,3 +201,14 @@ def test_global_filter_rules(spark):
     assert apply_filters(df, mediums=["cpc"]).count() == 1
     no_dims = df.select("report_date")
     assert apply_filters(no_dims, devices=[], mediums=[]).count() == 3           # absent columns do not filter
+
+
+def test_funnel_with_custom_steps(spark):
+    rows = [ev("view_search_results", "a", 1), ev("view_item", "a", 2), ev("purchase", "a", 3),
+            ev("view_item", "b", 1, sid=2), ev("view_search_results", "b", 2, sid=2)]
+    f = session_funnel(stg(spark, rows), steps=("view_search_results", "view_item", "purchase"),
+                       labels=("search", "view", "purchase"))
+    assert "reached_view_item_after_search" in f.columns and "reached_purchase_after_view" in f.columns
+    got = {r.session_key: (r.reached_view_search_results, r.reached_view_item_after_search,
+                           r.reached_purchase_after_view) for r in f.collect()}
+    assert got == {"a-1": (True, True, True), "b-2": (True, False, False)}
