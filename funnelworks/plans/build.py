@@ -26,7 +26,7 @@ from funnelworks.sources.sinks import as_table
 
 
 def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, start: str | None = None,
-              end: str | None = None, max_parallel: int = 4) -> dict[str, DataFrame]:
+              end: str | None = None, max_parallel: int = 8) -> dict[str, DataFrame]:
     """Build staging, intermediates and marts under ``out_dir`` (a shared folder)."""
     base = out_dir.rstrip("/")
     t: dict[str, DataFrame] = {}
@@ -45,19 +45,20 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, start: str | No
         "int_orders": (lambda: orders(t["stg_ga4_events"]), None),
         "int_product_events": (lambda: product_events(t["stg_ga4_events"]), None),
     })
+    # Everything else reads the stored facts, orders and item events: one concurrent wave.
+    # The session columns of the facts table are exactly int_sessions.
+    facts = t["_session_facts"]
+    sess = facts.select(*SESSION_COLUMNS)
     wave({
-        "int_sessions": (lambda: t["_session_facts"].select(*SESSION_COLUMNS), None),
-        "int_session_funnel": (lambda: t["_session_facts"].select(*FUNNEL_COLUMNS), None),
-        "mart_funnel_performance": (lambda: marts.funnel_performance(t["_session_facts"]), None),
+        "int_sessions": (lambda: sess, None),
+        "int_session_funnel": (lambda: facts.select(*FUNNEL_COLUMNS), None),
+        "int_users": (lambda: users(sess), None),
+        "mart_funnel_performance": (lambda: marts.funnel_performance(facts), None),
+        "mart_product_kpis_daily": (lambda: marts.kpis_daily(sess, t["int_orders"]), None),
+        "mart_retention_cohorts": (lambda: marts.retention_cohorts(sess), None),
         "mart_customer_rfm": (lambda: marts.customer_rfm(t["int_orders"]), None),
+        "mart_segment_performance": (lambda: marts.segment_performance(sess), None),
         "mart_product_performance": (lambda: marts.product_performance(t["int_product_events"]), None),
     })
-    wave({
-        "int_users": (lambda: users(t["int_sessions"]), None),
-        "mart_product_kpis_daily": (lambda: marts.kpis_daily(t["int_sessions"], t["int_orders"]), None),
-        "mart_retention_cohorts": (lambda: marts.retention_cohorts(t["int_sessions"]), None),
-    })
-    wave({"mart_segment_performance": (lambda: marts.segment_performance(t["int_sessions"], t["int_users"]),
-                                       None)})
     t.pop("_session_facts")
     return t
