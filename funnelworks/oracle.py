@@ -8,6 +8,9 @@ and exact money sums (integer micro-units) as the Spark side.
 
 from __future__ import annotations
 
+from funnelworks.plans.experiment import DECISION_REASONS, MIN_PRACTICAL_LIFT, Z_ALPHA, Z_POWER
+from funnelworks.plans.quality import REQUIRED_EVENTS, SCHEMA_TESTS
+
 MICRO = "1000000"
 
 
@@ -503,7 +506,6 @@ def _dlit(x: float) -> str:
 
 
 def _ab_ctes() -> str:
-    from funnelworks.plans.experiment import MIN_PRACTICAL_LIFT, Z_ALPHA, Z_POWER
     za, k, mde2 = _dlit(Z_ALPHA), _dlit((Z_ALPHA + Z_POWER) ** 2), _dlit(MIN_PRACTICAL_LIFT ** 2)
     mde = _dlit(MIN_PRACTICAL_LIFT)
     cols = ["n", "conversions", "conversion_rate", "arpu", "payment_error_rate", "refund_rate",
@@ -723,7 +725,6 @@ FROM kpis""")
     tbl = dict(mart_tables)
     tbl.update({"stg_ga4_events": "stg", "int_sessions": "sessions", "int_users": "users",
                 "int_orders": "orders_m", "int_session_funnel": "funnel"})
-    from funnelworks.plans.quality import SCHEMA_TESTS
     checks = []
     for model, col, test, vals in SCHEMA_TESTS:
         t = tbl[model]
@@ -751,7 +752,6 @@ LIMIT 10""")
 SELECT CAST(d AS DATE) AS missing_date
 FROM (SELECT unnest(generate_series(MIN(event_date_parsed), MAX(event_date_parsed), INTERVAL 1 DAY)) AS d FROM stg)
 WHERE CAST(d AS DATE) NOT IN (SELECT event_date_parsed FROM stg WHERE event_date_parsed IS NOT NULL)""")
-    from funnelworks.plans.quality import REQUIRED_EVENTS
     ev_rows = "\nUNION ALL\n".join(
         f"SELECT 'event_present:{e}' AS check, CAST(COUNT(*) FILTER (WHERE event_name = '{e}') AS DOUBLE) AS value, "
         f"COUNT(*) FILTER (WHERE event_name = '{e}') > 0 AS passed FROM stg" for e in REQUIRED_EVENTS)
@@ -806,7 +806,6 @@ SELECT experiment_id, cvr_control, cvr_treatment, absolute_lift, relative_lift F
     q["ab_interval"] = with_ctes(F4, _ab_ctes(), body="""
 SELECT experiment_id, z_stat, diff_ci_low, diff_ci_high FROM aba""")
     q["ab_power"] = with_ctes(F4, _ab_ctes(), body="SELECT experiment_id, cvr_control, required_n_per_arm FROM aba")
-    from funnelworks.plans.experiment import DECISION_REASONS
     reason = "CASE decision " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in DECISION_REASONS.items()) + " END"
     q["ab_decision"] = with_ctes(F4, _ab_ctes(), body=f"""
 SELECT experiment_id, absolute_lift, diff_ci_low, diff_ci_high, decision, {reason} AS reason FROM abd""")

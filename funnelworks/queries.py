@@ -14,7 +14,11 @@ from funnelworks.operators.sessions import session_funnel as _session_funnel
 from funnelworks.operators.sessions import sessions as _sessions
 from funnelworks.operators.sessions import users as _users
 from funnelworks.operators.staging import stage_events as _stage_events
+from funnelworks.plans import experiment as _ab
+from funnelworks.plans import export as _export
+from funnelworks.plans import insights as _ins
 from funnelworks.plans import marts
+from funnelworks.plans import quality as _qual
 from funnelworks.session import BASE_CONF
 from funnelworks.sources import fixtures
 
@@ -125,7 +129,6 @@ def customer_rfm(spark, sf_dir):
 
 
 # ------------------------------------------------------------ findings / dashboard (INS-*, FLT-13)
-from funnelworks.plans import insights as _ins  # noqa: E402
 
 FILTER_WINDOW = ("2024-01-08", "2024-01-21")
 FILTER_DEVICES = ("desktop", "mobile")
@@ -267,8 +270,6 @@ def filtered_kpis(spark, sf_dir):
 
 
 # ------------------------------------------------------------ data quality (Q-*), extracts (X-*)
-from funnelworks.plans import export as _export  # noqa: E402
-from funnelworks.plans import quality as _qual  # noqa: E402
 
 
 def raw(spark, sf_dir):
@@ -405,7 +406,6 @@ def safe_extract_rfm(spark, sf_dir):
 
 
 # ------------------------------------------------------------ experiment analysis (AB-*)
-from funnelworks.plans import experiment as _ab  # noqa: E402
 
 EXPERIMENT_ID = "exp_checkout"
 
