@@ -65,16 +65,28 @@ def row_after(keys: list[SortKey], split: tuple) -> Column:
     return cond
 
 
+def _is_nan(x) -> bool:
+    return isinstance(x, float) and math.isnan(x)
+
+
 def _py_cmp(keys: list[SortKey]):
+    """Driver-side comparison of sampled keys with Spark's ordering: NULLs first
+    ascending / last descending, NaN above every other number."""
     def cmp(a, b):
         for k, x, y in zip(keys, a, b):
-            if x == y:
+            if x is None or y is None:
+                if x is None and y is None:
+                    continue
+                first = x is None
+                return (-1 if first else 1) if k.ascending else (1 if first else -1)
+            if _is_nan(x) or _is_nan(y):
+                if _is_nan(x) and _is_nan(y):
+                    continue
+                lt = _is_nan(y)
+            elif x == y:
                 continue
-            if x is None:
-                return -1 if k.ascending else 1
-            if y is None:
-                return 1 if k.ascending else -1
-            lt = x < y
+            else:
+                lt = x < y
             return (-1 if lt else 1) if k.ascending else (1 if lt else -1)
         return 0
     return cmp

@@ -79,3 +79,12 @@ def test_grouped_median_matches_pandas(spark, rows_per_range):
     assert got.keys() == want.keys()
     for g in want:
         assert got[g] == pytest.approx(want[g], rel=0, abs=1e-12)
+
+
+def test_ntile_with_nan_and_null_keys(spark):
+    rnd = random.Random(2)
+    vals = [float("nan"), None, 1.0, 2.5, -3.0, 0.0]
+    df = spark.createDataFrame([(f"u{i:04d}", rnd.choice(vals)) for i in range(300)], "u string, m double")
+    got = global_ntile(df, {"t": [SortKey("m", False), SortKey("u")]}, 4, rows_per_range=9)
+    ref = df.withColumn("t", F.ntile(4).over(Window.orderBy(F.col("m").desc_nulls_last(), "u")))
+    assert sorted((r.u, r.t) for r in got.collect()) == sorted((r.u, r.t) for r in ref.collect())
