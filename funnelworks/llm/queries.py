@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from funnelworks.llm import sentencepiece_bpe
+from funnelworks.llm import sentencepiece_bpe, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +28,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op6_simhash_near_dedup(spark, sf_dir):
+    """Operator 6: 3-word shingles, links at 3 bits or fewer, components by smallest doc_id."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @register
 def op10_sentencepiece_round_trip(spark, sf_dir):
     """Operator 10: merge-type SentencePiece encoding with an end id, and decoding, as digests."""
