@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import sentencepiece_bpe, simhash
+from funnelworks.llm import sentencepiece_bpe, simhash, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +28,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op4_token_files(spark, sf_dir):
+    """Operator 4: ids of every text and the end id 1, written as stream files and read back."""
+    data = token_files.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_files.read_digests(data)
+
+
 @register
 def op6_simhash_near_dedup(spark, sf_dir):
     """Operator 6: 3-word shingles, links at 3 bits or fewer, components by smallest doc_id."""
