@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import sentencepiece_bpe, simhash, token_files
+from funnelworks.llm import sentencepiece_bpe, simhash, token_files, winnowing
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,6 +35,12 @@ def op4_token_files(spark, sf_dir):
     return token_files.read_digests(data)
 
 
+@register
+def op5_winnowing_fingerprints(spark, sf_dir):
+    """Operator 5: fingerprints of every text and its edited text, and their likeness."""
+    return winnowing.with_next(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_simhash_near_dedup(spark, sf_dir):
     """Operator 6: 3-word shingles, links at 3 bits or fewer, components by smallest doc_id."""
