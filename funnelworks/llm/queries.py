@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import sentencepiece_bpe, simhash, token_files, winnowing
+from funnelworks.llm import langid, sentencepiece_bpe, simhash, token_files, winnowing
+from funnelworks.llm.common import held_out
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,6 +49,14 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register
+def op9_language_id(spark, sf_dir):
+    """Operator 9: learned from rows that are not held out, predicted for all."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()), tokenizer("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @register
 def op10_sentencepiece_round_trip(spark, sf_dir):
     """Operator 10: merge-type SentencePiece encoding with an end id, and decoding, as digests."""
