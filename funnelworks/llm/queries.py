@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, sentencepiece_bpe, simhash, token_files, winnowing
+from funnelworks.llm import langid, quality, sentencepiece_bpe, simhash, token_counts, token_files, winnowing
 from funnelworks.llm.common import held_out
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op1_token_counts(spark, sf_dir):
+    """Operator 1: unigram token counts of every text."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 @register
 def op4_token_files(spark, sf_dir):
     """Operator 4: ids of every text and the end id 1, written as stream files and read back."""
@@ -49,6 +55,14 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register
+def op8_quality_rules(spark, sf_dir):
+    """Operator 8: the cascade's verdict beside the base counts of every text."""
+    out = quality.cascade(table(spark, sf_dir, "documents"), features=quality.BASE)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.select("doc_id", *quality.BASE, failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
+
+
 @register
 def op9_language_id(spark, sf_dir):
     """Operator 9: learned from rows that are not held out, predicted for all."""
