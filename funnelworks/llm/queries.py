@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, quality, sentencepiece_bpe, simhash, token_counts, token_files, winnowing
-from funnelworks.llm.common import held_out
+from funnelworks.llm import langid, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
+from funnelworks.llm.common import held_out, join_narrow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,6 +35,16 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@register
+def op3_toxicity(spark, sf_dir):
+    """Operator 3: learned from labelled rows that are not held out, scored for all; label 1 from 0.3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(join_narrow(docs, labels, "doc_id"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @register
 def op4_token_files(spark, sf_dir):
     """Operator 4: ids of every text and the end id 1, written as stream files and read back."""
