@@ -3,15 +3,15 @@
 Format: a folder of Arrow IPC stream files. A file holds the ids of a range of documents, one after
 another in ascending id order, cut into sequences of ``length`` ids; the columns are ``ids``
 (fixed_size_list<uint16 or uint32>[length], 16 bits where the vocabulary allows) and ``mask``
-(fixed_size_list<uint8>[length], 1 for an id, 0 for the padding behind the last id of a file).
+(fixed_size_list<bool>[length], true for an id, false for the padding behind the last id of a file).
 All batches of a file but the last have ``rows`` sequences, so they take equally many bytes and
 batch k is found by arithmetic: ``SequenceFile`` maps a file into memory and gives any sequence as
 a view of the mapped bytes, without a copy. Beside the files stand two Parquet tables: ``index``
 (a row per document: file, first id within it, number of ids) and ``files`` (a row per file: its
 first id in the whole stream, its number of ids).
 
-Encoding: the tokenizers library encodes each distinct stretch between spaces, tabs and line ends
-once per worker (a bounded memo). That is exact for a vocabulary whose normaliser and
+Encoding: the tokenizers library encodes each distinct stretch between spaces, tabs and line ends,
+and each distinct run of Latin-1 letters in one, once per worker (bounded memos). That is exact for a vocabulary whose normaliser and
 pre-tokenizer do not look across white space, which ``StretchEncoder`` asks for by name; for any
 other vocabulary whole texts go to the library.
 
@@ -24,9 +24,9 @@ is run again writes a new file; ``files`` names the files of the attempts that c
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,10 +40,11 @@ from pyspark.sql import functions as F
 
 from funnelworks.llm.common import per_document, scratch, stored
 
-MEMO_CHARS, MEMO_SIZE = 64, 400_000
+MEMO_CHARS, MEMO_SIZE = 64, 600_000
+#: Runs of letters that the library gets as one text.
+RUNS = 512
 #: Ids of a sequence, sequences of a batch, and ids of a file at about which a new one begins.
 LENGTH, ROWS, FILE_IDS = 2048, 64, 16_000_000
-_WHITE = re.compile(r"[ \t\n\r]+")
 
 
 class StretchEncoder:
@@ -56,7 +57,13 @@ class StretchEncoder:
         self.dtype = np.dtype("<u2" if max(self.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         self.cuts = self._drops_white_space(json.loads(self.lib.to_str()))
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}  # by stretch
+        self.parts: dict[str, bytes] = {}  # by lower-case run of letters, mark, or any other stretch
+        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
+        self.ends_word = None
+        if suffix:
+            size = self.lib.get_vocab_size()
+            self.ends_word = np.array([(self.lib.id_to_token(k) or "").endswith(suffix) for k in range(size)])
 
     @staticmethod
     def _drops_white_space(spec: dict) -> bool:
@@ -70,22 +77,58 @@ class StretchEncoder:
                 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"])
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.lib.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.dtype.char, e.ids).tobytes() for e in found]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters; a run's last id is the only one that ends a word, so many go as one text."""
+        out: list[bytes] = []
+        for k in range(0, len(runs), RUNS):
+            some = runs[k:k + RUNS]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                out += self._library(some)
+                continue
+            data, size = ids.tobytes(), self.dtype.itemsize
+            out += [data[a * size:b * size] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    @staticmethod
+    def _parts(stretch: str) -> tuple[str, ...]:
+        """A run of Latin-1 letters in lower case, with a full stop or comma behind it apart; else the stretch itself.
+
+        Such letters are composed already, become lower case one by one, and make one word of the pre-tokenizer.
+        """
+        run, mark = (stretch[:-1], stretch[-1:]) if stretch[-1:] in (".", ",") else (stretch, "")
+        if not run.isalpha() or max(run) > "\xff":
+            return (stretch,)
+        return (run.lower(), mark) if mark else (run.lower(),)
+
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
+        if len(self.parts) > MEMO_SIZE:
+            self.parts = {}
+        cut = {s: self._parts(s) for s in stretches} if self.ends_word is not None else {s: (s,) for s in stretches}
+        known = self.parts
+        missing = {p for c in cut.values() for p in c}.difference(known)
+        runs = [p for p in missing if p.isalpha() and max(p) <= "\xff"] if self.ends_word is not None else []
+        rest = list(missing.difference(runs))
+        fresh = dict(zip(runs, self._runs(runs), strict=True)) | dict(zip(rest, self._library(rest), strict=True))
+        known.update((p, b) for p, b in fresh.items() if len(p) <= MEMO_CHARS)
+        return {s: b"".join([known[p] if p in known else fresh[p] for p in c]) for s, c in cut.items()}
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, and the end id."""
         if not self.cuts:
             return [ids + self.end for ids in self._library(texts)]
-        cut = [_WHITE.sub(" ", t).split(" ") for t in texts]
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_SIZE:
-            self.memo = {}
-        memo = self.memo
-        memo[""] = b""
-        missing = list({s for c in cut for s in c if s not in memo})
-        fresh = dict(zip(missing, self._library(missing), strict=True))
-        memo.update((s, b) for s, b in fresh.items() if len(s) <= MEMO_CHARS)
-        return [b"".join([memo[s] if s in memo else fresh[s] for s in c]) + self.end for c in cut]
+            self.memo = {"": b""}
+        found = [list(map(self.memo.get, c)) for c in cut]
+        fresh = self._learn({s for c, f in zip(cut, found, strict=True) if None in f for s, b in zip(c, f, strict=True) if b is None})
+        self.memo.update((s, b) for s, b in fresh.items() if len(s) <= MEMO_CHARS)
+        return [b"".join([fresh[s] if b is None else b for s, b in zip(c, f, strict=True)] if None in f else f) + self.end
+                for c, f in zip(cut, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +146,7 @@ def open_file(uri: str):
 
 
 def _schema(length: int, dtype: np.dtype) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
@@ -120,9 +163,9 @@ class SequenceWriter:
 
     def _write(self, data: bytes) -> None:
         ids = np.frombuffer(data, dtype=self.dtype)
-        mask = np.ones(len(ids), dtype=np.uint8)
+        mask = np.ones(len(ids), dtype=bool)
         if pad := -len(ids) % self.length:
-            ids, mask = np.r_[ids, np.zeros(pad, self.dtype)], np.r_[mask, np.zeros(pad, np.uint8)]
+            ids, mask = np.r_[ids, np.zeros(pad, self.dtype)], np.r_[mask, np.zeros(pad, bool)]
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -161,10 +204,11 @@ class SequenceFile:
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``k``."""
+        """Ids of sequence ``k``, a view of the mapped file, and its mask, unpacked from the mapped bits."""
         batch, row = self.batch(k // self.rows), k % self.rows
         at = slice(row * self.length, (row + 1) * self.length)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True)[at] for c in batch.columns)
+        return (batch.column(0).flatten().to_numpy(zero_copy_only=True)[at],
+                batch.column(1).flatten()[at].to_numpy(zero_copy_only=False))
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the file's stream, across sequences and batches."""
@@ -189,12 +233,15 @@ class TokenDataset:
 def _file_writer(folder: str, length: int, rows: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of one range come in order of their ids; they make one file."""
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         name, out = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.arrow", None
         for batch in batches:
             starts, counts = [], []
             out = out or SequenceWriter(f"{folder}/{name}", length, rows, np.dtype(dtype))
             for ids in batch.column("ids"):
-                data = ids.as_buffer().to_pybytes()
+                data = unpack(ids.as_buffer())
                 starts.append(out.total)
                 counts.append(len(data) // out.dtype.itemsize)
                 out.append(data)
@@ -215,13 +262,16 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
         folder = f"file://{folder}"
 
     def run(texts: list[str]) -> list[tuple]:
-        return [(b,) for b in encoder(tokenizer_path, end_id).encode_texts(texts)]
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress  # what is stored and shuffled is about half
+        return [(pack(b), len(b)) for b in encoder(tokenizer_path, end_id).encode_texts(texts)]
 
-    encoded = stored(per_document(docs, [id_col], run, f"{id_col} long, ids binary"), "token-ids")
+    encoded = stored(per_document(docs, [id_col], run, f"{id_col} long, ids binary, size long"), "token-ids")
     dtype = StretchEncoder(tokenizer_path, end_id).dtype
-    total = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0
+    total = encoded.agg(F.sum("size")).first()[0] or 0
     # Each range of ids becomes one file, named after the number of its partition.
-    dealt = (encoded.withColumnRenamed(id_col, "id").repartitionByRange(max(1, -(-total // (file_ids * dtype.itemsize))), "id")
+    dealt = (encoded.select(F.col(id_col).alias("id"), "ids").repartitionByRange(max(1, -(-total // (file_ids * dtype.itemsize))), "id")
              .sortWithinPartitions("id", "ids"))
     index = stored(dealt.mapInArrow(_file_writer(folder, length, rows, dtype.str),
                                     "id long, file string, local_start long, n_tokens long"), "token-index")
