@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
+from funnelworks.llm import langid, mixing, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
 from funnelworks.llm.common import held_out, join_narrow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,22 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def mix_levels() -> dict:
+    """The tree of operator 7: three groups of sources (the table has no domain), languages, sources."""
+    return {"domain": F.concat(F.lit("d"), F.ascii(F.md5(F.col("source").cast("binary"))) % 3), "lang": F.col("lang"), "source": F.col("source")}
+
+
+MIX_WEIGHTS = {"domain": {"d0": 2, "d1": 3, "d2": 4}, "lang": {"en": 6, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 3}}
+
+
+@register
+def op7_mixing(spark, sf_dir):
+    """Operator 7: half of all tokens, dealt down the tree, as the taken documents of seeded epochs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=(1, 2), max_epochs=4, seed=7)
+    return out.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "n_taken")
+
+
 @register
 def op8_quality_rules(spark, sf_dir):
     """Operator 8: the cascade's verdict beside the base counts of every text."""
