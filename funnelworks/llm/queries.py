@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, mixing, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
+from funnelworks.llm import langid, mixing, pii, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
 from funnelworks.llm.common import held_out, join_narrow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@register
+def op2_pii(spark, sf_dir):
+    """Operator 2: base spans and contextually discovered ones of every text."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_toxicity(spark, sf_dir):
     """Operator 3: learned from labelled rows that are not held out, scored for all; label 1 from 0.3."""
