@@ -216,10 +216,21 @@ def train(docs: DataFrame, model_path: str, rounds: int = 1) -> Model:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(id, lang_pred, score) of every text."""
+    return _predict(docs, model, [id_col], f"{id_col} long")
+
+
+def label(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text, source, n_chars) with lang_pred and score beside the text, in one pass."""
+    d = docs.select("doc_id", "source", "n_chars", F.col("text").alias("whole"), "text")
+    return _predict(d, model, ["doc_id", "source", "n_chars", "whole"], "doc_id long, source string, n_chars long, whole string"
+                    ).withColumnRenamed("whole", "text")
+
+
+def _predict(docs: DataFrame, model: Model, columns: list[str], schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most pieces x languages numbers
 
     def run(texts: list[str]) -> list[tuple]:
         m = shared.value
         return [m.predict(t) for t in texts]
 
-    return per_document(docs, [id_col], run, f"{id_col} long, lang_pred string, score double")
+    return per_document(docs, columns, run, f"{schema}, lang_pred string, score double")

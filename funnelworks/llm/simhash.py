@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelworks.llm.common import per_document, stored
@@ -178,3 +178,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     named = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-names")
     names = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(names, "fp").select(id_col, "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` per component: that of the component's id; of rows that repeat the id, the first text.
+
+    Rows without an id cannot be told apart: one of them stays where a component has no id at all.
+    """
+    groups = near_duplicates(docs, shingle, max_bits, id_col)
+    kept = stored(groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct(), "simhash-kept")
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    # The join has brought the rows of an id together; no further shuffle.
+    first = Window.partitionBy(id_col).orderBy(F.md5(F.col("text").cast("binary")))
+    return rows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
