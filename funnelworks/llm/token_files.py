@@ -16,7 +16,7 @@ pre-tokenizer do not look across white space, which ``StretchEncoder`` asks for
 other vocabulary whole texts go to the library.
 
 Null and empty texts hold the end id alone. Texts of any length are encoded whole; a document may
-span many sequences. Rows with equal ids stand in the order of their tokens; null ids come first.
+span many sequences. Rows with equal ids stand in the order of their packed texts; null ids come first.
 An empty table writes no file and reads back as no rows. Other columns are not read. A task that
 is run again writes a new file; ``files`` names the files of the attempts that counted.
 """
@@ -38,13 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import per_document, scratch, stored
+from funnelworks.llm.common import scratch, split_points, steps, stored
 
 MEMO_CHARS, MEMO_SIZE = 64, 600_000
 #: Runs of letters that the library gets as one text.
 RUNS = 512
-#: Ids of a sequence, sequences of a batch, and ids of a file at about which a new one begins.
-LENGTH, ROWS, FILE_IDS = 2048, 64, 16_000_000
+#: Ids of a sequence, sequences of a batch, and bytes of text of a file, about.
+LENGTH, ROWS, FILE_BYTES = 2048, 64, 16_000_000
+NULL_ID = -(1 << 63)
 
 
 class StretchEncoder:
@@ -230,23 +231,39 @@ class TokenDataset:
     files: DataFrame  # file, file_start, file_tokens
 
 
-def _file_writer(folder: str, length: int, rows: int, dtype: str):
+def _pack(splits: list[int]):
+    """(part, id, text): each document to its range of ids, its text compressed for the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents of one range come in order of their ids; they make one file."""
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        squeeze, bounds = zstandard.ZstdCompressor(level=1).compress, np.array(splits, dtype=np.int64)
+        for whole in batches:
+            for batch in steps(whole):
+                keys = np.array([NULL_ID if k is None else k for k in batch.column(0).to_pylist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.searchsorted(bounds, keys, side="right"), pa.int32()), batch.column(0),
+                     pa.array([squeeze((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["part", "id", "text"])
+
+    return run
+
+
+def _file_writer(folder: str, length: int, rows: int, tokenizer_path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of one range come in order of their ids; they are encoded and make one file."""
+        import zstandard
+
+        unpack, encode = zstandard.ZstdDecompressor().decompress, encoder(tokenizer_path, end_id)
         name, out = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.arrow", None
-        for batch in batches:
-            starts, counts = [], []
-            out = out or SequenceWriter(f"{folder}/{name}", length, rows, np.dtype(dtype))
-            for ids in batch.column("ids"):
-                data = unpack(ids.as_buffer())
-                starts.append(out.total)
-                counts.append(len(data) // out.dtype.itemsize)
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * batch.num_rows), pa.array(starts, pa.int64()),
-                                              pa.array(counts, pa.int64())], names=["id", "file", "local_start", "n_tokens"])
+        for whole in batches:
+            for batch in steps(whole):
+                starts, counts = [], []
+                out = out or SequenceWriter(f"{folder}/{name}", length, rows, encode.dtype)
+                for ids in encode.encode_texts([unpack(t.as_buffer()).decode() for t in batch.column("text")]):
+                    starts.append(out.total)
+                    counts.append(len(ids) // out.dtype.itemsize)
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([name] * batch.num_rows), pa.array(starts, pa.int64()),
+                                                  pa.array(counts, pa.int64())], names=["id", "file", "local_start", "n_tokens"])
         if out:
             out.close()
 
@@ -254,26 +271,19 @@ def _file_writer(folder: str, length: int, rows: int, dtype: str):
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, length: int = LENGTH,
-          rows: int = ROWS, file_ids: int = FILE_IDS, id_col: str = "doc_id") -> TokenDataset:
+          rows: int = ROWS, file_bytes: int = FILE_BYTES, id_col: str = "doc_id") -> TokenDataset:
     """Encode every text, append ``end_id``, and write the stream files into ``folder`` (of the shared file system)."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "token-files")
     if ":/" not in folder:
         folder = f"file://{folder}"
-
-    def run(texts: list[str]) -> list[tuple]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress  # what is stored and shuffled is about half
-        return [(pack(b), len(b)) for b in encoder(tokenizer_path, end_id).encode_texts(texts)]
-
-    encoded = stored(per_document(docs, [id_col], run, f"{id_col} long, ids binary, size long"), "token-ids")
-    dtype = StretchEncoder(tokenizer_path, end_id).dtype
-    total = encoded.agg(F.sum("size")).first()[0] or 0
-    # Each range of ids becomes one file, named after the number of its partition.
-    dealt = (encoded.select(F.col(id_col).alias("id"), "ids").repartitionByRange(max(1, -(-total // (file_ids * dtype.itemsize))), "id")
-             .sortWithinPartitions("id", "ids"))
-    index = stored(dealt.mapInArrow(_file_writer(folder, length, rows, dtype.str),
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), "text")
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Ranges of ids hold about equally many documents; each becomes one file, named after the number of its range.
+    splits = split_points(keyed.select(F.coalesce("id", F.lit(NULL_ID)).alias("key")), "key", -(-total // file_bytes))
+    dealt = (keyed.mapInArrow(_pack(splits), "part int, id long, text binary")
+             .repartitionById(len(splits) + 1, "part").sortWithinPartitions("id", "text"))
+    index = stored(dealt.mapInArrow(_file_writer(folder, length, rows, tokenizer_path, end_id),
                                     "id long, file string, local_start long, n_tokens long"), "token-index")
     # Names begin with the number of their range, so their order is that of the ids; a row per file.
     sizes = index.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens")).orderBy("file").collect()
