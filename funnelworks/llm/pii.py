@@ -7,7 +7,7 @@ long runs of digits or letters take linear time.
 
 Bootstrapping. Occurrences are the base spans, whose texts are the seeds, and all other tokens with
 a digit or an @ that touch no base span. An occurrence's lexical pattern is the two words before
-it. Patterns and texts make a graph (one edge per pattern, text and kind, however often it occurs,
+it (runs of letters and digits in lower case, with a : or = behind). Patterns and texts make a graph (one edge per pattern, text and kind, however often it occurs,
 so copies of a document add nothing). In each round a pattern's confidence in a kind is the summed
 confidence of its texts in that kind over the number of its texts plus one, seeds having 1 and
 others 0 at first; a text's confidence is then one minus the product of its reliable patterns'
@@ -42,7 +42,6 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 ROUNDS, MIN_CONFIDENCE, MIN_SEEDS = 2, 0.7, 3
 #: Code points before a match that are kept for its two words.
 CONTEXT = 64
-_BLANK = r"[\x20\x09-\x0D]"
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
@@ -88,7 +87,6 @@ def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("m", "^[^0-9A-Za-z@+]+", ""), "[^0-9A-Za-z]+$", "")
     loose = F.col("kind") == len(KINDS)
     rows = rows.withColumn("text", F.when(loose, bare).otherwise(F.col("m")))
-    rows = rows.withColumn("left", F.when(loose, F.concat("left", head)).otherwise(F.col("left")))
     rows = rows.withColumn("start", F.when(loose, F.col("start") + F.length(head)).otherwise(F.col("start")))
     rows = rows.withColumn("end", F.col("start") + F.length("text")).withColumn("kind", F.when(~loose, F.col("kind")))
     # A token touches a base span if one that begins before its end ends after its start.
@@ -98,7 +96,7 @@ def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("reach", reach).withColumn("ahead", ahead)
     free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
     rows = rows.where(F.col("kind").isNotNull() | (free & (F.length("text") >= 5)))
-    words = F.regexp_extract_all(F.lower("left"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("left"), F.lit(r"[\p{L}\p{N}]+[:=]*"), F.lit(0))
     return rows.select(id_col, "h", "kind", "start", "end", F.lower("text").alias("text"),
                        F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")).alias("w2"),
                        F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("w1"))
