@@ -40,10 +40,9 @@ _BASE = 0x9E3779B97F4A7C15
 _NULL_ID = -(1 << 63)
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    size = BLOCK + 4096
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.full(size, base, dtype=np.uint64)
@@ -54,7 +53,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     """Mixed rolling hashes of all k-grams of at most BLOCK + 4096 - 1 code points."""
-    up, down = _powers()
+    up, down = _powers(BLOCK + 4096)
     sums = np.empty(len(points) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * down[:len(points)], out=sums[1:])
