@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Money is summed as an exact integer count of micro-units, then turned back into
-# a double: the total does not depend on the order rows arrive in a shuffle.
-MONEY_SCALE = 1_000_000
+# Money is summed as a decimal with six places (amounts are rounded half up to a millionth) and then
+# turned back into a double: the total does not depend on the order rows arrive in a shuffle, and it
+# may have 32 digits before the point.
+MONEY_INPUT, MONEY = "decimal(32,6)", "decimal(38,6)"
 
 
 def _c(x: str | Column) -> Column:
@@ -19,10 +20,14 @@ def safe_divide(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(_c(a).cast("double"), F.nullif(_c(b).cast("double"), F.lit(0.0)))
 
 
+def money(x: str | Column) -> Column:
+    """A currency column as the decimal that is summed."""
+    return _c(x).cast(MONEY_INPUT)
+
+
 def money_sum(x: str | Column) -> Column:
     """Order-independent sum of a currency column, as double (NULL for no values)."""
-    micros = F.round(_c(x) * F.lit(MONEY_SCALE)).cast("long")
-    return F.sum(micros) / F.lit(float(MONEY_SCALE))
+    return F.sum(money(x)).cast("double")
 
 
 def any_flag(cond: Column) -> Column:
@@ -31,8 +36,8 @@ def any_flag(cond: Column) -> Column:
 
 
 def count_when(cond: Column) -> Column:
-    """Number of rows where cond is true (NULL counts as false)."""
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
+    """Number of rows where cond is true (NULL counts as false; 0 without rows)."""
+    return F.count_if(cond)
 
 
 def week_start(d: str | Column) -> Column:

@@ -8,13 +8,11 @@ one per function node, which keeps plan construction cheap.
 
 from __future__ import annotations
 
-from funnelworks.functions.metrics import MONEY_SCALE
-
-_SCALE = f"CAST({MONEY_SCALE} AS DOUBLE)"
+from funnelworks.functions.metrics import MONEY_INPUT
 
 
 def money_sum(x: str) -> str:
-    return f"(sum(CAST(round(({x}) * {_SCALE}) AS BIGINT)) / {_SCALE})"
+    return f"CAST(sum(CAST(({x}) AS {MONEY_INPUT})) AS DOUBLE)"
 
 
 def safe_divide(a: str, b: str) -> str:
@@ -26,7 +24,7 @@ def any_flag(cond: str) -> str:
 
 
 def count_when(cond: str) -> str:
-    return f"CAST(sum(CASE WHEN ({cond}) THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"count_if({cond})"
 
 
 def first_by(order_cols: list[str], value_cols: list[str]) -> str:

@@ -1,38 +1,30 @@
-"""Exact global ``ntile`` and running sums without a one-task window (R5, R6).
+"""Exact global ``ntile``, running sums and medians without a one-task window (R5, R6).
 
-A window with ``orderBy`` but no ``partitionBy`` pulls every row into one
-task. Here the ordering is split into key ranges instead:
+A window with ``orderBy`` but no ``partitionBy`` pulls every row into one task. Here an ordering is
 
-1. split points = quantiles of a bounded random sample of the sort keys,
-   collected once and frozen as literals;
-2. each row gets its range id from a balanced tree of comparisons against
-   those literals (log2(B) comparisons, JVM-side);
-3. per-range counts / sums form a table of at most B rows per ordering
-   (bounded by B, not by the data), collected once; their prefix sums are
-   each range's global offset, applied as a literal map;
-4. ``row_number`` / running sums run partitioned by range id, plus the
-   offset, which gives exact global ranks. Plans stay linear: no self-join
-   of the rows with their own range table.
+1. a range partitioning of the rows by its keys, sorted within the ranges and written to the shared
+   folder with each row's range and place in it (``monotonically_increasing_id`` of the sorted rows
+   holds both, so no window is needed);
+2. a table of range offsets, one row per range: rows and sums of the ranges before;
+3. a join of the two on the range.
 
-Any split points give exact results; they only decide the balance. The
-tie-break columns make keys unique, so a value shared by a third of the rows
-(e.g. frequency = 1) is still spread over many ranges.
+Spark's own range partitioner finds the bounds and does the binary search, so planning takes equally
+long for any number of ranges, and nothing about the ranges reaches the driver. Any bounds give
+exact results; they only decide the balance. Tie-break columns make the keys unique, so a value
+shared by a third of the rows is still spread over many ranges.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.functions.metrics import MONEY_SCALE
+from funnelworks.functions.metrics import MONEY, money
+from funnelworks.sources.sinks import materialize
 
-DEFAULT_ROWS_PER_RANGE = 1_000_000
-SAMPLE_PER_RANGE = 64
-MAX_SAMPLE = 200_000
+_PLACE_BITS = 33   # monotonically_increasing_id: partition number above, row number below
 
 
 @dataclass(frozen=True)
@@ -41,238 +33,92 @@ class SortKey:
     ascending: bool = True   # ascending sorts NULLs first, descending NULLs last (Spark default)
 
 
-def _after(col: Column, value, asc: bool) -> Column:
-    """Row value sorts strictly after the literal ``value``."""
-    if value is None:
-        return col.isNotNull() if asc else F.lit(False)
-    lit = F.lit(value)
-    if asc:
-        return F.coalesce(col > lit, F.lit(False))
-    return col.isNull() | F.coalesce(col < lit, F.lit(False))
-
-
-def _equal(col: Column, value) -> Column:
-    return col.isNull() if value is None else F.coalesce(col == F.lit(value), F.lit(False))
-
-
-def row_after(keys: list[SortKey], split: tuple) -> Column:
-    """Lexicographic "row sorts after split" over all keys."""
-    cond = None
-    for key, value in reversed(list(zip(keys, split))):
-        col = F.col(key.column)
-        here = _after(col, value, key.ascending)
-        cond = here if cond is None else (here | (_equal(col, value) & cond))
-    return cond
-
-
-def _is_nan(x) -> bool:
-    return isinstance(x, float) and math.isnan(x)
-
-
-def _py_cmp(keys: list[SortKey]):
-    """Driver-side comparison of sampled keys with Spark's ordering: NULLs first
-    ascending / last descending, NaN above every other number."""
-    def cmp(a, b):
-        for k, x, y in zip(keys, a, b):
-            if x is None or y is None:
-                if x is None and y is None:
-                    continue
-                first = x is None
-                return (-1 if first else 1) if k.ascending else (1 if first else -1)
-            if _is_nan(x) or _is_nan(y):
-                if _is_nan(x) and _is_nan(y):
-                    continue
-                lt = _is_nan(y)
-            elif x == y:
-                continue
-            else:
-                lt = x < y
-            return (-1 if lt else 1) if k.ascending else (1 if lt else -1)
-        return 0
-    return cmp
-
-
-def range_id(keys: list[SortKey], splits: list[tuple]) -> Column:
-    """Number of split points the row sorts after, as a balanced CASE tree."""
-    def build(lo: int, hi: int) -> Column:   # result in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2                 # split index between range mid and mid+1
-        return F.when(row_after(keys, splits[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-    return build(0, len(splits))
-
-
-def choose_splits(df: DataFrame, keys: list[SortKey], n_rows: int,
-                  rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17) -> list[tuple]:
-    """B-1 split points from a sample of at most ~MAX_SAMPLE rows (driver-bounded)."""
-    n_ranges = max(1, math.ceil(n_rows / max(1, rows_per_range)))
-    if n_ranges == 1:
-        return []
-    target = min(MAX_SAMPLE, n_ranges * SAMPLE_PER_RANGE)
-    fraction = min(1.0, target / max(1, n_rows))
-    rows = df.select(*[k.column for k in keys]).sample(False, fraction, seed).collect()
-    sample = sorted((tuple(r) for r in rows), key=functools.cmp_to_key(_py_cmp(keys)))
-    if not sample:
-        return []
-    splits = []
-    for i in range(1, n_ranges):
-        s = sample[min(len(sample) - 1, (i * len(sample)) // n_ranges)]
-        if not splits or _py_cmp(keys)(s, splits[-1]) > 0:
-            splits.append(s)
-    return splits
-
-
 def _ordered(keys: list[SortKey]) -> list[Column]:
     return [F.col(k.column).asc_nulls_first() if k.ascending else F.col(k.column).desc_nulls_last()
             for k in keys]
 
 
-def _lookup(rid: str, values: dict[int, int]) -> Column:
-    """Per-range constant as a literal map (folded to one map literal by Catalyst)."""
-    if len(values) == 1:
-        return F.lit(next(iter(values.values())))
-    pairs = []
-    for k, v in sorted(values.items()):
-        pairs += [F.lit(k), F.lit(v)]
-    return F.element_at(F.create_map(*pairs), F.col(rid))
-
-
-def _range_stats(ranged: DataFrame, rids: list[str], micros: str | None = None) -> list[dict[int, tuple]]:
-    """(count, sum of ``micros``) per range id, for several range columns in one job.
-
-    The result has at most (number of orderings x number of ranges) rows,
-    bounded by the range size, not by the data: it is the only thing about
-    the ranking that reaches the driver besides the split-point sample.
-    """
-    parts = []
-    for i, rid in enumerate(rids):
-        aggs = [F.count(F.lit(1)).alias("c")]
-        aggs.append(F.coalesce(F.sum(micros), F.lit(0)).alias("s") if micros else F.lit(0).cast("long").alias("s"))
-        parts.append(ranged.groupBy(F.col(rid).alias("rid")).agg(*aggs).withColumn("which", F.lit(i)))
-    u = parts[0]
-    for part in parts[1:]:
-        u = u.unionByName(part)
-    out: list[dict[int, tuple]] = [{} for _ in rids]
-    for r in u.collect():
-        out[r["which"]][r["rid"]] = (r["c"], r["s"])
-    return out
-
+def _ranges(df: DataFrame, ranges: int | None) -> int:
+    return ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _offsets(stats: dict[int, tuple], idx: int) -> dict[int, int]:
-    acc, off = 0, {}
-    for k in sorted(stats):
-        off[k] = acc
-        acc += stats[k][idx]
-    return off or {0: 0}
 
+def stored_order(df: DataFrame, keys: list[SortKey], ranges: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``keys``, with ``__range`` and ``__place`` (0-based place within the range)."""
+    d = df.repartitionByRange(_ranges(df, ranges), *_ordered(keys)).sortWithinPartitions(*_ordered(keys))
+    d = materialize(d.withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    return d.withColumn("__range", F.shiftright("__id", _PLACE_BITS)).withColumn(
+        "__place", F.col("__id").bitwiseAND((1 << _PLACE_BITS) - 1)).drop("__id")
 
-def _with_range(df: DataFrame, keys: list[SortKey], splits: list[tuple], name: str) -> DataFrame:
-    return df.withColumn(name, range_id(keys, splits) if splits else F.lit(0))
 
+def _offsets(ordered: DataFrame, **sums: Column) -> DataFrame:
+    """One row per range: ``__before`` rows in earlier ranges and ``__n`` in all, and the same of each sum."""
+    per = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    # A window over one row per range.
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = [F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(whole).alias("__n")]
+    for k in sums:
+        out += [F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before"), F.sum(k).over(whole).alias(f"{k}_all")]
+    return per.select("__range", *out)
 
-def global_positions(df: DataFrame, specs: dict[str, list[SortKey]], splits: dict[str, list[tuple]]
-                     ) -> tuple[DataFrame, int]:
-    """Adds one column per spec: the row's 0-based global position under that ordering.
 
-    Returns the frame and the row count. Plan: range ids (narrow) -> one
-    window per ordering, partitioned by its range id (one shuffle each) ->
-    plus that range's offset, a literal. ``df`` is read once more for the
-    range counts, so pass a cached or stored frame.
-    """
-    rids = {name: f"__{name}_range" for name in specs}
-    ranged = df
-    for name, keys in specs.items():
-        ranged = _with_range(ranged, keys, splits.get(name, []), rids[name])
-    stats = _range_stats(ranged, list(rids.values()))
-    n = sum(c for c, _ in stats[0].values()) if stats else 0
-    for i, (name, keys) in enumerate(specs.items()):
-        w = Window.partitionBy(rids[name]).orderBy(*_ordered(keys))
-        ranged = ranged.withColumn(name, F.row_number().over(w) - 1 + _lookup(rids[name], _offsets(stats[i], 0)))
-    return ranged.drop(*rids.values()), n
+def global_positions(df: DataFrame, keys: list[SortKey], name: str, ranges: int | None = None) -> DataFrame:
+    """Adds ``name``, the row's 0-based position under ``keys``, and ``name_n``, the number of rows."""
+    ordered = stored_order(df, keys, ranges)
+    return (ordered.join(_offsets(ordered), "__range")
+            .withColumn(name, F.col("__before") + F.col("__place")).withColumn(f"{name}_n", F.col("__n"))
+            .drop("__range", "__place", "__before", "__n"))
 
 
-def tile_expr(i: Column, n: int, k: int) -> Column:
+def tile_expr(i: Column, n: Column, k: int) -> Column:
     """``ntile(k)`` from 0-based position i of n rows (first n mod k tiles get one extra)."""
-    q, r = divmod(n, k)
+    q, r = F.floor(n / k), n % k
     big = r * (q + 1)
-    first = F.floor(i / F.lit(q + 1)) + 1
-    if q == 0:                      # fewer rows than tiles: row i is in tile i + 1
-        return first.cast("long")
-    return F.when(i < F.lit(big), first).otherwise(F.floor((i - F.lit(big)) / F.lit(q)) + F.lit(r + 1)).cast("long")
+    # with fewer rows than tiles q is 0 and every row lies below big
+    return F.when(i < big, F.floor(i / (q + 1)) + 1).otherwise(F.floor((i - big) / F.greatest(q, F.lit(1))) + r + 1).cast("long")
 
 
-def global_ntile(df: DataFrame, specs: dict[str, list[SortKey]], k: int = 5,
-                 rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17) -> DataFrame:
-    """Adds one ``ntile(k)`` column per entry of ``specs`` (name -> ordering).
-
-    Driver work, all bounded: one count, one sample of split points for all
-    orderings, one table of per-range counts. ``df`` is read by each of
-    them, so pass a cached or stored frame.
-    """
-    n_rows = df.count()
-    splits = {name: choose_splits(df, keys, n_rows, rows_per_range, seed) for name, keys in specs.items()}
-    pos_names = {name: f"__{name}_pos" for name in specs}
-    ranked, n = global_positions(df, {pos_names[nm]: keys for nm, keys in specs.items()},
-                                 {pos_names[nm]: sp for nm, sp in splits.items()})
-    for name in specs:
-        ranked = ranked.withColumn(name, tile_expr(F.col(pos_names[name]), n, k)).drop(pos_names[name])
-    return ranked
+def global_ntile(df: DataFrame, specs: dict[str, list[SortKey]], k: int = 5, ranges: int | None = None) -> DataFrame:
+    """Adds one ``ntile(k)`` column per entry of ``specs`` (name -> ordering); each ordering is one stored step."""
+    for name, keys in specs.items():
+        pos = f"__{name}_pos"
+        df = global_positions(df, keys, pos, ranges)
+        df = df.withColumn(name, tile_expr(F.col(pos), F.col(f"{pos}_n"), k)).drop(pos, f"{pos}_n")
+    return df
 
 
-def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str,
-                rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17, persist: bool = True) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[SortKey], value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Adds ``out`` (running sum of the money column ``value`` under ``keys``),
     ``out_total`` (grand total), ``out_pos`` (0-based position), ``out_n`` (rows).
 
-    Sums are exact integer micro-units, so the result does not depend on
-    how rows were split into ranges. The input is read several times (count,
-    bounded sample, per-range totals, final plan), so it is cached once
-    unless ``persist`` is False (pass False when ``df`` is already cached or stored).
+    Sums are exact decimals, so the result does not depend on how rows were split into ranges.
     """
-    if persist:
-        df = df.persist()
-    n_rows = df.count()
-    splits = choose_splits(df, keys, n_rows, rows_per_range, seed)
-    rid = f"__{out}_range"
-    micros = F.round(F.col(value) * F.lit(MONEY_SCALE)).cast("long")
-    ranged = _with_range(df, keys, splits, rid).withColumn("__m", micros)
-    stats = _range_stats(ranged, [rid], "__m")[0]
-    total_c = sum(c for c, _ in stats.values())
-    total_s = sum(s for _, s in stats.values())
-    w = Window.partitionBy(rid).orderBy(*_ordered(keys))
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (ranged
-            .withColumn(f"{out}_pos", F.row_number().over(w) - 1 + _lookup(rid, _offsets(stats, 0)))
-            .withColumn(out, (F.coalesce(F.sum("__m").over(w_run), F.lit(0)) + _lookup(rid, _offsets(stats, 1)))
-                        / F.lit(float(MONEY_SCALE)))
-            .withColumn(f"{out}_total", F.lit(total_s / float(MONEY_SCALE)))
-            .withColumn(f"{out}_n", F.lit(total_c).cast("long"))
-            .drop(rid, "__m"))
+    ordered = stored_order(df, keys, ranges).withColumn("__m", money(value))
+    d = ordered.join(_offsets(ordered, __s=F.col("__m")), "__range")
+    w = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.coalesce(F.sum("__m").over(w), F.lit(0)).cast(MONEY) + F.col("__s_before").cast(MONEY)
+    return (d.withColumn(f"{out}_pos", F.col("__before") + F.col("__place"))
+            .withColumn(out, running.cast("double"))
+            .withColumn(f"{out}_total", F.col("__s_all").cast("double"))
+            .withColumn(f"{out}_n", F.col("__n"))
+            .drop("__range", "__place", "__m", "__before", "__n", "__s_before", "__s_all"))
 
 
 def grouped_median(df: DataFrame, group_cols: list[str], value: str, tiebreak: list[str],
-                   out: str = "median", rows_per_range: int = DEFAULT_ROWS_PER_RANGE, seed: int = 17) -> DataFrame:
+                   out: str = "median", ranges: int | None = None) -> DataFrame:
     """Exact interpolated median of ``value`` per group (NULLs ignored).
 
-    Rows get their global position under (group, value, tie-break) from the
-    range ranking above; each group's first position and size come from a
-    grouped count/min (combined map-side), and only the one or two middle
-    rows per group are kept. No group is ever gathered in one task, however
-    large. The tie-break must make rows unique (e.g. the unit id) so that a
-    heavily repeated value is still split across ranges.
+    Rows get their global position under (group, value, tie-break); each group's first position and
+    size come from a grouped count/min (combined map-side), which gives the positions of its one or
+    two middle rows, and those are looked up by position. Positions are unique, so no group is ever
+    gathered in one task, however large. The tie-break must make rows unique (e.g. the unit id).
     """
-    d = df.where(F.col(value).isNotNull()).select(*group_cols, value, *tiebreak).persist()
+    d = df.where(F.col(value).isNotNull()).select(*group_cols, value, *tiebreak)
     keys = [SortKey(c) for c in group_cols] + [SortKey(value)] + [SortKey(c) for c in tiebreak]
-    splits = choose_splits(d, keys, d.count(), rows_per_range, seed)
-    ranked, _ = global_positions(d, {"__pos": keys}, {"__pos": splits})
+    ranked = global_positions(d, keys, "__pos", ranges).select(*group_cols, value, "__pos")
     size = ranked.groupBy(*group_cols).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    local = F.col("__pos") - F.col("__first")
-    lo = F.floor((F.col("__n") - 1) / 2)
-    hi = F.ceil((F.col("__n") - 1) / 2)
-    mid = (ranked.join(size, group_cols)
-           .where((local == lo) | (local == hi))
-           .groupBy(*group_cols, "__n")
-           .agg(F.min(F.when(local == lo, F.col(value))).alias("__lo"),
-                F.max(F.when(local == hi, F.col(value))).alias("__hi")))
-    frac = (F.col("__n") - 1) / 2 - F.floor((F.col("__n") - 1) / 2)
-    return mid.select(*group_cols, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).alias(out))
+    middle = size.select(*group_cols, F.explode(F.array_distinct(F.array(
+        F.col("__first") + F.floor((F.col("__n") - 1) / 2), F.col("__first") + F.ceil((F.col("__n") - 1) / 2)))).alias("__pos"))
+    found = middle.join(ranked.select("__pos", value), "__pos")
+    return found.groupBy(*group_cols).agg(
+        (F.min(value) + (F.max(value) - F.min(value)) * F.when(F.count(F.lit(1)) == 2, 0.5).otherwise(0.0)).alias(out))

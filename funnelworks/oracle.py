@@ -8,11 +8,21 @@ and exact money sums (integer micro-units) as the Spark side.
 
 from __future__ import annotations
 
-from funnelworks.plans.experiment import DECISION_REASONS, MIN_PRACTICAL_LIFT, Z_ALPHA, Z_POWER
 from funnelworks.plans.quality import REQUIRED_EVENTS, SCHEMA_TESTS
 
 MICRO = "1000000"
 
+# Fixed values, written out here so that a wrong one in the code is noticed.
+Z_ALPHA = 1.9599639845400536    # standard normal quantile at 0.975
+Z_POWER = 0.8416212335729144    # and at 0.8
+MIN_PRACTICAL_LIFT = 0.005
+DECISION_REASONS = {
+    "Ship": "Primary metric significantly improved beyond MDE. Guardrails hold.",
+    "Iterate": "Conversion improved, but guardrails were harmed. Iterate on the design.",
+    "Stop": "Treatment significantly harmed conversion.",
+    "Inconclusive": "Insufficient evidence to ship. Consider running longer if business case warrants.",
+}
+
 
 def msum(x: str) -> str:
     """Exact money sum, same value as funnelworks.functions.metrics.money_sum."""
@@ -337,7 +347,7 @@ F2 = """
 f2 AS (
   SELECT CAST(o_custkey AS VARCHAR) AS user_pseudo_id, CAST(o_orderkey AS VARCHAR) AS session_key,
          CAST(o_orderdate AS DATE) AS session_date
-  FROM orders WHERE o_orderdate < TIMESTAMP '1995-04-01'
+  FROM orders
 )"""
 
 RETENTION = f"""
@@ -486,18 +496,26 @@ f5 AS (
   SELECT 'experiment_impression' AS event_name, 'exp_checkout' AS experiment_id,
     CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant,
     CAST(user_id AS VARCHAR) AS user_pseudo_id, epoch_us(t) AS event_timestamp,
-    CAST(NULL AS VARCHAR) AS transaction_id, CAST(NULL AS DOUBLE) AS revenue_usd
+    CAST(NULL AS VARCHAR) AS transaction_id, CAST(NULL AS DOUBLE) AS revenue_usd, CAST(NULL AS DOUBLE) AS duration
   FROM fv
   UNION ALL
   SELECT 'experiment_impression', 'exp_checkout', CASE WHEN user_id % 2 = 0 THEN 'treatment' ELSE 'control' END,
-    CAST(user_id AS VARCHAR), epoch_us(t) + 1, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
+    CAST(user_id AS VARCHAR), epoch_us(t) + 1, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), NULL
   FROM fv WHERE user_id % 15 = 0
   UNION ALL
   SELECT CASE WHEN event_type = 'purchase' THEN 'purchase' ELSE 'payment_error' END, 'exp_checkout',
     CAST(NULL AS VARCHAR), CAST(user_id AS VARCHAR), epoch_us(ts),
     CASE WHEN event_type = 'purchase' THEN 't' || CAST(event_id AS VARCHAR) END,
-    CASE WHEN event_type = 'purchase' THEN value END
+    CASE WHEN event_type = 'purchase' THEN value END, NULL
   FROM events WHERE event_type IN ('purchase', 'error')
+  UNION ALL
+  SELECT 'checkout_completed', 'exp_checkout', CAST(NULL AS VARCHAR), CAST(user_id AS VARCHAR), epoch_us(ts),
+    't' || CAST(event_id AS VARCHAR), NULL, CAST(20 + event_id % 200 AS DOUBLE)
+  FROM events WHERE event_type = 'purchase'
+  UNION ALL
+  SELECT 'refund_or_cancelled', 'exp_checkout', CAST(NULL AS VARCHAR), CAST(user_id AS VARCHAR), epoch_us(ts) + 1000000,
+    't' || CAST(event_id AS VARCHAR), NULL, NULL
+  FROM events WHERE event_type = 'purchase' AND event_id % 13 = 0
 )"""
 
 
@@ -770,7 +788,6 @@ UNION ALL
 SELECT 'missing_dates', CAST(g AS DOUBLE), g = 0 FROM gaps
 UNION ALL
 {ev_rows}""".lstrip())
-    q["privacy_check"] = "SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS column_name WHERE FALSE"
     label = ("CASE segment_value WHEN '(none)' THEN 'Direct' WHEN '(data deleted)' THEN 'Unknown' "
              "WHEN '<Other>' THEN 'Other' WHEN '(not set)' THEN 'Unknown' ELSE segment_value END")
     q["safe_extract"] = with_ctes(STG, SESSIONS, USERS, SEGMENTS, body=f"""
@@ -806,9 +823,28 @@ SELECT experiment_id, cvr_control, cvr_treatment, absolute_lift, relative_lift F
     q["ab_interval"] = with_ctes(F4, _ab_ctes(), body="""
 SELECT experiment_id, z_stat, diff_ci_low, diff_ci_high FROM aba""")
     q["ab_power"] = with_ctes(F4, _ab_ctes(), body="SELECT experiment_id, cvr_control, required_n_per_arm FROM aba")
+    # 1 - erf(|x|) from its power series, for the p-values; |x| beyond 8 is 0 to ten places.
+    p_of = lambda x, src: (
+        f"SELECT s.*, ROUND(CASE WHEN x IS NULL THEN NULL WHEN x = 0 THEN 1.0 WHEN x > 8 THEN 0.0 ELSE "
+        f"1 - (SELECT SUM(EXP((2 * n + 1) * LN(x) - x * x - LGAMMA(n + 1.5))) FROM range(0, 400) t(n)) END, 10) AS p_value "
+        f"FROM (SELECT *, {x} AS x FROM {src}) s")
+    q["ab_srm"] = with_ctes(F4, body=f"""
+, c AS (SELECT experiment_id, COUNT(*) FILTER (WHERE variant = 'control') AS n_control,
+    COUNT(*) FILTER (WHERE variant = 'treatment') AS n_treatment FROM f4 GROUP BY experiment_id),
+k AS (SELECT *, (POW(n_control - (n_control + n_treatment) / 2.0, 2) + POW(n_treatment - (n_control + n_treatment) / 2.0, 2))
+    / NULLIF((n_control + n_treatment) / 2.0, 0) AS chi2 FROM c),
+p AS ({p_of("SQRT(chi2 / 2)", "k")})
+SELECT experiment_id, n_control, n_treatment, chi2, p_value, COALESCE(p_value > 0.001, FALSE) AS srm_passed FROM p""".lstrip())
+    q["ab_ztest"] = with_ctes(F4, _ab_ctes(), body=f"""
+, p AS ({p_of("ABS(z_stat) / SQRT(2)", "aba")})
+SELECT experiment_id, z_stat, p_value FROM p""".lstrip())
     reason = "CASE decision " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in DECISION_REASONS.items()) + " END"
     q["ab_decision"] = with_ctes(F4, _ab_ctes(), body=f"""
 SELECT experiment_id, absolute_lift, diff_ci_low, diff_ci_high, decision, {reason} AS reason FROM abd""")
+    q["ab_summary"] = with_ctes(F4, _ab_ctes(), body=f"""
+, p AS ({p_of("ABS(z_stat) / SQRT(2)", "abd")})
+SELECT experiment_id, 'conversion_rate' AS metric, cvr_control AS control, cvr_treatment AS treatment, absolute_lift,
+  p_value, decision, {reason} AS reason FROM p""".lstrip())
     q["ab_guardrails"] = with_ctes(F4, _ab_ctes(), body="\nUNION ALL\n".join(
         f"SELECT experiment_id, '{m}' AS metric, {c}_control AS control, {c}_treatment AS treatment FROM aba"
         for m, c in (("arpu", "arpu"), ("payment_error_rate", "payment_error_rate"), ("refund_rate", "refund_rate"),
@@ -845,18 +881,23 @@ SELECT 'exp_checkout' AS experiment_id, user_pseudo_id, bucket,
     SELECT experiment_id, user_pseudo_id, event_timestamp AS exposure_ts, variant,
       ROW_NUMBER() OVER (PARTITION BY experiment_id, user_pseudo_id ORDER BY event_timestamp, variant NULLS FIRST) AS rn
     FROM f5 WHERE event_name = 'experiment_impression') WHERE rn = 1),
-oc AS (SELECT experiment_id, user_pseudo_id, event_name AS outcome, event_timestamp AS outcome_ts, revenue_usd
+oc AS (SELECT experiment_id, user_pseudo_id, event_name AS outcome, event_timestamp AS outcome_ts, revenue_usd, duration
        FROM f5 WHERE event_name <> 'experiment_impression'),
 pu AS (
   SELECT fe.experiment_id, fe.variant, fe.user_pseudo_id,
     COUNT(*) FILTER (WHERE oc.outcome = 'purchase' AND oc.outcome_ts >= fe.exposure_ts) AS purchases,
     COUNT(*) FILTER (WHERE oc.outcome = 'payment_error' AND oc.outcome_ts >= fe.exposure_ts) AS payment_errors,
+    COUNT(*) FILTER (WHERE oc.outcome = 'refund_or_cancelled' AND oc.outcome_ts >= fe.exposure_ts) AS refunds,
+    SUM(oc.duration) FILTER (WHERE oc.outcome_ts >= fe.exposure_ts) AS seconds,
+    COUNT(oc.duration) FILTER (WHERE oc.outcome_ts >= fe.exposure_ts) AS checkouts,
     {msum("CASE WHEN oc.outcome = 'purchase' AND oc.outcome_ts >= fe.exposure_ts THEN oc.revenue_usd END")} AS revenue
   FROM fe LEFT JOIN oc ON fe.experiment_id = oc.experiment_id AND fe.user_pseudo_id = oc.user_pseudo_id
   GROUP BY 1, 2, 3)
 SELECT experiment_id, variant, COUNT(*) AS exposed_users, COUNT(*) FILTER (WHERE purchases > 0) AS converted_users,
   CAST(COALESCE(SUM(purchases), 0) AS BIGINT) AS purchases, COALESCE({msum("revenue")}, 0.0) AS revenue_usd,
   CAST(COALESCE(SUM(payment_errors), 0) AS BIGINT) AS payment_errors,
+  CAST(COALESCE(SUM(refunds), 0) AS BIGINT) AS refunds, {sdiv("SUM(seconds)", "SUM(checkouts)")} AS avg_checkout_duration_seconds,
+  {sdiv("SUM(refunds)", "SUM(purchases)")} AS refund_rate,
   {sdiv("COUNT(*) FILTER (WHERE purchases > 0)", "COUNT(*)")} AS conversion_rate
 FROM pu GROUP BY experiment_id, variant""".lstrip())
     q["ab_exposure_once"] = with_ctes(F5, body="""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.functions.metrics import count_when, money_sum, safe_divide
+from funnelworks.functions.metrics import count_when, money, money_sum, safe_divide
 from funnelworks.functions.stats import chi2_1df_p, two_sided_p, z_quantile
 from funnelworks.operators.global_rank import grouped_median
 
@@ -60,8 +60,7 @@ def validity(units: DataFrame) -> DataFrame:
         count_when((F.col("converted_purchase") == 0)
                    & ~F.coalesce(F.col("revenue_usd") == 0, F.lit(False))).alias("_nonconverter_revenue"),
     )
-    # both sides have one row per experiment
-    j = rows.join(F.broadcast(per_user), "experiment_id")
+    j = rows.join(per_user, "experiment_id")
     return j.select(
         "experiment_id", "n_units", "multi_variant_users",
         (F.col("multi_variant_users") == 0).alias("single_variant_per_user"),
@@ -87,11 +86,12 @@ def srm(units: DataFrame, threshold: float = SRM_P_THRESHOLD) -> DataFrame:
 
 
 # ------------------------------------------------------------ AB-3
-def variant_metrics(units: DataFrame) -> DataFrame:
+def variant_metrics(units: DataFrame, median: bool = True) -> DataFrame:
     """One row per (experiment, variant).
 
     The median duration is exact and distributed (``grouped_median``): an
-    arm holding most of the units is never merged into one task.
+    arm holding most of the units is never merged into one task. It stores a
+    sorted copy of the durations, so leave it out (``median=False``) where it is not read.
     """
     m = units.groupBy("experiment_id", "variant").agg(
         F.count(F.lit(1)).alias("n"),
@@ -100,14 +100,16 @@ def variant_metrics(units: DataFrame) -> DataFrame:
         (F.sum("payment_error").cast("double") / F.count("payment_error")).alias("payment_error_rate"),
         (F.sum("refund_or_cancelled").cast("double") / F.count("refund_or_cancelled")).alias("refund_rate"),
     )
+    out = m.select(
+        "experiment_id", "variant", "n", "conversions",
+        safe_divide("conversions", "n").alias("conversion_rate"), "revenue_usd",
+        safe_divide("revenue_usd", "n").alias("arpu"), "payment_error_rate", "refund_rate")
+    if not median:
+        return out
     med = grouped_median(units, ["experiment_id", "variant"], "checkout_duration_seconds", ["user_id"],
                          "median_checkout_duration_seconds")
     # both sides have one row per (experiment, variant)
-    return m.join(med, ["experiment_id", "variant"], "left").select(
-        "experiment_id", "variant", "n", "conversions",
-        safe_divide("conversions", "n").alias("conversion_rate"), "revenue_usd",
-        safe_divide("revenue_usd", "n").alias("arpu"), "payment_error_rate", "refund_rate",
-        "median_checkout_duration_seconds")
+    return out.join(med, ["experiment_id", "variant"], "left")
 
 
 def _wide(metrics: DataFrame) -> DataFrame:
@@ -120,8 +122,8 @@ def _wide(metrics: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ AB-4...AB-8
-def analysis(units: DataFrame, interval: str = "per_arm") -> DataFrame:
-    """Lift, z-test, interval, power and decision: one row per experiment.
+def analysis(units: DataFrame, interval: str = "per_arm", median: bool = False) -> DataFrame:
+    """Lift, z-test, interval, power and decision: one row per experiment; with ``median`` also the durations'.
 
     ``interval="per_arm"`` (the reference): the lift interval is the
     difference of the two per-arm normal intervals, [t_lo - c_hi, t_hi - c_lo],
@@ -129,7 +131,7 @@ def analysis(units: DataFrame, interval: str = "per_arm") -> DataFrame:
     """
     if interval not in ("per_arm", "wald"):
         raise ValueError("interval must be 'per_arm' or 'wald'")
-    w = _wide(variant_metrics(units))
+    w = _wide(variant_metrics(units, median))
     pc, pt = F.col("conversion_rate_c"), F.col("conversion_rate_t")
     nc, nt = F.col("n_c").cast("double"), F.col("n_t").cast("double")
     pooled = F.try_divide((F.col("conversions_c") + F.col("conversions_t")).cast("double"), nc + nt)
@@ -150,8 +152,8 @@ def analysis(units: DataFrame, interval: str = "per_arm") -> DataFrame:
         F.col("payment_error_rate_c").alias("payment_error_rate_control"),
         F.col("payment_error_rate_t").alias("payment_error_rate_treatment"),
         F.col("refund_rate_c").alias("refund_rate_control"), F.col("refund_rate_t").alias("refund_rate_treatment"),
-        F.col("median_checkout_duration_seconds_c").alias("median_duration_control"),
-        F.col("median_checkout_duration_seconds_t").alias("median_duration_treatment"),
+        *([F.col("median_checkout_duration_seconds_c").alias("median_duration_control"),
+           F.col("median_checkout_duration_seconds_t").alias("median_duration_treatment")] if median else []),
         required_sample_size(pc).alias("required_n_per_arm"),
     )
     return out.withColumn("decision", decision()).withColumn("reason", reason(F.col("decision")))
@@ -211,7 +213,7 @@ GUARDRAIL_METRICS = [
 
 def guardrails(units: DataFrame) -> DataFrame:
     """Long form: (experiment, metric, control, treatment)."""
-    a = analysis(units)
+    a = analysis(units, median=True)
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{c}_control").alias("control"),
                               F.col(f"{c}_treatment").alias("treatment")) for m, c in GUARDRAIL_METRICS])
     return a.select("experiment_id", F.explode(rows).alias("r")).select("experiment_id", "r.*")
@@ -225,8 +227,7 @@ def revenue_histogram(units: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.when(width > 0, F.least(F.floor((F.col("revenue_usd") - F.col("lo")) / width),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    # one row per experiment on the small side
-    h = conv.join(F.broadcast(rng), "experiment_id").withColumn("bin", b) \
+    h = conv.join(rng, "experiment_id").withColumn("bin", b) \
         .groupBy("experiment_id", "variant", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("units"))
     return h.select("experiment_id", "variant", "bin",
                     (F.col("lo") + F.col("bin") * width).alias("bin_start"),
@@ -272,37 +273,42 @@ def first_exposure(events: DataFrame, exposure_event: str = EXPOSURE_EVENT) -> D
                     F.col("f.v").alias("variant")))
 
 
-def attribution(events: DataFrame, exposure_event: str = EXPOSURE_EVENT) -> DataFrame:
+def attribution(events: DataFrame, exposure_event: str = EXPOSURE_EVENT, salts: int = 16) -> DataFrame:
     """Per (experiment, variant of first exposure): outcomes at or after the exposure only.
 
-    Inner equi-join on (experiment, user) plus ``outcome_ts >= exposure_ts``:
-    with an inner join AQE may split a skewed partition on either side, so a
-    user with a hot stream of outcomes is spread over tasks. Exposed users
-    are counted from the exposures alone and joined to the per-variant
-    totals (one row per experiment and variant on both sides).
+    Outcomes: purchases and their revenue, payment errors, refunds or cancellations, and the
+    durations of completed checkouts. A user with a hot stream of outcomes is spread over ``salts``
+    parts by a hash of the outcome; the exposure (one row per user) is repeated for each part, and a
+    user's parts are summed after the join. Exposed users are counted from the exposures alone and
+    joined to the per-variant totals (one row per experiment and variant on both sides).
     """
     exp = first_exposure(events, exposure_event)
+    duration = F.col("checkout_duration_seconds") if "checkout_duration_seconds" in events.columns else F.lit(None).cast("double")
     out = events.where(F.col("event_name") != exposure_event).select(
         "experiment_id", "user_pseudo_id", F.col("event_name").alias("outcome"),
-        F.col("event_timestamp").alias("outcome_ts"), "revenue_usd")
-    j = exp.join(out, ["experiment_id", "user_pseudo_id"]).where(F.col("outcome_ts") >= F.col("exposure_ts"))
-    per_user = j.groupBy("experiment_id", "variant", "user_pseudo_id").agg(
+        F.col("event_timestamp").alias("outcome_ts"), "revenue_usd", duration.alias("duration"),
+        F.pmod(F.xxhash64("event_timestamp", "event_name", "transaction_id"), F.lit(salts)).alias("salt"))
+    parts = exp.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    j = parts.join(out, ["experiment_id", "user_pseudo_id", "salt"]).where(F.col("outcome_ts") >= F.col("exposure_ts"))
+    per_part = j.groupBy("experiment_id", "user_pseudo_id", "salt", "variant").agg(
         count_when(F.col("outcome") == "purchase").alias("purchases"),
         count_when(F.col("outcome") == "payment_error").alias("payment_errors"),
-        money_sum(F.when(F.col("outcome") == "purchase", F.col("revenue_usd"))).alias("revenue"))
+        count_when(F.col("outcome") == "refund_or_cancelled").alias("refunds"),
+        F.sum(F.when(F.col("outcome") == "purchase", money("revenue_usd"))).alias("revenue"),
+        F.sum(F.when(F.col("outcome") == "checkout_completed", money("duration"))).alias("seconds"),
+        F.count(F.when(F.col("outcome") == "checkout_completed", F.col("duration"))).alias("checkouts"))
+    sums = ["purchases", "payment_errors", "refunds", "revenue", "seconds", "checkouts"]
+    per_user = per_part.groupBy("experiment_id", "variant", "user_pseudo_id").agg(*[F.sum(c).alias(c) for c in sums])
     per_variant = per_user.groupBy("experiment_id", "variant").agg(
-        count_when(F.col("purchases") > 0).alias("converted_users"),
-        F.sum("purchases").alias("purchases"),
-        money_sum("revenue").alias("revenue_usd"),
-        F.sum("payment_errors").alias("payment_errors"))
+        count_when(F.col("purchases") > 0).alias("converted_users"), *[F.sum(c).alias(c) for c in sums])
     exposed = exp.groupBy("experiment_id", "variant").agg(F.count(F.lit(1)).alias("exposed_users"))
     agg = exposed.join(per_variant, ["experiment_id", "variant"], "left").select(
         "experiment_id", "variant", "exposed_users",
-        F.coalesce(F.col("converted_users"), F.lit(0)).cast("long").alias("converted_users"),
-        F.coalesce(F.col("purchases"), F.lit(0)).cast("long").alias("purchases"),
-        F.coalesce(F.col("revenue_usd"), F.lit(0.0)).alias("revenue_usd"),
-        F.coalesce(F.col("payment_errors"), F.lit(0)).cast("long").alias("payment_errors"))
-    return agg.withColumn("conversion_rate", safe_divide("converted_users", "exposed_users"))
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("converted_users", "purchases", "payment_errors", "refunds")],
+        F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue_usd"),
+        safe_divide("seconds", "checkouts").alias("avg_checkout_duration_seconds"))
+    return (agg.withColumn("conversion_rate", safe_divide("converted_users", "exposed_users"))
+            .withColumn("refund_rate", safe_divide("refunds", "purchases")))
 
 
 def exposure_counts(events: DataFrame, exposure_event: str = EXPOSURE_EVENT) -> DataFrame:

@@ -18,9 +18,7 @@ LABEL_MAP = {
     "<Other>": "Other",
     "(not set)": "Unknown",
 }
-DISCLOSURE = ("SIMULATED EXPERIMENT DATA - Educational demonstration only. This is not production analytics "
-              "data and is not evidence of real business impact. Base observational data is a public, obfuscated "
-              "web-analytics sample.")
+REPORT_DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd")
 
 
 def drop_forbidden(df: DataFrame, forbidden=FORBIDDEN_COLUMNS) -> DataFrame:
@@ -37,9 +35,20 @@ def clean_labels(df: DataFrame, mapping=None) -> DataFrame:
 
 
 def normalize_dates(df: DataFrame) -> DataFrame:
-    """X-3: date-like columns stay DATE, timestamps stay TIMESTAMP (explicit, no text dates)."""
-    return df.select(*[F.col(f.name).cast("date").alias(f.name) if isinstance(f.dataType, T.DateType)
-                       else F.col(f.name) for f in df.schema.fields])
+    """X-3: columns named ``..._date`` that hold text (yyyy-MM-dd or yyyyMMdd) or timestamps become DATE.
+
+    Text in neither format becomes NULL. Other columns stay as they are.
+    """
+    def as_date(name: str, kind: T.DataType):
+        if not name.endswith("_date"):
+            return F.col(name)
+        if isinstance(kind, T.StringType):
+            return F.coalesce(*[F.try_to_timestamp(F.col(name), F.lit(f)).cast("date") for f in REPORT_DATE_FORMATS]).alias(name)
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.to_date(F.col(name)).alias(name)
+        return F.col(name)
+
+    return df.select(*[as_date(f.name, f.dataType) for f in df.schema.fields])
 
 
 def safe_extract(df: DataFrame) -> DataFrame:
@@ -47,16 +56,17 @@ def safe_extract(df: DataFrame) -> DataFrame:
 
 
 def write_extracts(spark: SparkSession, marts: dict[str, DataFrame], out_dir: str,
-                   source_dataset: str = "") -> DataFrame:
+                   source_dataset: str = "", disclosure: str = "") -> DataFrame:
     """SNK-2 + SNK-3: one Parquet folder per mart, plus a metadata record.
 
-    Marts are small, so each is coalesced to one file. Errors propagate.
-    Returns the metadata as a one-row DataFrame.
+    Each mart is written by the tasks that make it (the per-user and per-item marts grow with the
+    data). ``disclosure`` is the caller's statement about the data. Errors propagate. Returns the
+    metadata as a one-row DataFrame.
     """
     for name, df in marts.items():
-        safe_extract(df).coalesce(1).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
+        safe_extract(df).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
     meta = spark.createDataFrame(
-        [(_dt.datetime.now(_dt.timezone.utc).isoformat(), source_dataset, DISCLOSURE, list(marts))],
+        [(_dt.datetime.now(_dt.timezone.utc).isoformat(), source_dataset, disclosure, list(marts))],
         "export_timestamp_utc string, source_dataset string, dataset_disclosure string, "
         "tables_exported array<string>")
     meta.coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/metadata")

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.functions.metrics import count_when, money_sum, safe_divide
-from funnelworks.functions.metrics import MONEY_SCALE
+from funnelworks.functions.metrics import count_when, money, money_sum, safe_divide
 from funnelworks.operators.global_rank import SortKey, running_sum
 from funnelworks.plans.marts import small_ordered
 
@@ -117,13 +116,13 @@ def trend_class(kpis: DataFrame) -> DataFrame:
 def peak_week(kpis: DataFrame) -> DataFrame:
     """Date with the largest trailing 7-day revenue (earliest date on ties)."""
     day = F.datediff("report_date", F.lit("1970-01-01").cast("date")).cast("long")
-    micros = F.round(F.col("total_revenue_usd") * F.lit(MONEY_SCALE)).cast("long")
+    amount = money("total_revenue_usd")
     # One row per report day: the single ordered window is bounded by the calendar.
     w = Window.orderBy(day).rangeBetween(-6, 0)
-    rolled = kpis.select("report_date", F.sum(micros).over(w).alias("_r"))
+    rolled = kpis.select("report_date", F.sum(amount).over(w).alias("_r"))
     best = rolled.agg(F.min(F.struct((-F.col("_r")).alias("k"), F.col("report_date").alias("d"))).alias("b"))
     return best.select(F.col("b.d").alias("peak_date"),
-                       (-F.col("b.k") / F.lit(float(MONEY_SCALE))).alias("peak_7d_revenue_usd"))
+                       (-F.col("b.k")).cast("double").alias("peak_7d_revenue_usd"))
 
 
 # ------------------------------------------------------------ INS-5, INS-6, INS-17
@@ -247,12 +246,11 @@ def week1_retention(retention: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ INS-15
-def revenue_concentration(rfm: DataFrame, rows_per_range: int | None = None) -> DataFrame:
+def revenue_concentration(rfm: DataFrame, ranges: int | None = None) -> DataFrame:
     """Cumulative revenue share by purchaser, ranked by revenue (desc, user tie-break)."""
     buyers = rfm.where(F.col("monetary_value_usd") > 0).select("user_pseudo_id", "monetary_value_usd")
     keys = [SortKey("monetary_value_usd", False), SortKey("user_pseudo_id")]
-    kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
-    r = running_sum(buyers, keys, "monetary_value_usd", "cumulative_revenue", **kw)
+    r = running_sum(buyers, keys, "monetary_value_usd", "cumulative_revenue", ranges)
     return r.select(
         "user_pseudo_id", "monetary_value_usd",
         (F.col("cumulative_revenue_pos") + 1).alias("customer_rank"),

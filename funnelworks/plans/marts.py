@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from funnelworks.functions import sql as S
 from funnelworks.functions.metrics import safe_divide, week_start, weeks_between
 from funnelworks.operators.global_rank import SortKey, global_ntile
+from funnelworks.sources.sinks import materialize
 
 
 
@@ -208,32 +209,20 @@ def with_recency(pm: DataFrame) -> DataFrame:
             .withColumn("recency_days", F.expr("CAST(datediff(analysis_reference_date, last_order_date) AS BIGINT)")))
 
 
-def customer_rfm(ords: DataFrame, tiles: int = RFM_TILES, rows_per_range: int | None = None,
-                 materialize: str = "persist") -> DataFrame:
+def customer_rfm(ords: DataFrame, tiles: int = RFM_TILES, ranges: int | None = None) -> DataFrame:
     """One row per purchaser: recency / frequency / money quintiles and a label.
 
     Quintiles are exact global ``ntile`` (see ``global_rank``), with
-    ``user_pseudo_id`` as the tie-break the reference lacks. The tile step
-    reads the per-user table three times (count, bounded sample, final
-    plan), so it is materialized once. Default ``"persist"``: cached, and a
-    lost executor only recomputes one aggregation of the orders;
-    ``"checkpoint"`` writes it as a table in the shared checkpoint folder
-    (cuts lineage, for long upstream plans); ``"none"`` recomputes.
+    ``user_pseudo_id`` as the tie-break the reference lacks. The per-user table is stored first:
+    its latest order date is the reference date, and the orders are scanned once.
     """
-    pm = purchaser_metrics(ords)
-    if materialize == "checkpoint":
-        from funnelworks.sources.sinks import materialize as _write
-        pm = _write(pm, "rfm-purchasers")
-    elif materialize == "persist":
-        pm = pm.persist()
-    pm = with_recency(pm)      # orders are scanned once; the date comes from the per-user table
+    pm = with_recency(materialize(purchaser_metrics(ords), "rfm-purchasers"))
     specs = {
         "r_score": [SortKey("recency_days", False), SortKey("user_pseudo_id")],
         "f_score": [SortKey("frequency"), SortKey("user_pseudo_id")],
         "m_score": [SortKey("monetary_value_usd"), SortKey("user_pseudo_id")],
     }
-    kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
-    scored = global_ntile(pm, specs, tiles, **kw)
+    scored = global_ntile(pm, specs, tiles, ranges)
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return scored.select(
         "user_pseudo_id", "recency_days", "frequency", "monetary_value_usd", "first_order_date",

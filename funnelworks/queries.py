@@ -387,12 +387,6 @@ def quality_checklist(spark, sf_dir):
     return _qual.quality_checklist(stg(spark, sf_dir))
 
 
-@register
-def privacy_check(spark, sf_dir):
-    """Q-13 over the safe extracts of all marts."""
-    return _qual.privacy_check({k: _export.safe_extract(v) for k, v in all_marts(spark, sf_dir).items()})
-
-
 @register
 def safe_extract(spark, sf_dir):
     """X-1...X-3 on the segment mart (labels such as '(none)' are cleaned)."""
@@ -428,8 +422,8 @@ def ab_validity(spark, sf_dir):
 
 @register
 def ab_srm(spark, sf_dir):
-    """AB-2 (p-value through erfc: rows-only check, unit-tested against math.erfc)."""
-    return _ab.srm(units(spark, sf_dir))
+    """AB-2; the p-value to ten places."""
+    return _ab.srm(units(spark, sf_dir)).withColumn("p_value", F.round("p_value", 10))
 
 
 @register
@@ -453,8 +447,8 @@ def ab_interval(spark, sf_dir):
 
 @register
 def ab_ztest(spark, sf_dir):
-    """AB-5 with the two-sided p-value (rows-only check)."""
-    return _ab.ztest(units(spark, sf_dir))
+    """AB-5; the two-sided p-value to ten places."""
+    return _ab.ztest(units(spark, sf_dir)).withColumn("p_value", F.round("p_value", 10))
 
 
 @register
@@ -472,8 +466,8 @@ def ab_decision(spark, sf_dir):
 
 @register
 def ab_summary(spark, sf_dir):
-    """AB-9 summary table (carries the p-value: rows-only check)."""
-    return _ab.summary(units(spark, sf_dir))
+    """AB-9 summary table; the p-value to ten places."""
+    return _ab.summary(units(spark, sf_dir)).withColumn("p_value", F.round("p_value", 10))
 
 
 @register

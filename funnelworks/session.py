@@ -52,15 +52,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
             spark.conf.set(k, v)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses the session's ``spark.checkpoint.dir`` (the cluster's shared folder).
-    Only when it is unset - local runs and tests - a scratch folder is made.
+    Uses the session's ``spark.checkpoint.dir`` (the cluster's shared folder). Only a local master,
+    whose tasks all run on this machine, gets a scratch folder where it is unset; any other raises,
+    because executors elsewhere would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -68,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="funnelworks-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     current = sc._jsc.sc().getCheckpointDir()

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from funnelworks.sources.schema import EXPERIMENT_UNIT, RAW_EVENT
 
-DEFAULT_START = "20210101"
-DEFAULT_END = "20210131"
+# The range of the public sample, for callers who want it; scans read all dates unless told otherwise.
+SAMPLE_START = "20210101"
+SAMPLE_END = "20210131"
 
 
 def date_range(df: DataFrame, start: str | None, end: str | None, col: str = "event_date") -> DataFrame:
@@ -21,8 +22,8 @@ def date_range(df: DataFrame, start: str | None, end: str | None, col: str = "ev
     return df
 
 
-def scan_events(spark: SparkSession, path: str, start: str | None = DEFAULT_START,
-                end: str | None = DEFAULT_END) -> DataFrame:
+def scan_events(spark: SparkSession, path: str, start: str | None = None,
+                end: str | None = None) -> DataFrame:
     """SRC-1/SRC-2: raw events stored as Parquet partitioned by ``event_date``.
 
     The declared schema keeps ``event_date`` a string, and the range filter
@@ -33,8 +34,8 @@ def scan_events(spark: SparkSession, path: str, start: str | None = DEFAULT_STAR
     return date_range(df, start, end)
 
 
-def scan_sharded_events(spark: SparkSession, base: str, start: str | None = DEFAULT_START,
-                        end: str | None = DEFAULT_END, prefix: str = "events_") -> DataFrame:
+def scan_sharded_events(spark: SparkSession, base: str, start: str | None = None,
+                        end: str | None = None, prefix: str = "events_") -> DataFrame:
     """SRC-1 for date-sharded exports: one folder per day named ``<prefix>YYYYMMDD``.
 
     Shards outside the inclusive range are dropped while listing the base

@@ -111,12 +111,11 @@ def raw_events_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_events(table(spark, sf_dir, "events"))
 
 
-def retention_sessions(orders: DataFrame, before: str = "1995-04-01") -> DataFrame:
+def retention_sessions(orders: DataFrame) -> DataFrame:
     """session-like rows (user, session_key, session_date) from ``orders``."""
-    return (orders.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
-            .select(F.col("o_custkey").cast("string").alias("user_pseudo_id"),
-                    F.col("o_orderkey").cast("string").alias("session_key"),
-                    F.to_date(F.col("o_orderdate")).alias("session_date")))
+    return orders.select(F.col("o_custkey").cast("string").alias("user_pseudo_id"),
+                         F.col("o_orderkey").cast("string").alias("session_key"),
+                         F.to_date(F.col("o_orderdate")).alias("session_date"))
 
 
 def rfm_orders(orders: DataFrame) -> DataFrame:
@@ -154,7 +153,8 @@ def experiment_events(events: DataFrame, experiment_id: str = "exp_checkout",
 
     Exposure = each user's first ``view`` (skipped when u%10=0, a missing
     exposure); variant by u%2; a second exposure with the other variant when
-    u%15=0 (contamination). Outcomes: purchase -> purchase, error -> payment_error.
+    u%15=0 (contamination). Outcomes: purchase -> purchase and, at the same time, checkout_completed
+    (20 + e%200 seconds); purchases with e%13=0 are refunded a second later; error -> payment_error.
     The first view per user is found with one groupBy (min of a struct).
     """
     u = F.col("user_id")
@@ -170,17 +170,22 @@ def experiment_events(events: DataFrame, experiment_id: str = "exp_checkout",
         v.alias("variant"), u.cast("string").alias("user_pseudo_id"),
         (F.unix_micros(F.col("f.t")) + F.lit(extra_us)).alias("event_timestamp"),
         F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("double").alias("revenue_usd"),
+        F.lit(None).cast("double").alias("checkout_duration_seconds"),
     ]
     exposures = first_view.select(*exp_cols(variant, 0))
     second = first_view.where(u % 15 == 0).select(*exp_cols(other, 1))
-    outcomes = (events.where(F.col("event_type").isin("purchase", "error"))
-                .select(F.when(F.col("event_type") == "purchase", F.lit("purchase"))
-                        .otherwise(F.lit("payment_error")).alias("event_name"),
-                        F.lit(experiment_id).alias("experiment_id"),
-                        F.lit(None).cast("string").alias("variant"),
-                        u.cast("string").alias("user_pseudo_id"),
-                        F.unix_micros(ts).alias("event_timestamp"),
-                        F.when(F.col("event_type") == "purchase",
-                               F.concat(F.lit("t"), F.col("event_id").cast("string"))).alias("transaction_id"),
-                        F.when(F.col("event_type") == "purchase", F.col("value")).alias("revenue_usd")))
+    e, bought = F.col("event_id"), F.col("event_type") == "purchase"
+    kinds = F.filter(F.array(
+        F.when(bought, F.lit("purchase")).otherwise(F.lit("payment_error")),
+        F.when(bought, F.lit("checkout_completed")),
+        F.when(bought & (e % 13 == 0), F.lit("refund_or_cancelled"))), lambda x: x.isNotNull())
+    outcomes = events.where(F.col("event_type").isin("purchase", "error")).withColumn("kind", F.explode(kinds))
+    kind = F.col("kind")
+    outcomes = outcomes.select(
+        kind.alias("event_name"), F.lit(experiment_id).alias("experiment_id"), F.lit(None).cast("string").alias("variant"),
+        u.cast("string").alias("user_pseudo_id"),
+        (F.unix_micros(ts) + F.when(kind == "refund_or_cancelled", F.lit(1_000_000)).otherwise(F.lit(0))).alias("event_timestamp"),
+        F.when(bought, F.concat(F.lit("t"), e.cast("string"))).alias("transaction_id"),
+        F.when(kind == "purchase", F.col("value")).alias("revenue_usd"),
+        F.when(kind == "checkout_completed", (20 + e % 200).cast("double")).alias("checkout_duration_seconds"))
     return exposures.unionByName(second).unionByName(outcomes)

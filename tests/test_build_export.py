@@ -30,8 +30,8 @@ def test_build_all_and_extracts(spark, tmp_dir):
         assert table_exists(spark, name, f"{tmp_dir}/warehouse"), name
     assert os.path.isdir(f"{tmp_dir}/warehouse/stg_ga4_events/event_date=20240101")
     marts = {k: v for k, v in t.items() if k.startswith("mart_")}
-    meta = export.write_extracts(spark, marts, f"{tmp_dir}/extracts").first()
-    assert meta.dataset_disclosure and meta.export_timestamp_utc
+    meta = export.write_extracts(spark, marts, f"{tmp_dir}/extracts", disclosure="public sample").first()
+    assert meta.dataset_disclosure == "public sample" and meta.export_timestamp_utc
     for name in marts:
         ext = load_mart(spark, name, "static", f"{tmp_dir}/extracts")
         assert not {c.lower() for c in ext.columns} & set(export.FORBIDDEN_COLUMNS)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from funnelworks.operators.global_rank import SortKey, global_ntile, running_sum
+from funnelworks.operators.global_rank import SortKey, global_ntile, global_positions, running_sum
 
 
 def _data(spark, n, seed=3):
@@ -15,13 +15,13 @@ def _data(spark, n, seed=3):
     return spark.createDataFrame(rows, "u string, f int, m double")
 
 
-@pytest.mark.parametrize("rows_per_range", [7, 50, 10_000])
+@pytest.mark.parametrize("ranges", [58, 9, 1])
 @pytest.mark.parametrize("k", [3, 5])
-def test_ntile_matches_window_ntile(spark, rows_per_range, k):
+def test_ntile_matches_window_ntile(spark, ranges, k):
     df = _data(spark, 403)
     specs = {"t_f": [SortKey("f"), SortKey("u")], "t_fd": [SortKey("f", False), SortKey("u")],
              "t_m": [SortKey("m", False), SortKey("u")]}
-    got = global_ntile(df, specs, k, rows_per_range=rows_per_range)
+    got = global_ntile(df, specs, k, ranges=ranges)
     ref = (df.withColumn("t_f", F.ntile(k).over(Window.orderBy(F.col("f").asc_nulls_first(), "u")))
            .withColumn("t_fd", F.ntile(k).over(Window.orderBy(F.col("f").desc_nulls_last(), "u")))
            .withColumn("t_m", F.ntile(k).over(Window.orderBy(F.col("m").desc_nulls_last(), "u"))))
@@ -37,10 +37,10 @@ def test_ntile_tiny_input(spark):
     assert global_ntile(df, {"t": [SortKey("f"), SortKey("u")]}, 5).first().t == 1
 
 
-@pytest.mark.parametrize("rows_per_range", [11, 1_000_000])
-def test_running_sum_matches_cumsum(spark, rows_per_range):
+@pytest.mark.parametrize("ranges", [24, 1])
+def test_running_sum_matches_cumsum(spark, ranges):
     df = _data(spark, 257)
-    got = running_sum(df, [SortKey("m", False), SortKey("u")], "m", "cum", rows_per_range=rows_per_range)
+    got = running_sum(df, [SortKey("m", False), SortKey("u")], "m", "cum", ranges=ranges)
     rows = sorted(got.collect(), key=lambda r: r.cum_pos)
     ordered = sorted(df.collect(), key=lambda r: (-r.m, r.u))
     acc = 0
@@ -53,16 +53,30 @@ def test_running_sum_matches_cumsum(spark, rows_per_range):
 def test_ranking_plan_is_linear_and_partitioned(spark):
     df = _data(spark, 100).persist()
     out = global_ntile(df, {"a": [SortKey("m"), SortKey("u")], "b": [SortKey("f"), SortKey("u")]}, 5,
-                       rows_per_range=10)
+                       ranges=10)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # one window per ordering, each partitioned by its range id; no join of the rows with a range table
-    assert plan.count("Window [row_number()") == 2
-    assert "__a_pos_range" in plan and "__b_pos_range" in plan
-    assert "Join" not in plan
+    # ranges are read from stored tables; windows run over the one-row-per-range offsets only
+    assert "row_number" not in plan and "Exchange SinglePartition" in plan
+    for piece in plan.split("Exchange SinglePartition")[1:]:
+        assert piece.lstrip().split("\n")[1].lstrip(" :+-*()0123456789").startswith("HashAggregate")
 
 
-@pytest.mark.parametrize("rows_per_range", [5, 1_000_000])
-def test_grouped_median_matches_pandas(spark, rows_per_range):
+def test_planning_takes_equally_long_for_any_number_of_ranges(spark):
+    import time
+
+    df = _data(spark, 2000)
+    taken = []
+    for ranges in (4, 4, 400):
+        began = time.perf_counter()
+        positions = global_positions(df, [SortKey("m"), SortKey("u")], "p", ranges)
+        positions._jdf.queryExecution().optimizedPlan()
+        taken.append(len(positions._jdf.queryExecution().optimizedPlan().toString()))
+        assert time.perf_counter() - began < 120
+    assert taken[1] == pytest.approx(taken[2], rel=0.05)
+
+
+@pytest.mark.parametrize("ranges", [60, 1])
+def test_grouped_median_matches_pandas(spark, ranges):
     import pandas as pd
 
     from funnelworks.operators.global_rank import grouped_median
@@ -74,7 +88,7 @@ def test_grouped_median_matches_pandas(spark, rows_per_range):
         rows.append((g, f"id{i}", v))
     rows.append(("d", "solo", 7.0))                          # single-row group
     df = spark.createDataFrame(rows, "g string, id string, v double")
-    got = {r.g: r.median for r in grouped_median(df, ["g"], "v", ["id"], rows_per_range=rows_per_range).collect()}
+    got = {r.g: r.median for r in grouped_median(df, ["g"], "v", ["id"], ranges=ranges).collect()}
     want = pd.DataFrame(rows, columns=["g", "id", "v"]).groupby("g")["v"].median().to_dict()
     assert got.keys() == want.keys()
     for g in want:
@@ -85,6 +99,6 @@ def test_ntile_with_nan_and_null_keys(spark):
     rnd = random.Random(2)
     vals = [float("nan"), None, 1.0, 2.5, -3.0, 0.0]
     df = spark.createDataFrame([(f"u{i:04d}", rnd.choice(vals)) for i in range(300)], "u string, m double")
-    got = global_ntile(df, {"t": [SortKey("m", False), SortKey("u")]}, 4, rows_per_range=9)
+    got = global_ntile(df, {"t": [SortKey("m", False), SortKey("u")]}, 4, ranges=34)
     ref = df.withColumn("t", F.ntile(4).over(Window.orderBy(F.col("m").desc_nulls_last(), "u")))
     assert sorted((r.u, r.t) for r in got.collect()) == sorted((r.u, r.t) for r in ref.collect())
