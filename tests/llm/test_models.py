@@ -3,6 +3,7 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ def _segmentations(word):
 
 def test_forward_and_expected_counts_sum_all_segmentations():
     probs = {"▁": 0.1, "a": 0.2, "b": 0.15, "ab": 0.3, "▁a": 0.05, "ba": 0.1, "bab": 0.1}
-    model = langid.Model(["xx"], {p: (x,) for p, x in probs.items()})
+    model = langid.Model(["xx"], tuple(probs), np.array([[x] for x in probs.values()]))
+    many, rows = langid.Lattices(list(probs)), np.array([*probs.values(), langid.UNKNOWN])
     for word in ("a", "ab", "abab", "babba", "abcab"):
         total, expected = 0.0, {}
         for seg in _segmentations("▁" + word):
@@ -45,6 +47,9 @@ def test_forward_and_expected_counts_sum_all_segmentations():
                     if s in probs:
                         expected[s] = expected.get(s, 0.0) + x
         assert model.word(word)[0] == pytest.approx(math.log(total))
+        assert many.forward(["b", word, "ab"], rows[:, None])[1, 0] == pytest.approx(math.log(total))
+        got = dict(zip(probs, many.expected([word, "x"], np.array([1.0, 0.0]), rows), strict=True))
+        assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx({k: v / total for k, v in expected.items()})
         got = langid.expected_counts(word, probs, 3)
         assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx({k: v / total for k, v in expected.items()})
     assert math.isfinite(model.word("ab" * 5000)[0])
