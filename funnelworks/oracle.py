@@ -8,11 +8,30 @@ and exact money sums (integer micro-units) as the Spark side.
 
 from __future__ import annotations
 
-from funnelworks.plans.quality import REQUIRED_EVENTS, SCHEMA_TESTS
-
 MICRO = "1000000"
 
 # Fixed values, written out here so that a wrong one in the code is noticed.
+REQUIRED_EVENTS = ("page_view", "view_item", "add_to_cart", "begin_checkout", "purchase", "view_search_results")
+NOT_NULL = {
+    "stg_ga4_events": ["user_pseudo_id"], "int_sessions": ["session_key", "user_pseudo_id", "session_date"],
+    "int_users": ["user_pseudo_id", "first_seen_date"], "int_orders": ["order_transaction_key", "user_pseudo_id"],
+    "int_session_funnel": ["session_key"], "mart_product_kpis_daily": ["report_date"],
+    "mart_funnel_performance": ["report_date"], "mart_retention_cohorts": ["cohort_week"],
+    "mart_customer_rfm": ["user_pseudo_id"], "mart_segment_performance": ["segment_type"],
+    "mart_product_performance": ["item_id"],
+}
+UNIQUE = {"int_sessions": "session_key", "int_users": "user_pseudo_id", "int_orders": "order_transaction_key",
+          "int_session_funnel": "session_key", "mart_product_kpis_daily": "report_date",
+          "mart_customer_rfm": "user_pseudo_id", "mart_product_performance": "item_id"}
+ACCEPTED = {
+    ("mart_customer_rfm", "rfm_segment"): ["Champions", "Loyal Customers", "Potential Loyalists", "Recent Customers",
+                                           "At Risk", "Occasional Customers"],
+    ("mart_segment_performance", "segment_type"): ["device_category", "acquisition_medium", "search_adoption",
+                                                   "purchaser_status"],
+}
+SCHEMA_TESTS = ([(m, c, "not_null", None) for m, cols in NOT_NULL.items() for c in cols]
+                + [(m, c, "unique", None) for m, c in UNIQUE.items()]
+                + [(m, c, "accepted_values", v) for (m, c), v in ACCEPTED.items()])
 Z_ALPHA = 1.9599639845400536    # standard normal quantile at 0.975
 Z_POWER = 0.8416212335729144    # and at 0.8
 MIN_PRACTICAL_LIFT = 0.005
@@ -67,7 +86,7 @@ stg AS (
     CASE WHEN name = 'purchase' AND e % 7 <> 0 THEN v END AS ecommerce_purchase_revenue_in_usd,
     CASE WHEN name = 'purchase' AND e % 5 <> 0 THEN CAST(u AS VARCHAR) || '-' || day END AS ecommerce_transaction_id,
     CASE WHEN name = 'purchase' THEN 1 + e % 3 END AS ecommerce_total_item_quantity,
-    CASE (u + e) % 4 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' WHEN 2 THEN 'tablet' END AS device_category,
+    CASE WHEN e % 29 = 0 THEN 'unknown' ELSE CASE (u + e) % 4 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' WHEN 2 THEN 'tablet' END END AS device_category,
     'os' || CAST(e % 3 AS VARCHAR) AS operating_system,
     'br' || CAST(e % 4 AS VARCHAR) AS browser,
     'C' || CAST(u % 7 AS VARCHAR) AS country,
@@ -187,7 +206,7 @@ funnel_mart AS (
     COUNT(DISTINCT CASE WHEN f.reached_begin_checkout_after_cart THEN f.session_key END) AS sessions_begin_checkout,
     COUNT(DISTINCT CASE WHEN f.reached_purchase_after_checkout THEN f.session_key END) AS sessions_purchase
   FROM funnel f JOIN sessions s ON f.session_key = s.session_key
-  GROUP BY s.session_date, s.device_category
+  GROUP BY s.session_date, COALESCE(s.device_category, 'unknown')
 ),
 funnel_perf AS (
   SELECT report_date, device_category, sessions_entered, sessions_product_view, sessions_add_to_cart,
@@ -757,6 +776,13 @@ FROM kpis""")
         checks.append(f"SELECT '{model}' AS model, '{col}' AS column_name, '{test}' AS test, "
                       f"CAST(failures AS BIGINT) AS failures FROM ({expr})")
     q["schema_checks"] = with_ctes(*all_marts, body="\nUNION ALL\n".join(checks))
+    q["scan_range"] = with_ctes(STG, body="""
+SELECT event_name, COUNT(*) AS event_count, COUNT(DISTINCT user_pseudo_id) AS distinct_users,
+  MIN(event_date) AS first_seen, MAX(event_date) AS last_seen FROM stg
+WHERE event_date BETWEEN '20240105' AND '20240114' GROUP BY event_name""")
+    q["extract_counts"] = with_ctes(*all_marts, body="\nUNION ALL\n".join(
+        f"SELECT '{m}' AS mart, 'ok' AS status, COUNT(*) AS row_count, 'generated' AS source_dataset, "
+        f"'generated tables' AS dataset_disclosure FROM {t}" for m, t in mart_tables))
     q["negative_revenue"] = with_ctes(STG, ORDERS, body="""
 SELECT order_transaction_key, order_revenue_usd FROM orders_m WHERE order_revenue_usd < 0""")
     q["funnel_consistency"] = with_ctes(STG, FUNNEL, body="""
@@ -794,6 +820,7 @@ UNION ALL
 SELECT segment_type, {label} AS segment_value, unique_users, total_sessions, purchase_sessions, purchasers,
   total_revenue_usd, total_orders, session_conversion_rate, revenue_per_session_usd, avg_order_value_usd
 FROM segments""")
+    q["load_extract"] = q["safe_extract"]
     q["safe_extract_rfm"] = with_ctes(F3, RFM, body="""
 SELECT recency_days, frequency, monetary_value_usd, first_order_date, last_order_date, analysis_reference_date,
   r_score, f_score, m_score, rfm_segment FROM rfm""")
@@ -849,6 +876,9 @@ SELECT experiment_id, 'conversion_rate' AS metric, cvr_control AS control, cvr_t
         f"SELECT experiment_id, '{m}' AS metric, {c}_control AS control, {c}_treatment AS treatment FROM aba"
         for m, c in (("arpu", "arpu"), ("payment_error_rate", "payment_error_rate"), ("refund_rate", "refund_rate"),
                      ("median_duration", "median_duration"))))
+    q["experiment_tables"] = q["ab_guardrails"]
+    q["experiment_csv"] = with_ctes(F4, _ab_ctes(), body="""
+SELECT experiment_id, variant, n, conversions, conversion_rate, revenue_usd, arpu, payment_error_rate, refund_rate FROM abm""")
     q["ab_histogram"] = with_ctes(F4, body="""
 , conv AS (SELECT * FROM f4 WHERE converted_purchase = 1),
 rng AS (SELECT experiment_id, MIN(revenue_usd) AS lo, MAX(revenue_usd) AS hi FROM conv GROUP BY experiment_id),

@@ -22,7 +22,7 @@ from funnelworks.operators.sessions import session_facts, users
 from funnelworks.operators.staging import stage_events
 from funnelworks.plans import marts
 from funnelworks.sources.schema import FUNNEL_COLUMNS, SESSION_COLUMNS
-from funnelworks.sources.sinks import as_table
+from funnelworks.sources.sinks import as_table, drop_folder
 
 
 def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, start: str | None = None,
@@ -39,7 +39,8 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, start: str | No
         with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(jobs)))) as pool:
             t.update(dict(pool.map(one, jobs.items())))
 
-    wave({"stg_ga4_events": (lambda: stage_events(raw, start, end), ["event_date"])})
+    # A date's events meet in few tasks before they are written; AQE splits large dates.
+    wave({"stg_ga4_events": (lambda: stage_events(raw, start, end).hint("rebalance", "event_date"), ["event_date"])})
     wave({
         "_session_facts": (lambda: session_facts(t["stg_ga4_events"]), None),
         "int_orders": (lambda: orders(t["stg_ga4_events"]), None),
@@ -61,4 +62,5 @@ def build_all(spark: SparkSession, raw: DataFrame, out_dir: str, start: str | No
         "mart_product_performance": (lambda: marts.product_performance(t["int_product_events"]), None),
     })
     t.pop("_session_facts")
+    drop_folder(spark, f"{base}/_session_facts")    # its two halves are stored as int_sessions and int_session_funnel
     return t

@@ -103,15 +103,15 @@ FUNNEL_COUNTS = [
 
 
 def funnel_performance(funnel: DataFrame, sess: DataFrame | None = None,
-                       normalize_first: bool = False) -> DataFrame:
+                       normalize_first: bool = True) -> DataFrame:
     """By (date, device): five step counts, four step rates and the overall rate.
 
     Pass the output of ``session_facts`` alone (fused path, no join), or
     ``session_funnel`` plus ``sessions`` (model path: inner join on
     ``session_key``; both sides are hash-partitioned by it).
-    Grouping is on the raw device and the label is defaulted afterwards, so
-    NULL and a literal 'unknown' stay two rows (the reference's behaviour);
-    ``normalize_first`` groups on the defaulted label instead.
+    Grouping is on the defaulted label, so NULL and a literal 'unknown' are one row per date (the
+    select alias has the grouping column's name and wins); ``normalize_first=False`` groups on the
+    raw device and labels afterwards.
     """
     if sess is not None:
         funnel = funnel.select("session_key", *[f for _, f in FUNNEL_COUNTS]).join(

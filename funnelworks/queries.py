@@ -21,6 +21,8 @@ from funnelworks.plans import marts
 from funnelworks.plans import quality as _qual
 from funnelworks.session import BASE_CONF
 from funnelworks.sources import fixtures
+from funnelworks.sources.events import load_mart, read_experiment_csv, scan_events
+from funnelworks.sources.sinks import write_experiment_tables
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -344,15 +346,69 @@ def session_crosscheck(spark, sf_dir):
 
 def built_tables(spark, sf_dir) -> dict:
     """Every model of M-13 written to a fresh folder under the checkpoint dir."""
-    import uuid
-
     from funnelworks.plans.build import build_all as _build
-    from funnelworks.session import checkpoint_dir
     _prepare(spark)
-    out = f"{checkpoint_dir(spark).rstrip('/')}/build-{uuid.uuid4().hex[:12]}"
+    out = shared(spark, "build")
     return _build(spark, raw(spark, sf_dir), out)
 
 
+def shared(spark, name: str) -> str:
+    """A new folder in the session's shared folder."""
+    import uuid
+
+    from funnelworks.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+SCAN_RANGE = ("20240105", "20240114")
+
+
+@register
+def scan_range(spark, sf_dir):
+    """SRC-1, FLT-1: raw events stored by date, an inclusive date range scanned from them."""
+    path = shared(spark, "raw-events")
+    raw(spark, sf_dir).hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
+    return _qual.event_inventory(_stage_events(scan_events(spark, path, *SCAN_RANGE)))
+
+
+def extracted(spark, sf_dir) -> str:
+    path = shared(spark, "extracts")
+    _export.write_extracts(spark, all_marts(spark, sf_dir), path, source_dataset="generated", disclosure="generated tables")
+    return path
+
+
+@register
+def extract_counts(spark, sf_dir):
+    """SNK-2, SNK-3, SRC-4: marts written as extracts, counted where they are found and listed in the metadata."""
+    path = extracted(spark, sf_dir)
+    listed = spark.read.json(f"{path}/metadata").select(F.explode("tables_exported").alias("mart"), "source_dataset", "dataset_disclosure")
+    return _qual.mart_row_counts(spark, base=path).join(listed, "mart")
+
+
+@register
+def load_extract(spark, sf_dir):
+    """SRC-3: the segment mart loaded by name from its extract."""
+    path = shared(spark, "extract")
+    _export.write_extracts(spark, {"mart_segment_performance": segment_performance(spark, sf_dir)}, path)
+    return load_mart(spark, "mart_segment_performance", "static", path)
+
+
+@register
+def experiment_csv(spark, sf_dir):
+    """SRC-5: experiment units written as CSV and read with the declared schema."""
+    path = shared(spark, "units")
+    units(spark, sf_dir).write.option("header", True).csv(path)
+    return _ab.variant_metrics(read_experiment_csv(spark, path), median=False)
+
+
+@register
+def experiment_tables(spark, sf_dir):
+    """SNK-4: the guardrail table as it is written beside the summary."""
+    path, u = shared(spark, "experiment"), units(spark, sf_dir)
+    write_experiment_tables(_ab.summary(u), _ab.guardrails(u), path)
+    return spark.read.parquet(f"{path}/guardrails_by_variant")
+
+
 @register
 def schema_checks(spark, sf_dir):
     """Q-9 on the built models (as the schema tests run after a build); retention and

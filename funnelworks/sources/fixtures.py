@@ -94,7 +94,7 @@ def raw_events(events: DataFrame) -> DataFrame:
         "'purchase_revenue_in_usd', IF(is_purchase AND e % 7 <> 0, v, NULL), "
         "'transaction_id', IF(is_purchase AND e % 5 <> 0, txn, NULL), "
         "'total_item_quantity', IF(is_purchase, 1 + e % 3, NULL)) AS ecommerce",
-        f"named_struct('category', {_case('(u + e) % 4', DEVICE_CATEGORIES)}, "
+        f"named_struct('category', IF(e % 29 = 0, 'unknown', {_case('(u + e) % 4', DEVICE_CATEGORIES)}), "
         "'operating_system', concat('os', e % 3), "
         "'web_info', named_struct('browser', concat('br', e % 4))) AS device",
         "named_struct('country', concat('C', u % 7), 'city', concat('T', u % 11), "

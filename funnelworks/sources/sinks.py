@@ -29,7 +29,7 @@ def as_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 def write_experiment_tables(summary: DataFrame, guardrails: DataFrame, out_dir: str,
                             fmt: str = "parquet") -> None:
-    """SNK-4: experiment summary and guardrail tables (one small file each)."""
+    """SNK-4: experiment summary and guardrail tables (a few rows per experiment: one small file each)."""
     for name, df in (("experiment_summary", summary), ("guardrails_by_variant", guardrails)):
         w = df.coalesce(1).write.mode("overwrite")
         path = f"{out_dir.rstrip('/')}/{name}"
@@ -51,3 +51,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that no one reads any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
