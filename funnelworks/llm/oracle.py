@@ -60,8 +60,8 @@ f as (select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\\x
   from d left join lines using (doc_id) left join covered c using (doc_id)),
 g as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and 2 * n_symbols <= n_words and word_chars between 2 * n_words and 15 * n_words
-    and 10 * n_dup_lines <= 3 * n_lines and 2 * n_letters >= word_chars as kept
+  not base_failed and 5 * n_symbols <= n_words and word_chars between 2 * n_words and 15 * n_words
+    and 2 * n_dup_lines <= n_lines and 2 * n_letters >= word_chars as kept
 from g"""
 
 SQL: dict[str, str] = {"op7_mixing": _mixing(), "op8_quality_rules": QUALITY}

@@ -97,7 +97,7 @@ def _repeated(f: Features) -> bool:
 
 
 def _symbols(f: Features) -> bool:
-    return f.n_symbols > 0.5 * f.n_words
+    return 5 * f.n_symbols > f.n_words
 
 
 def _word_length(f: Features) -> bool:
@@ -105,7 +105,7 @@ def _word_length(f: Features) -> bool:
 
 
 def _same_lines(f: Features) -> bool:
-    return 10 * f.n_dup_lines > 3 * f.n_lines
+    return 2 * f.n_dup_lines > f.n_lines
 
 
 def _no_letters(f: Features) -> bool:
