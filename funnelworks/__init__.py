@@ -1,6 +1,6 @@
 """funnelworks: product analytics over nested clickstream events, on Spark.
 
-Every operator is a lazy ``DataFrame -> DataFrame`` function. Sub-packages:
+Operators are ``DataFrame -> DataFrame`` functions. Sub-packages:
 
 * ``sources``   - event scans, declared schemas, fixture adapters, sinks
 * ``functions`` - column expressions (event params, safe division, weeks, normal p-values)
