@@ -77,9 +77,9 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_narrow(wide: DataFrame, narrow: DataFrame, on: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Inner join that leaves ``wide`` (long texts) where it is if ``narrow``, counted first, has at most
-    ``max_rows`` rows of a few numbers; beyond that both sides are shuffled and AQE splits what is large."""
+def join_narrow(wide: DataFrame, narrow: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
+    """Join that leaves ``wide`` (long texts) where it is if ``narrow``, counted first, has at most
+    ``max_rows`` short rows; beyond that both sides are shuffled and AQE splits what is large."""
     if narrow.limit(max_rows + 1).count() <= max_rows:
         narrow = F.broadcast(narrow)
-    return wide.join(narrow, on)
+    return wide.join(narrow, on, how)

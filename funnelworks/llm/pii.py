@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import stored
+from funnelworks.llm.common import join_narrow, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract, in the order of KINDS; here with possessive quantifiers and bounded beginnings.
@@ -176,5 +176,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pieces = F.transform("_spans", lambda s: F.when(s["start"] >= s["reach"], F.concat(
         F.substring(text, s["reach"] + 1, s["start"] - s["reach"]), F.get(names, s["kind"]))).otherwise(F.lit("")))
     new = F.concat(F.array_join(pieces, ""), F.substring(text, reach + 1, F.length(text)))
-    joined = docs.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_h")), "left")
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_h"))
+    joined = join_narrow(docs, per, mine, "left", max_rows=200_000)
     return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), new).otherwise(F.col("text"))).drop("_id", "_h", "_spans")

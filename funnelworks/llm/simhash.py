@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import per_document, stored
+from funnelworks.llm.common import join_narrow, per_document, stored
 from funnelworks.llm.components import components
 
 PIVOTS = 32
@@ -184,10 +184,14 @@ def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     """One row of ``docs`` per component: that of the component's id; of rows that repeat the id, the first text.
 
     Rows without an id cannot be told apart: one of them stays where a component has no id at all.
+    Only ids that go, and ids on several rows, are joined to the texts; the rest stay where they are.
     """
     groups = near_duplicates(docs, shingle, max_bits, id_col)
-    kept = stored(groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct(), "simhash-kept")
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    # The join has brought the rows of an id together; no further shuffle.
+    per_id = groups.groupBy(F.col(id_col).alias("_id")).agg(
+        F.count("*").alias("rows"), F.count_if(F.col("component_id").eqNullSafe(F.col(id_col))).alias("kept"))
+    odd = stored(per_id.where("kept = 0 or rows > 1").select("_id", (F.col("kept") > 0).alias("_several")), "simhash-odd-ids")
+    marked = join_narrow(docs, odd.withColumn("_odd", F.lit(True)), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    rest = marked.where("_odd is null").select(*docs.columns)
     first = Window.partitionBy(id_col).orderBy(F.md5(F.col("text").cast("binary")))
-    return rows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    several = marked.where("_several").withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    return rest.unionByName(several)
