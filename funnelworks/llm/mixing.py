@@ -32,7 +32,7 @@ from funnelworks.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a leaf that share a key bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 _D = "decimal(38,0)"
 
 
