@@ -23,8 +23,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ BITS = 18
 FEATURES = 16_384
 #: Most rows to which the logistic regression is fitted.
 FIT_ROWS = 20_000
-MEMO_CHARS, MEMO_SIZE = 64, 300_000
+MEMO_CHARS, MEMO_SIZE = 64, 600_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,30 +48,28 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def bins(word: str) -> list[int]:
+def _bins(word: str) -> array:
     """Distinct bins of the word's n-grams."""
     s = f" {word} "
     mask = (1 << BITS) - 1
-    return list({zlib.crc32(s[k:k + n].encode()) & mask for n in GRAMS for k in range(len(s) - n + 1)})
+    return array("I", {zlib.crc32(s[k:k + n].encode()) & mask for n in GRAMS for k in range(len(s) - n + 1)})
+
+
+_recent_bins = lru_cache(maxsize=200_000)(_bins)
+
+
+def bins(word: str) -> array:
+    """Distinct bins of the word's n-grams; those of recent words are kept, very long words apart."""
+    return _recent_bins(word) if len(word) <= MEMO_CHARS else _bins(word)
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bin, label 0 documents, label 1 documents) of a task's rows (text, label)."""
     counts = np.zeros((2, 1 << BITS), dtype=np.int64)
-    memo: dict[str, list[int]] = {}
     for whole in batches:
         for part in steps(whole):
             for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if len(memo) > MEMO_SIZE:
-                    memo = {}
-                found: set[int] = set()
-                for w in words(text or ""):
-                    b = memo.get(w)
-                    if b is None:
-                        b = bins(w)
-                        if len(w) <= MEMO_CHARS:
-                            memo[w] = b
-                    found.update(b)
+                found = set().union(*map(bins, words(text or "")))
                 counts[label, list(found)] += 1
     any_ = np.flatnonzero(counts.any(axis=0))
     for k in range(0, len(any_), 65_536):
@@ -96,7 +96,7 @@ class Model:
         for w in words(text):
             x = memo.get(w)
             if x is None:
-                x = math.fsum(weights.get(b, 0.0) for b in bins(w))
+                x = math.fsum([weights[b] for b in _bins(w) if b in weights])
                 if len(w) <= MEMO_CHARS:
                     memo[w] = x
             if x:
