@@ -28,7 +28,7 @@ from funnelworks.llm.common import per_document
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_CHARS, MEMO_SIZE = 64, 400_000
+MEMO_CHARS, MEMO_SIZE = 64, 1_000_000
 
 
 def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -62,31 +62,35 @@ class TokenCounter:
 
     def word(self, word: str) -> int:
         """Tokens of the best segmentation of ``word`` (with its U+2581)."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # (start, score) by end
-        single = [False] * n
-        for last, (size, score) in self.automaton.iter(word):
-            ends[last + 1].append((last + 1 - size, score))
-            if size == 1:
-                single[last] = True
-        # Each end needs only earlier ends, and its candidates come by ascending start: as the library visits them.
-        best, count, open_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            top, tokens, unknown = None, 0, False
-            for start, score in sorted(ends[end], key=lambda x: x[0]):
-                s = best[start] + score
-                if top is None or s > top:
-                    top, tokens = s, count[start] + 1
-            if not single[end - 1]:
-                s = best[end - 1] + self.unknown
+        best, count, is_unknown = [0.0], [0], [False]  # by end
+        top, tokens, single = None, 0, False  # of the end that is open, which is len(best)
+
+        def close() -> None:
+            nonlocal top, tokens, single
+            at, unknown = len(best) - 1, False
+            if not single:
+                s = best[at] + self.unknown
                 if top is None or s > top:
                     top, unknown = s, True
-                    if self.fallback:
-                        tokens = count[end - 1] + len(word[end - 1].encode())
-                    else:
-                        tokens = count[end - 1] + (not open_unknown[end - 1])
-            best[end], count[end], open_unknown[end] = top, tokens, unknown
-        return count[n]
+                    tokens = count[at] + (len(word[at].encode()) if self.fallback else not is_unknown[at])
+            best.append(top)
+            count.append(tokens)
+            is_unknown.append(unknown)
+            top, tokens, single = None, 0, False
+
+        # The automaton reports ends in ascending order and, of one end, the longest piece first: starts ascend as the library visits them.
+        for last, (size, score) in self.automaton.iter(word):
+            while len(best) <= last:
+                close()
+            start = last + 1 - size
+            s = best[start] + score
+            if top is None or s > top:
+                top, tokens = s, count[start] + 1
+            if size == 1:
+                single = True
+        while len(best) <= len(word):
+            close()
+        return count[-1]
 
     def text(self, text: str) -> int:
         if not text:
