@@ -7,8 +7,8 @@ written as Parquet and reread before the next one. All but the last return the c
 1. Language identification (operator 9) learns from the rows that are not held out and drops the
    documents it rejects: texts without a letter (``und``). The language it predicts replaces
    ``lang``, so that later stages weigh what a text is, not what it was filed under.
-2. SimHash near-dedup (operator 6): of the documents with one component_id the one with that id
-   stays; of rows that repeat it, one.
+2. SimHash near-dedup (operator 6): of the documents of one component one stays, that of the smallest
+   id; of rows that repeat the id, the text of smallest md5.
 3. PII (operator 2): spans are replaced by their kinds, and ``n_chars`` is counted anew. No
    document is dropped.
 4. Mixing (operator 7): documents are taken, left or repeated so that the tokens of domains,

@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.llm.common import join_narrow, per_document, stored
@@ -168,30 +168,47 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(_cell_links(max_bits), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp, component_id) for every row; component_id is the smallest id among connected rows."""
-    marked = stored(fingerprints(docs, shingle, id_col), "simhash-fingerprints")
+def _rooted(marked: DataFrame, max_bits: int, id_col: str) -> DataFrame:
+    """(fp, first_id, root) of the distinct fingerprints of ``marked``; fingerprints of one component share ``root``."""
     nodes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
     found = components(links(nodes, max_bits))
-    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
+    return nodes.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """(id, fp, component_id) for every row; component_id is the smallest id among connected rows."""
+    marked = stored(fingerprints(docs, shingle, id_col), "simhash-fingerprints")
+    rooted = _rooted(marked, max_bits, id_col)
     named = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-names")
     names = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(names, "fp").select(id_col, "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` per component: that of the component's id; of rows that repeat the id, the first text.
+    """One row of ``docs`` per component, whatever ids its rows have.
 
-    Rows without an id cannot be told apart: one of them stays where a component has no id at all.
-    Only ids that go, and ids on several rows, are joined to the texts; the rest stay where they are.
+    It is that of the smallest id (no id comes last), of one id's texts the one of smallest md5, and of
+    rows that repeat both the one whose columns come first. Rows are told apart by id and md5 of the
+    text (null read as empty), so two components may leave rows of one id, or rows without an id.
+    Only rows that go, and rows that occur several times, are joined to the texts.
     """
-    groups = near_duplicates(docs, shingle, max_bits, id_col)
-    per_id = groups.groupBy(F.col(id_col).alias("_id")).agg(
-        F.count("*").alias("rows"), F.count_if(F.col("component_id").eqNullSafe(F.col(id_col))).alias("kept"))
-    odd = stored(per_id.where("kept = 0 or rows > 1").select("_id", (F.col("kept") > 0).alias("_several")), "simhash-odd-ids")
-    marked = join_narrow(docs, odd.withColumn("_odd", F.lit(True)), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    rest = marked.where("_odd is null").select(*docs.columns)
-    first = Window.partitionBy(id_col).orderBy(F.md5(F.col("text").cast("binary")))
-    several = marked.where("_several").withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    marked = stored(per_document(docs.select(id_col, digest.alias("_h"), "text"), [id_col, "_h"],
+                                 lambda texts: [(_fingerprint(t, shingle),) for t in texts], f"{id_col} long, _h string, fp long"),
+                    "simhash-fingerprints")
+    roots = _rooted(marked, max_bits, id_col).select("fp", "root")
+    rows = marked.groupBy(F.col(id_col).alias("_id"), "_h", "fp").agg(F.count("*").alias("rows"))
+    rows = stored(rows.join(roots, "fp").select("root", "_id", "_h", "rows"), "simhash-rows")
+    # Stored, so that the join below has its own exchanges and AQE may split a large component.
+    first = stored(rows.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("first")),
+                   "simhash-first")
+    stays = F.col("first._id").eqNullSafe(F.col("_id")) & (F.col("first._h") == F.col("_h"))
+    odd = rows.join(first, "root").withColumn("_stays", stays).where("not _stays or rows > 1")
+    odd = stored(odd.select("_id", "_h", "_stays"), "simhash-odd-rows")
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_h"))
+    joined = join_narrow(docs, odd, mine, "left")
+    rest = joined.where("_stays is null").select(*docs.columns)
+    # A minimum is combined before the shuffle, however often a row occurs.
+    several = joined.where("_stays").groupBy("_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return rest.unionByName(several)

@@ -116,6 +116,18 @@ def test_simhash_of_a_table(docs, no_docs, rows):
     assert sorted(str(r.doc_id) for r in kept) == sorted({str(x) for x in (least.get(r) for r in set(roots))})
 
 
+def test_one_representative_per_component_not_per_id(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    text = [" ".join(rng.sample(words, 60)) for _ in range(7)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (5, text[2]), (None, text[2]),  # unlinked null ids; a linked one
+            (3, text[3]), (7, text[3]), (7, text[4]),  # id 7: a copy of 3, and a text of its own
+            (9, text[5]), (9, text[6]), (9, text[6])]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, text[0]), (None, text[1]), (5, text[2]), (3, text[3]), (7, text[4]), (9, text[5]), (9, text[6])]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_links_of_dense_and_chained_fingerprints(spark, monkeypatch):
     """A ball of near fingerprints, a chain, and noise; small chunks, so groups are dealt in many cells."""
     monkeypatch.setattr(simhash, "CHUNK", 16)
