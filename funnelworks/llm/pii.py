@@ -7,7 +7,8 @@ long runs of digits or letters take linear time.
 
 Bootstrapping. Occurrences are the base spans, whose texts are the seeds, and all other tokens with
 a digit or an @ that touch no base span. An occurrence's lexical pattern is the two words before
-it (runs of letters and digits in lower case, with a : or = behind). Patterns and texts make a graph (one edge per pattern, text and kind, however often it occurs,
+it (runs of letters and digits in lower case, with a : or = behind), taken from the whole text
+before it, other occurrences included. Patterns and texts make a graph (one edge per pattern, text and kind, however often it occurs,
 so copies of a document add nothing). In each round a pattern's confidence in a kind is the summed
 confidence of its texts in that kind over the number of its texts plus one, seeds having 1 and
 others 0 at first; a text's confidence is then one minus the product of its reliable patterns'
@@ -40,12 +41,12 @@ PATTERNS = (
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 ROUNDS, MIN_CONFIDENCE, MIN_SEEDS = 2, 0.7, 3
-#: Code points before a match that are kept for its two words.
+#: Code points before a match, other matches included, in which its two words are looked for.
 CONTEXT = 64
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
-    """Array of (m: match, gap: code points between it and the match before, left: the end of that gap)."""
+    """Array of (m: match, gap: code points between it and the match before, left: the last CONTEXT of them)."""
     found = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     gaps = F.split(text, pattern, -1)
     pairs = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
@@ -77,6 +78,10 @@ def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     upto = Window.partitionBy(id_col, "h", "kind").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(upto))
     rows = rows.withColumn("start", F.col("end") - F.length("m"))
+    # The text before a match, over the matches before it: a match and its gap are two code points at least, but for a first one.
+    piece = F.right(F.concat("left", "m"), F.lit(CONTEXT))
+    past = F.collect_list(piece).over(upto.rowsBetween(-CONTEXT // 2, -1))
+    rows = rows.withColumn("left", F.right(F.concat(F.array_join(past, ""), "left"), F.lit(CONTEXT)))
     n = F.length(_digits("m"))
     fine = (F.when(F.col("kind") == 1, F.regexp_like("m", F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")))
             .when(F.col("kind") == 2, n.between(14, 19) & F.call_function("luhn_check", _digits("m")))

@@ -60,6 +60,29 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[300] == got[1] == "phone:22:39"
 
 
+def _found(spark, texts):
+    return {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+
+
+def test_a_pattern_may_hold_a_number(spark):
+    rows = [(k, f"7 @ 8 unit 12 phone: +1 (555) 010-00{k:02d}, line 2: a{k}@b.org") for k in range(12)]
+    rows += [(100, "unit 12 phone: 555-0199"), (101, "1 2 3 4 x@y.org line 2: person@intranet")]
+    got = _found(spark, rows)
+    assert got[100] == "phone:15:23" and got[101] == "email:8:15,email:24:39"
+
+
+def test_context_is_the_text_before_an_occurrence(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab1@ +-é😀\n:") for _ in range(rng.randrange(300))) for _ in range(200)] + ["1 " * 200, "x@y.z" * 90]
+    found = pii.occurrences(pii.hits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert found
+    for r in found:
+        start = r.start - (len(re.search(r"[^0-9A-Za-z@+]*$", texts[r.doc_id][:r.start])[0]) if r.kind is None else 0)
+        words = re.findall(r"[^\W_]+[:=]*", texts[r.doc_id][max(0, start - pii.CONTEXT):start].lower())
+        if start == r.start:  # marks before a candidate belong to its token
+            assert [r.w2, r.w1] == (["", "", *words])[-2:], (texts[r.doc_id], r)
+
+
 def test_redaction_keeps_columns_and_rows(spark, docs, no_docs, rows):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
