@@ -12,8 +12,10 @@ before it, other occurrences included. Patterns and texts make a graph (one edge
 so copies of a document add nothing). In each round a pattern's confidence in a kind is the summed
 confidence of its texts in that kind over the number of its texts plus one, seeds having 1 and
 others 0 at first; a text's confidence is then one minus the product of its reliable patterns'
-doubts. After ROUNDS rounds an unseen occurrence becomes a span of the kind for which its pattern
-is reliable (confidence of MIN_CONFIDENCE or more, at least MIN_SEEDS seeds) and its text too.
+doubts. A pattern is reliable in a kind with a confidence of MIN_CONFIDENCE or more and a support of
+MIN_SUPPORT texts, seeds or texts that are themselves that sure. Confidences only rise; rounds go on
+until no text is added and none rises by more than SETTLED (they shrink by a constant factor).
+Then an unseen occurrence becomes a span of the kind for which its pattern is reliable and its text sure.
 Everything is DataFrame operations; what is grouped is an edge or a pattern, never all rows of one.
 
 Null texts are read as empty and have no spans. Copies of a row get the same spans. Long texts are
@@ -40,7 +42,7 @@ PATTERNS = (
 #: Any token with a digit or an @.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-ROUNDS, MIN_CONFIDENCE, MIN_SEEDS = 2, 0.7, 3
+MIN_CONFIDENCE, MIN_SUPPORT, SETTLED = 0.7, 3, 1e-6
 #: Code points before a match, other matches included, in which its two words are looked for.
 CONTEXT = 64
 
@@ -108,24 +110,30 @@ def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def reliable_patterns(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(w2, w1, kind, conf) of reliable patterns and (text, kind, sure) of unseen texts after ROUNDS rounds."""
+    """(w2, w1, kind, conf) of reliable patterns and (text, kind, sure) of unseen texts when nothing is added any more."""
     edges = stored(found.groupBy("w2", "w1", "text").agg(F.min("kind").alias("seed")), "pii-edges")
     sizes = edges.groupBy("w2", "w1").agg(F.count("*").alias("texts"))
     seeds = edges.where("seed is not null").select("w2", "w1", "text", F.col("seed").alias("kind"), F.lit(1.0).alias("sure"))
-    # Only patterns with a seed can gain confidence.
-    sure = seeds
-    reliable = texts = None
-    for _ in range(ROUNDS):
-        sums = sure.groupBy("w2", "w1", "kind").agg(F.sum("sure").alias("sum"), F.count_if(F.col("sure") == 1.0).alias("seeds"))
+    unseen = edges.where("seed is null").select("w2", "w1", "text")
+    # Only patterns with a seed or a sure text can gain confidence.
+    sure, before = seeds, None
+    while True:
+        sums = sure.groupBy("w2", "w1", "kind").agg(F.sum("sure").alias("sum"), F.count("*").alias("support"))
         scored = sums.join(sizes, ["w2", "w1"]).withColumn("conf", F.col("sum") / (F.col("texts") + 1))
-        reliable = stored(scored.where((F.col("conf") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
+        reliable = stored(scored.where((F.col("conf") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT))
                           .select("w2", "w1", "kind", "conf"), "pii-patterns")
-        unseen = edges.where("seed is null").select("w2", "w1", "text")
         said = unseen.join(reliable, ["w2", "w1"])
         texts = stored(said.groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("sure"))
                        .where(F.col("sure") >= MIN_CONFIDENCE), "pii-texts")
+        news = texts
+        if before is not None:
+            was = before.withColumnRenamed("sure", "was")
+            news = texts.join(was, ["text", "kind"], "left").where(F.col("was").isNull() | (F.col("sure") - F.col("was") > SETTLED))
+        # The next round's patterns follow from the texts, so only these are compared.
+        if not news.limit(1).count():
+            return reliable, texts
+        before = texts
         sure = seeds.unionByName(unseen.join(texts, "text").select("w2", "w1", "text", "kind", "sure"))
-    return reliable, texts
 
 
 def spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
