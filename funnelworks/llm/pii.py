@@ -6,7 +6,8 @@ contract's find, but begin only where a match can begin and never give back char
 long runs of digits or letters take linear time.
 
 Bootstrapping. Occurrences are the base spans, whose texts are the seeds, and all other tokens with
-a digit or an @ that touch no base span. An occurrence's lexical pattern is the two words before
+a digit or an @ that touch no base span, of any length, without the marks around them (a token of
+marks alone, such as a lone @, is none). An occurrence's lexical pattern is the two words before
 it (runs of letters and digits in lower case, with a : or = behind), taken from the whole text
 before it, other occurrences included. Patterns and texts make a graph (one edge per pattern, text and kind, however often it occurs,
 so copies of a document add nothing). In each round a pattern's confidence in a kind is the summed
@@ -14,7 +15,7 @@ confidence of its texts in that kind over the number of its texts plus one, seed
 others 0 at first; a text's confidence is then one minus the product of its reliable patterns'
 doubts. A pattern is reliable in a kind with a confidence of MIN_CONFIDENCE or more and a support of
 MIN_SUPPORT texts, seeds or texts that are themselves that sure. Confidences only rise; rounds go on
-until no text is added and none rises by more than SETTLED (they shrink by a constant factor).
+until no text is added and none rises by more than SETTLED (the rises shrink by a constant factor).
 Then an unseen occurrence becomes a span of the kind for which its pattern is reliable and its text sure.
 Everything is DataFrame operations; what is grouped is an edge or a pattern, never all rows of one.
 
@@ -102,7 +103,7 @@ def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ahead = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumn("reach", reach).withColumn("ahead", ahead)
     free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
-    rows = rows.where(F.col("kind").isNotNull() | (free & (F.length("text") >= 5)))
+    rows = rows.where(F.col("kind").isNotNull() | (free & (F.col("text") != "")))
     words = F.regexp_extract_all(F.lower("left"), F.lit(r"[\p{L}\p{N}]+[:=]*"), F.lit(0))
     return rows.select(id_col, "h", "kind", "start", "end", F.lower("text").alias("text"),
                        F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")).alias("w2"),

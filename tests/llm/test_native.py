@@ -92,6 +92,14 @@ def test_discovered_identifiers_make_patterns_reliable(spark):
     assert got[200] == got[201] == "phone:12:20" and got[105] == "phone:15:23,phone:39:47"
 
 
+def test_short_tokens_are_found_and_count_against_a_pattern(spark):
+    rows = [(k, f"please dial extension +1 (555) 010-00{k:02d}, go to page +1 (555) 010-01{k:02d}") for k in range(12)]
+    rows += [(100, "please dial extension 0188, or x@y @"), (101, "go to page 555-0177")] + [(200 + k, f"go to page {k}") for k in range(8)]
+    got = _found(spark, rows)
+    assert got[100] == "phone:22:26"
+    assert got[101] == "" and all(got[200 + k] == "" for k in range(8))  # 12 of 21 texts are phones; 12 of 13 without the short ones
+
+
 def test_redaction_keeps_columns_and_rows(spark, docs, no_docs, rows):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
