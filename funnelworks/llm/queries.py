@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, mixing, pii, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
+from funnelworks.llm import langid, merkle, mixing, pii, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
 from funnelworks.llm.common import held_out, join_narrow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,18 @@ def op9_language_id(spark, sf_dir):
 def op10_sentencepiece_round_trip(spark, sf_dir):
     """Operator 10: merge-type SentencePiece encoding with an end id, and decoding, as digests."""
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@register
+def op11_merkle_manifest(spark, sf_dir):
+    """Operator 11: a proof per row, by language and id, and what one row in seven gives when its n_chars is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = docs.select("doc_id", "lang", merkle.leaf([F.col(c) for c in fields]).alias("leaf"),
+                       F.when(chosen, merkle.leaf([more.get(c, F.col(c)) for c in fields])).alias("tampered"))
+    out = merkle.proofs(rows, "lang", "doc_id", ["tampered"])
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("sides"), F.col("siblings")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
