@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, merkle, mixing, pii, quality, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
+from funnelworks.llm import langid, merkle, mixing, pii, quality, secret_scan, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
 from funnelworks.llm.common import held_out, join_narrow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op11_merkle_manifest(spark, sf_dir):
     out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("sides"), F.col("siblings")))
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@register
+def op13_secret_scan(spark, sf_dir):
+    """Operator 13: base spans and strings of high entropy of every text."""
+    return secret_scan.find(table(spark, sf_dir, "documents"))
