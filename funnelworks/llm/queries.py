@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import langid, merkle, mixing, pii, quality, secret_scan, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
+from funnelworks.llm import conversation_trie, langid, merkle, mixing, pii, quality, secret_scan, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
 from funnelworks.llm.common import held_out, join_narrow
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,15 @@ def op11_merkle_manifest(spark, sf_dir):
                       (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@register
+def op12_conversation_trie(spark, sf_dir):
+    """Operator 12: the prefix trie of conversations that begin as conversation c - c % 20 does, for crc32(c) % 4 turns."""
+    turns, sizes = conversation_trie.own_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    turns, sizes = conversation_trie.rebuilt(turns, sizes, c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4, most=3)
+    return conversation_trie.trie(turns, sizes)
+
+
 @register
 def op13_secret_scan(spark, sf_dir):
     """Operator 13: base spans and strings of high entropy of every text."""
