@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from funnelworks.llm import oracle_trees
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -64,7 +66,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     and 2 * n_dup_lines <= n_lines and 2 * n_letters >= word_chars as kept
 from g"""
 
-SQL: dict[str, str] = {"op7_mixing": _mixing(), "op8_quality_rules": QUALITY}
+SQL: dict[str, str] = {"op7_mixing": _mixing(), "op8_quality_rules": QUALITY, **oracle_trees.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
