@@ -77,9 +77,60 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_narrow(wide: DataFrame, narrow: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
-    """Join that leaves ``wide`` (long texts) where it is if ``narrow``, counted first, has at most
-    ``max_rows`` short rows; beyond that both sides are shuffled and AQE splits what is large."""
-    if narrow.limit(max_rows + 1).count() <= max_rows:
-        narrow = F.broadcast(narrow)
-    return wide.join(narrow, on, how)
+def _mapped(df: DataFrame, column: str, kind, change: Callable[[], Callable]) -> DataFrame:
+    """``df`` with the values of ``column``, other than null, changed by the function that ``change()`` makes in each task."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    at = df.columns.index(column)
+    schema = StructType([StructField(f.name, kind if k == at else f.dataType, True) for k, f in enumerate(df.schema)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = change()
+        for batch in batches:
+            for part in steps(batch):
+                new = [None if x is None else one(x) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(new, arrow.field(k).type) if k == at else c.cast(arrow.field(k).type)
+                                                  for k, c in enumerate(part.columns)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _squeezer() -> Callable:
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return lambda text: squeeze(text.encode())
+
+
+def _unpacker() -> Callable:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda data: unpack(data).decode()
+
+
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with the texts of ``column`` compressed, for a shuffle."""
+    from pyspark.sql.types import BinaryType
+
+    return _mapped(df, column, BinaryType(), _squeezer)
+
+
+def unpacked(df: DataFrame, column: str = "text") -> DataFrame:
+    """``packed`` undone."""
+    from pyspark.sql.types import StringType
+
+    return _mapped(df, column, StringType(), _unpacker)
+
+
+def join_texts(docs: DataFrame, narrow: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` left-joined to ``narrow`` (_id, _h, ...) on the id, null-safe, and the md5 of the text (null read as empty).
+
+    One plan at every size: the texts cross the shuffle compressed, and stay so in the result (``unpacked`` restores
+    them); ``narrow`` is the side that is hashed in each task, and AQE splits rows that repeat very often.
+    """
+    own = docs.withColumn("_own_h", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h"))
+    return packed(own).join(narrow.hint("shuffle_hash"), mine, "left").drop("_own_h")

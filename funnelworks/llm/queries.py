@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelworks.llm import conversation_trie, langid, merkle, mixing, pii, quality, secret_scan, sentencepiece_bpe, simhash, token_counts, token_files, toxicity, winnowing
-from funnelworks.llm.common import held_out, join_narrow
+from funnelworks.llm.common import held_out
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,7 +46,7 @@ def op3_toxicity(spark, sf_dir):
     """Operator 3: learned from labelled rows that are not held out, scored for all; label 1 from 0.3."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(join_narrow(docs, labels, "doc_id"))
+    model = toxicity.train(toxicity.labelled(docs.where(~held_out()), labels))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

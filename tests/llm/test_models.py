@@ -79,20 +79,54 @@ def test_toxicity_of_held_out_rows(spark):
     assert caught >= 0.65 * sum(t for _, t in held) and sum(p for p, t in held if not t) <= 0.02 * len(held)
 
 
+def _grams(word):
+    s = f" {word} "
+    return [s[k:k + n] for n in toxicity.GRAMS for k in range(len(s) - n + 1)]
+
+
+def test_toxicity_bins_are_those_of_the_n_grams():
+    some = ["ab", "a", "straße", "xyxyxyxy", "日本", "b" * 300]
+    owner, bins = toxicity.word_bins(some)
+    one = {}
+    for w in some:  # equal n-grams have equal bins, alone and among others
+        alone = toxicity.word_bins([w])[1].tolist()
+        assert alone == bins[owner == some.index(w)].tolist() and len(alone) == len(_grams(w))
+        one[w] = sorted(alone)
+    assert len(set(one["xyxyxyxy"])) == len(set(_grams("xyxyxyxy"))) and len(set(one["b" * 300])) == len(set(_grams("b" * 300)))
+    by = [b.tolist() for b in toxicity.document_bins(["ab a ab", "", "1 2", "日本 straße"])]
+    assert sorted(by[0]) == sorted(one["ab"] + one["a"]) and by[1:3] == [[], []] and sorted(by[3]) == sorted(one["日本"] + one["straße"])
+
+
+def _labelled(spark, docs, label):
+    return toxicity.labelled(docs, docs.select("doc_id", label.alias("label")).dropDuplicates(["doc_id"]))
+
+
 def test_toxicity_ratios_count_documents(spark):
     rows = [("bad bad word", 1), ("bad thing", 1), ("good word", 0), ("good thing", 0), ("fine", 0), (None, 0)]
-    d = spark.createDataFrame(rows, "text string, label int")
-    ratio, n0, n1 = toxicity.ratios(d)
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, label int")
+    ratio, chosen, n0, n1 = toxicity.ratios(toxicity.labelled(d, d).select("text", "label"))
     assert (n0, n1) == (4, 2)
-    b = toxicity.bins("bad")[0]
-    assert ratio[b] == pytest.approx(math.log((3 / 4) / (1 / 6)))
+    b = toxicity.word_bins(["bad"])[1][0]
+    assert ratio[b] == pytest.approx(math.log((3 / 4) / (1 / 6))) and b in chosen
+    assert set(np.flatnonzero(ratio)) <= set(chosen.tolist())  # fewer bins than FEATURES
+
+
+def test_toxicity_weighs_the_bins_that_are_no_features(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 8)
+    bad, good = ["vile", "nasty", "awful", "rotten"], ["kind", "gentle", "lovely", "sweet"]
+    rows = [(k, f"{w} {x} filler", int(w in bad)) for k, (w, x) in enumerate((w, x) for side in (bad, good) for w in side for x in side for _ in range(4))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.train(toxicity.labelled(d, d))
+    assert np.count_nonzero(model.weights) > 8
+    unseen = [model.scores([w])[0] for w in bad + good]
+    assert min(unseen[:4]) > max(unseen[4:])
 
 
 def test_toxicity_edge_cases(spark, docs, no_docs, rows):
-    one = toxicity.train(docs.withColumn("label", F.lit(0)))
+    one = toxicity.train(_labelled(spark, docs, F.lit(0)))
     assert {r.score for r in toxicity.score(docs, one).collect()} == {0.0}
-    assert toxicity.train(no_docs.withColumn("label", F.lit(1))).weights == {}
-    model = toxicity.train(docs.withColumn("label", (F.col("text").contains("river")).cast("int")))  # null for the null text
+    assert not toxicity.train(_labelled(spark, no_docs, F.lit(1))).weights.any()
+    model = toxicity.train(_labelled(spark, docs, F.col("text").contains("river").cast("int")))  # null for the null text
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (100, 101, 102)}) == 1
     assert toxicity.score(no_docs, model).count() == 0
