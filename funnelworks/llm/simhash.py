@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import join_narrow, per_document, stored
+from funnelworks.llm.common import join_texts, per_document, stored, unpacked
 from funnelworks.llm.components import components
 
 PIVOTS = 32
@@ -191,7 +191,7 @@ def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     It is that of the smallest id (no id comes last), of one id's texts the one of smallest md5, and of
     rows that repeat both the one whose columns come first. Rows are told apart by id and md5 of the
     text (null read as empty), so two components may leave rows of one id, or rows without an id.
-    Only rows that go, and rows that occur several times, are joined to the texts.
+    The join to the texts carries only rows that go and rows that occur several times; the texts cross it compressed.
     """
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     marked = stored(per_document(docs.select(id_col, digest.alias("_h"), "text"), [id_col, "_h"],
@@ -206,9 +206,8 @@ def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     stays = F.col("first._id").eqNullSafe(F.col("_id")) & (F.col("first._h") == F.col("_h"))
     odd = rows.join(first, "root").withColumn("_stays", stays).where("not _stays or rows > 1")
     odd = stored(odd.select("_id", "_h", "_stays"), "simhash-odd-rows")
-    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_h"))
-    joined = join_narrow(docs, odd, mine, "left")
+    joined = stored(join_texts(docs, odd, id_col).where("_stays is null or _stays"), "simhash-kept")
     rest = joined.where("_stays is null").select(*docs.columns)
     # A minimum is combined before the shuffle, however often a row occurs.
     several = joined.where("_stays").groupBy("_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return rest.unionByName(several)
+    return unpacked(rest.unionByName(several))
