@@ -24,12 +24,14 @@ is run again writes a new file; ``files`` names the files of the attempts that c
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ RUNS = 512
 #: Ids of a sequence, sequences of a batch, and bytes of text of a file, about.
 LENGTH, ROWS, FILE_BYTES = 2048, 64, 16_000_000
 NULL_ID = -(1 << 63)
+#: The letters below U+0100.
+_LATIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 class StretchEncoder:
@@ -59,7 +63,7 @@ class StretchEncoder:
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         self.cuts = self._drops_white_space(json.loads(self.lib.to_str()))
         self.memo: dict[str, bytes] = {"": b""}  # by stretch
-        self.parts: dict[str, bytes] = {}  # by lower-case run of letters, mark, or any other stretch
+        self.parts: dict[str, bytes] = {}  # by lower-case run of letters
         suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
         self.ends_word = None
         if suffix:
@@ -95,28 +99,33 @@ class StretchEncoder:
             out += [data[a * size:b * size] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    @staticmethod
-    def _parts(stretch: str) -> tuple[str, ...]:
-        """A run of Latin-1 letters in lower case, with a full stop or comma behind it apart; else the stretch itself.
+    def _learn(self, stretches: list[str]) -> None:
+        """Keep the ids of stretches.
 
-        Such letters are composed already, become lower case one by one, and make one word of the pre-tokenizer.
+        A run of Latin-1 letters, with a full stop or comma behind it apart, is known by its lower case: such letters
+        are composed already, become lower case one by one, and make one word of the pre-tokenizer.
         """
-        run, mark = (stretch[:-1], stretch[-1:]) if stretch[-1:] in (".", ",") else (stretch, "")
-        if not run.isalpha() or max(run) > "\xff":
-            return (stretch,)
-        return (run.lower(), mark) if mark else (run.lower(),)
-
-    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
         if len(self.parts) > MEMO_SIZE:
             self.parts = {}
-        cut = {s: self._parts(s) for s in stretches} if self.ends_word is not None else {s: (s,) for s in stretches}
-        known = self.parts
-        missing = {p for c in cut.values() for p in c}.difference(known)
-        runs = [p for p in missing if p.isalpha() and max(p) <= "\xff"] if self.ends_word is not None else []
-        rest = list(missing.difference(runs))
-        fresh = dict(zip(runs, self._runs(runs), strict=True)) | dict(zip(rest, self._library(rest), strict=True))
-        known.update((p, b) for p, b in fresh.items() if len(p) <= MEMO_CHARS)
-        return {s: b"".join([known[p] if p in known else fresh[p] for p in c]) for s, c in cut.items()}
+        known, latin = self.parts, _LATIN.fullmatch if self.ends_word is not None else lambda _: None
+        marks = dict(zip(".,", self._library([".", ","]), strict=True))
+        whole, heads, tails = [], [], []
+        for s in stretches:
+            if latin(s):
+                heads.append((s, s.lower()))
+            elif s[-1] in marks and latin(s[:-1]):
+                tails.append((s, s[:-1].lower()))
+            else:
+                whole.append(s)
+        runs = list({r for _, r in heads}.union([r for _, r in tails]).difference(known))
+        known.update(zip(runs, self._runs(runs), strict=True))
+        memo = self.memo
+        memo.update([(s, known[r]) for s, r in heads])
+        memo.update([(s, known[r] + marks[s[-1]]) for s, r in tails])
+        memo.update(zip(whole, self._library(whole), strict=True))
+        for r in runs:
+            if len(r) > MEMO_CHARS:
+                del known[r]
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, and the end id."""
@@ -125,11 +134,14 @@ class StretchEncoder:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_SIZE:
             self.memo = {"": b""}
-        found = [list(map(self.memo.get, c)) for c in cut]
-        fresh = self._learn({s for c, f in zip(cut, found, strict=True) if None in f for s, b in zip(c, f, strict=True) if b is None})
-        self.memo.update((s, b) for s, b in fresh.items() if len(s) <= MEMO_CHARS)
-        return [b"".join([fresh[s] if b is None else b for s, b in zip(c, f, strict=True)] if None in f else f) + self.end
-                for c, f in zip(cut, found, strict=True)]
+        fresh = list(set(chain.from_iterable(cut)).difference(self.memo))
+        self._learn(fresh)
+        of = self.memo.__getitem__
+        out = [b"".join(map(of, c)) + self.end for c in cut]
+        for s in fresh:
+            if len(s) > MEMO_CHARS:
+                del self.memo[s]
+        return out
 
 
 @lru_cache(maxsize=2)
