@@ -17,12 +17,14 @@ an empty table gives an empty result; columns other than the id and the text are
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,7 +58,10 @@ class MergeEncoder:
             raise ValueError("a piece has a space after another character; texts cannot be cut before spaces")
         if lib.encode(" a  b ") != self.stretches_ids(self.stretches(" a  b ")):
             raise ValueError("the model normalises texts in a way that is not supported")
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        # Two plain maps rather than one of pairs, which the garbage collector would walk again and again.
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, str] = {}
+        self.decimal = [str(i) for i in range(n)]
 
     def _tables(self, n: int) -> None:
         """Arrays for the side-by-side agendas. A symbol is a piece's id, or n + code point where the character is none."""
@@ -109,12 +114,11 @@ class MergeEncoder:
             a, k = at[near], best[near] - 1
             cost[a, k], merged[a, k] = self._look_up(sym[a, k], sym[a, k + 1])
             size[at] -= 1
-        flat, odd = sym[sym >= 0].tolist(), (sym >= self.n).any(axis=1).tolist()
+        flat, odd = sym[sym >= 0].tolist(), np.flatnonzero((sym >= self.n).any(axis=1)).tolist()
         ends = np.cumsum(size).tolist()
         out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        for k, has in enumerate(odd):
-            if has:
-                out[k] = [j for i in out[k] for j in ([i] if i < self.n else [self.bytes[b] for b in chr(i - self.n).encode()])]
+        for k in odd:
+            out[k] = [j for i in out[k] for j in ([i] if i < self.n else [self.bytes[b] for b in chr(i - self.n).encode()])]
         return out
 
     @staticmethod
@@ -156,29 +160,41 @@ class MergeEncoder:
                 out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
         return out
 
-    def learn(self, stretches: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids as 32-bit integers, and the same as decimal text, of stretches; each is checked against the library."""
+    def learn(self, stretches: list[str]) -> None:
+        """Keep ids, as 32-bit integers and as decimal text, of stretches; each is checked against the library."""
         new = {s: self.merge(s) for s in stretches if len(s) > ROW_CHARS}
         short = sorted((s for s in stretches if len(s) <= ROW_CHARS), key=len)
         for k in range(0, len(short), ROWS):
             new.update(zip(short[k:k + ROWS], self.merge_rows(short[k:k + ROWS]), strict=True))
-        for (s, ids), theirs in zip(new.items(), self.lib.encode([s.replace(SPACE, " ") for s in new]) if new else [], strict=True):
-            # The library has no dummy space for an empty text.
-            if s and ids != theirs:
-                raise AssertionError(f"the agenda and the sentencepiece library differ on {s!r}: {ids}, {theirs}")
-        return {s: (array("i", ids).tobytes(), " ".join(map(str, ids))) for s, ids in new.items()}
+        ours, theirs = list(new.values()), self.lib.encode([s.replace(SPACE, " ") for s in new]) if new else []
+        if ours != theirs:
+            for s, ids, said in zip(new, ours, theirs, strict=True):
+                # The library has no dummy space for an empty text.
+                if s and ids != said:
+                    raise AssertionError(f"the agenda and the sentencepiece library differ on {s!r}: {ids}, {said}")
+        flat, ends = list(chain.from_iterable(ours)), list(accumulate(map(len, ours), initial=0))
+        data, names = array("i", flat).tobytes(), list(map(self.decimal.__getitem__, flat))
+        self.ids_of.update(zip(new, [data[4 * a:4 * b] for a, b in pairwise(ends)], strict=True))
+        self.text_of.update(zip(new, [" ".join(names[a:b]) for a, b in pairwise(ends)], strict=True))
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         """For each text its ids and their decimal texts, both without an end id."""
         cut = [self.stretches(t) for t in texts]
-        if len(self.memo) > MEMO_SIZE:
-            self.memo = {}
-        memo = self.memo
-        fresh = self.learn(list({s for c in cut for s in c if s not in memo}))
-        memo.update((s, v) for s, v in fresh.items() if len(s) <= MEMO_CHARS)
-        for c in cut:
-            found = [memo.get(s) or fresh[s] for s in c]
-            yield np.frombuffer(b"".join([b for b, _ in found]), dtype=np.int32).tolist(), [d for _, d in found]
+        if len(self.ids_of) > MEMO_SIZE:
+            self.ids_of, self.text_of = {}, {}
+        fresh = list(set(chain.from_iterable(cut)).difference(self.ids_of))
+        # Learning makes many lists and no cycles.
+        gc.disable()
+        try:
+            self.learn(fresh)
+        finally:
+            gc.enable()
+        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
+        out = [(np.frombuffer(b"".join(map(ids_of, c)), dtype=np.int32).tolist(), list(map(text_of, c))) for c in cut]
+        for s in fresh:
+            if len(s) > MEMO_CHARS:
+                del self.ids_of[s], self.text_of[s]
+        return iter(out)
 
 
 @lru_cache(maxsize=2)
