@@ -125,12 +125,12 @@ def unpacked(df: DataFrame, column: str = "text") -> DataFrame:
     return _mapped(df, column, StringType(), _unpacker)
 
 
-def join_texts(docs: DataFrame, narrow: DataFrame, id_col: str) -> DataFrame:
+def join_texts(docs: DataFrame, narrow: DataFrame, id_col: str, pack: bool) -> DataFrame:
     """``docs`` left-joined to ``narrow`` (_id, _h, ...) on the id, null-safe, and the md5 of the text (null read as empty).
 
-    One plan at every size: the texts cross the shuffle compressed, and stay so in the result (``unpacked`` restores
-    them); ``narrow`` is the side that is hashed in each task, and AQE splits rows that repeat very often.
+    One plan at every size: the texts cross the shuffle, with ``pack`` compressed, and stay so in the result (``unpacked``
+    restores them); ``narrow`` is the side that is hashed in each task, and AQE splits rows that repeat very often.
     """
     own = docs.withColumn("_own_h", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h"))
-    return packed(own).join(narrow.hint("shuffle_hash"), mine, "left").drop("_own_h")
+    return (packed(own) if pack else own).join(narrow.hint("shuffle_hash"), mine, "left").drop("_own_h")
