@@ -125,6 +125,13 @@ def unpacked(df: DataFrame, column: str = "text") -> DataFrame:
     return _mapped(df, column, StringType(), _unpacker)
 
 
+def aside(docs: DataFrame, *keep: str) -> DataFrame:
+    """``docs`` with its columns other than ``keep`` named by their places (_x0, _x1, ...), so that none clashes with a name of an
+    operator's own; ``toDF`` gives their names back."""
+    kept = {c.lower() for c in keep}
+    return docs.toDF(*[c if c.lower() in kept else f"_x{k}" for k, c in enumerate(docs.columns)])
+
+
 def join_texts(docs: DataFrame, narrow: DataFrame, id_col: str, pack: bool) -> DataFrame:
     """``docs`` left-joined to ``narrow`` (_id, _h, ...) on the id, null-safe, and the md5 of the text (null read as empty).
 

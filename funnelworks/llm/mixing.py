@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import stored
+from funnelworks.llm.common import aside, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a leaf that share a key bucket, about.
@@ -134,6 +134,8 @@ def levelled(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
 def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], fraction: tuple[int, int] = (1, 1),
         max_epochs: int = 4, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """Taken rows of ``docs`` (text and other columns included) with the levels, ``n_tokens``, ``epoch`` and ``n_taken``."""
-    named = levelled(docs, levels).withColumn("n_tokens", word_tokens())
-    leaves = plan(named.select(*levels, id_col, "n_tokens"), list(levels), weights, fraction, max_epochs, seed, id_col)
-    return apply_plan(named, leaves, list(levels), seed, id_col)
+    named = levelled(docs, levels).withColumn("n_tokens", word_tokens()).drop("epoch", "n_taken")
+    plain = aside(named, id_col, "n_tokens", *levels)
+    leaves = plan(plain.select(*levels, id_col, "n_tokens"), list(levels), weights, fraction, max_epochs, seed, id_col)
+    taken = apply_plan(plain, leaves, list(levels), seed, id_col)
+    return taken.select(*plain.columns, "epoch", "n_taken").toDF(*named.columns, "epoch", "n_taken")

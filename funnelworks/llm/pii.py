@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import join_texts, stored
+from funnelworks.llm.common import aside, join_texts, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract, in the order of KINDS; here with possessive quantifiers and bounded beginnings.
@@ -190,5 +190,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pieces = F.transform("_spans", lambda s: F.when(s["start"] >= s["reach"], F.concat(
         F.substring(text, s["reach"] + 1, s["start"] - s["reach"]), F.get(names, s["kind"]))).otherwise(F.lit("")))
     new = F.concat(F.array_join(pieces, ""), F.substring(text, reach + 1, F.length(text)))
-    joined = join_texts(docs, per, id_col, pack=False)
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), new).otherwise(F.col("text"))).drop("_id", "_h", "_spans")
+    plain = aside(docs, id_col, "text")
+    joined = join_texts(plain, per, id_col, pack=False)
+    changed = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), new).otherwise(F.col("text")))
+    return changed.select(*plain.columns).toDF(*docs.columns)

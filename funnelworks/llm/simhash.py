@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import join_texts, per_document, stored, unpacked
+from funnelworks.llm.common import aside, join_texts, per_document, stored, unpacked
 from funnelworks.llm.components import components
 
 PIVOTS = 32
@@ -206,8 +206,9 @@ def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     stays = F.col("first._id").eqNullSafe(F.col("_id")) & (F.col("first._h") == F.col("_h"))
     odd = rows.join(first, "root").withColumn("_stays", stays).where("not _stays or rows > 1")
     odd = stored(odd.select("_id", "_h", "_stays"), "simhash-odd-rows")
-    joined = stored(join_texts(docs, odd, id_col, pack=True).where("_stays is null or _stays"), "simhash-kept")
-    rest = joined.where("_stays is null").select(*docs.columns)
+    plain = aside(docs, id_col, "text")
+    joined = stored(join_texts(plain, odd, id_col, pack=True).where("_stays is null or _stays"), "simhash-kept")
+    rest = joined.where("_stays is null").select(*plain.columns)
     # A minimum is combined before the shuffle, however often a row occurs.
-    several = joined.where("_stays").groupBy("_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return unpacked(rest.unionByName(several))
+    several = joined.where("_stays").groupBy("_id", "_h").agg(F.min(F.struct(*plain.columns)).alias("_row")).select("_row.*")
+    return unpacked(rest.unionByName(several)).toDF(*docs.columns)
