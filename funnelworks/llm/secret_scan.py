@@ -58,11 +58,12 @@ class CharClass:
 _SMALL = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (CharClass("0123456789abcdef", True, 16, 2.75), CharClass("0123456789" + _SMALL + _SMALL.upper() + "+/_=-", False, 20, 3.7))
 MIN_MIX = 2
-#: Harmless forms: UUIDs, placeholders, words with numbers behind them joined by marks (paths, names).
+#: Harmless forms: UUIDs, placeholders, words with numbers behind them joined by marks (paths, names). Repeated groups are
+#: possessive: one that can give back takes stack for each repetition, which a long path exhausts.
 ALLOW = (
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     r"(?i).*(?:example|sample|dummy|placeholder|changeme|xxxx).*",
-    r"(?:[A-Za-z]{0,24}[0-9]{0,4}[+/_=-]++)+[A-Za-z]{0,24}[0-9]{0,4}",
+    r"(?:[A-Za-z]{0,24}+[0-9]{0,4}+[+/_=-]++)++[A-Za-z]{0,24}[0-9]{0,4}",
     r"[A-Za-z][a-z]*+(?:[A-Z][a-z]++)*+[0-9]{0,4}",
 )
 #: Characters in order.
