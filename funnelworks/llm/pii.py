@@ -99,8 +99,10 @@ def occurrences(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("end", F.col("start") + F.length("text")).withColumn("kind", F.when(~loose, F.col("kind")))
     # A token touches a base span if one that begins before its end ends after its start.
     near = Window.partitionBy(id_col, "h").orderBy("start", F.col("kind").asc_nulls_last())
+    back = Window.partitionBy(id_col, "h").orderBy(F.col("start").desc(), F.col("kind").desc_nulls_first())
     reach = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing))
+    # In reverse order, since a frame that ends at the last row is gone through anew for each row.
+    ahead = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("reach", reach).withColumn("ahead", ahead)
     free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
     rows = rows.where(F.col("kind").isNotNull() | (free & (F.col("text") != "")))

@@ -148,7 +148,9 @@ def scan(raw: DataFrame, allow: Sequence[str] = ALLOW, known: Sequence[str] = KN
     near = Window.partitionBy("_row").orderBy("start", "kind")
     base = F.col("kind") < n_base
     rows = rows.withColumn("reach", F.max(F.when(base, F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("ahead", F.min(F.when(base, F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing)))
+    # In reverse order, since a frame that ends at the last row is gone through anew for each row.
+    back = Window.partitionBy("_row").orderBy(F.col("start").desc(), F.col("kind").desc())
+    rows = rows.withColumn("ahead", F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
     added = rows.where(~base & free)
     # Added spans that overlap become one: a new one begins where none before it reaches.
