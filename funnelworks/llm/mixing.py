@@ -56,9 +56,10 @@ def share_out(nodes: DataFrame, parent: list[str], budget: str, weight: str, cap
     near = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     order = near.orderBy((F.col(capacity).cast("decimal(28,0)") / F.col(weight).cast("decimal(9,0)")), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The weight from a node on: the total less what is before it, since a frame to the last row is gone through anew for each row.
+    after = F.sum(weight).over(near) - F.coalesce(F.sum(weight).over(before), F.lit(0))
     d = nodes.withColumn("_room", F.col(budget).cast(_D) - F.coalesce(F.sum(F.col(capacity).cast(_D)).over(before), F.lit(0)))
-    d = d.withColumn("_filled", F.col(capacity) * F.sum(weight).over(after).cast("decimal(12,0)") <= F.col(weight) * F.col("_room"))
+    d = d.withColumn("_filled", F.col(capacity) * after.cast("decimal(12,0)") <= F.col(weight) * F.col("_room"))
     d = d.withColumn("_left", F.col(budget) - F.coalesce(F.sum(F.when(F.col("_filled"), F.col(capacity))).over(near), F.lit(0)))
     rest = F.when(~F.col("_filled"), F.col(weight))
     d = d.withColumn("_all", F.sum(rest).over(near)).withColumn("_upto", F.sum(rest).over(order.rowsBetween(Window.unboundedPreceding, 0)))
