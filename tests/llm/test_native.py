@@ -113,6 +113,18 @@ def test_redaction_keeps_columns_and_rows(spark, docs, no_docs, rows):
     assert pii.redact(both).first().text == "x <EMAIL> y"
 
 
+def test_a_text_of_very_many_matches(spark):
+    """Every step takes time in proportion to a text's matches; squares of these would take minutes."""
+    n = 60_000
+    numbers = spark.createDataFrame([(1, "7 " * n + "a@b.cc")], "doc_id long, text string")
+    assert pii.find(numbers).first().spans == f"email:{2 * n}:{2 * n + 6}"
+    unit = "\ufeff\u00e9\U0001f600 a@b.cc"
+    mails = spark.createDataFrame([(1, (unit + "\n") * n), (2, "\ufeffno span"), (3, unit + "\ufeff")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.redact(mails).collect()}
+    one = "\ufeff\u00e9\U0001f600 <EMAIL>"
+    assert texts == {1: (one + "\n") * n, 2: "\ufeffno span", 3: one + "\ufeff"}
+
+
 def test_repeated_rows_have_equal_spans(docs):
     got = [tuple(r) for r in pii.find(docs).collect() if r.doc_id == 3]
     assert len(got) == 2 and got[0] == got[1]

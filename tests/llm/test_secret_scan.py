@@ -88,6 +88,16 @@ def test_spans_equal_brute_force(spark, rows):
     assert sorted(r.spans for r in got if r.doc_id is None) == ["", "assign:0:18"]
 
 
+def test_very_long_candidates_and_very_many_matches(spark):
+    n = 60_000
+    texts = [(1, "a1/" * n), (2, "token=abcdef " * n), (3, "my_key" + "_a" * n + "-1"), (4, "Ab" * n + "1"), (5, "x " + "9f" * n)]
+    got = {r.doc_id: r for r in secret_scan.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
+    # Paths and names of any length are harmless.
+    assert [got[k].spans for k in (1, 3)] == ["", ""]
+    assert got[2].n_assign == n and got[2].spans.endswith(f"assign:{13 * n - 13}:{13 * n - 1}") and got[2].n_entropy == 0
+    assert got[4].spans == "" and got[5].spans == f"hex:2:{2 + 2 * n}"
+
+
 def test_allow_list_is_a_parameter(spark):
     secret = "k3J9xQ2mZ7pL0vB4nT8w"
     d = spark.createDataFrame([(1, f"use {secret} now"), (2, "id myExampleKeyA1b2C3d4E5f6G7h8")], "doc_id long, text string")
