@@ -10,10 +10,11 @@ a view of the mapped bytes, without a copy. Beside the files stand two Parquet t
 (a row per document: file, first id within it, number of ids) and ``files`` (a row per file: its
 first id in the whole stream, its number of ids).
 
-Encoding: the tokenizers library encodes each distinct stretch between spaces, tabs and line ends,
-and each distinct run of Latin-1 letters in one, once per worker (bounded memos). That is exact for a vocabulary whose normaliser and
-pre-tokenizer do not look across white space, which ``StretchEncoder`` asks for by name; for any
-other vocabulary whole texts go to the library.
+Encoding: the documents of a range are encoded in chunks of about ``CHUNK_BYTES`` of text. A chunk is cut into the stretches
+between spaces, tabs and line ends as one Arrow array; the tokenizers library encodes each distinct stretch, and each distinct
+run of Latin-1 letters in one, once per chunk, and the ids of all stretches are taken from those by their places. That is exact
+for a vocabulary whose normaliser and pre-tokenizer do not look across white space, which ``StretchEncoder`` asks for by name;
+for any other vocabulary whole texts go to the library.
 
 Null and empty texts hold the end id alone. Texts of any length are encoded whole; a document may
 span many sequences. Rows with equal ids stand in the order of their packed texts; null ids come first.
@@ -24,17 +25,16 @@ is run again writes a new file; ``files`` names the files of the attempts that c
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,31 +42,37 @@ from pyspark.sql import functions as F
 
 from funnelworks.llm.common import scratch, split_points, steps, stored
 
-MEMO_CHARS, MEMO_SIZE = 64, 600_000
-#: Runs of letters that the library gets as one text.
+#: Runs of letters that the library gets as one text, and texts that it gets at once.
 RUNS = 512
+#: Bytes of text that are encoded together, about, and what a row counts beside its text.
+CHUNK_BYTES, ROW_BYTES = 16_000_000, 64
 #: Ids of a sequence, sequences of a batch, and bytes of text of a file, about.
 LENGTH, ROWS, FILE_BYTES = 2048, 64, 16_000_000
 NULL_ID = -(1 << 63)
-#: The letters below U+0100.
-_LATIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: A stretch of letters below U+0100, perhaps a mark, and the space behind it.
+_PLAIN = "^[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]? $"
+_LOWER = "".join(chr(k) for k in range(256) if chr(k).isalpha() and chr(k).lower() == chr(k))
+#: By byte: whether it is a space, tab or line end.
+_GAP = np.isin(np.arange(256), list(b" \t\n\r"))
 
 
 class StretchEncoder:
     """A tokenizers file; ids as bytes of ``dtype``, little-endian."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if max(self.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         self.cuts = self._drops_white_space(json.loads(self.lib.to_str()))
-        self.memo: dict[str, bytes] = {"": b""}  # by stretch
-        self.parts: dict[str, bytes] = {}  # by lower-case run of letters
+        # The library with the same model for runs of lower-case letters, which normaliser and cuts leave as they are.
+        self.bare = Tokenizer(self.lib.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
         self.ends_word = None
-        if suffix:
+        if suffix and self.cuts and self._keeps_runs():
             size = self.lib.get_vocab_size()
             self.ends_word = np.array([(self.lib.id_to_token(k) or "").endswith(suffix) for k in range(size)])
 
@@ -81,16 +87,25 @@ class StretchEncoder:
                 and " " not in pre[0]["pattern"]["Regex"] and r"[^\s" in pre[0]["pattern"]["Regex"]
                 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"])
 
+    def _keeps_runs(self) -> bool:
+        """Whether a run of lower-case Latin-1 letters stays as it is, is one word, and holds no added token."""
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        return (self.lib.normalizer.normalize_str(_LOWER) == _LOWER and len(self.lib.pre_tokenizer.pre_tokenize_str(_LOWER)) == 1
+                and all(set(t.lower()) - set(_LOWER) for t in added))
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.dtype.char, e.ids).tobytes() for e in found]
+        out: list[bytes] = []
+        for k in range(0, len(texts), RUNS):
+            found = self.lib.encode_batch_fast(texts[k:k + RUNS], add_special_tokens=False)
+            out += [array(self.dtype.char, e.ids).tobytes() for e in found]
+        return out
 
     def _runs(self, runs: list[str]) -> list[bytes]:
         """Ids of runs of letters; a run's last id is the only one that ends a word, so many go as one text."""
         out: list[bytes] = []
         for k in range(0, len(runs), RUNS):
             some = runs[k:k + RUNS]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             if len(ends) != len(some):
                 out += self._library(some)
@@ -99,49 +114,55 @@ class StretchEncoder:
             out += [data[a * size:b * size] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _learn(self, stretches: list[str]) -> None:
-        """Keep the ids of stretches.
+    def _ids(self, stretches: pa.StringArray) -> pa.ListArray:
+        """A list of ids for each distinct stretch (a space stands behind it), and the end id in a last one.
 
         A run of Latin-1 letters, with a full stop or comma behind it apart, is known by its lower case: such letters
         are composed already, become lower case one by one, and make one word of the pre-tokenizer.
         """
-        if len(self.parts) > MEMO_SIZE:
-            self.parts = {}
-        known, latin = self.parts, _LATIN.fullmatch if self.ends_word is not None else lambda _: None
-        marks = dict(zip(".,", self._library([".", ","]), strict=True))
-        whole, heads, tails = [], [], []
-        for s in stretches:
-            if latin(s):
-                heads.append((s, s.lower()))
-            elif s[-1] in marks and latin(s[:-1]):
-                tails.append((s, s[:-1].lower()))
-            else:
-                whole.append(s)
-        runs = list({r for _, r in heads}.union([r for _, r in tails]).difference(known))
-        known.update(zip(runs, self._runs(runs), strict=True))
-        memo = self.memo
-        memo.update([(s, known[r]) for s, r in heads])
-        memo.update([(s, known[r] + marks[s[-1]]) for s, r in tails])
-        memo.update(zip(whole, self._library(whole), strict=True))
-        for r in runs:
-            if len(r) > MEMO_CHARS:
-                del known[r]
+        plain = np.zeros(len(stretches), bool)
+        if self.ends_word is not None:
+            plain = pc.match_substring_regex(stretches, _PLAIN).to_numpy(zero_copy_only=False)
+        runs, others = stretches.filter(pa.array(plain)), stretches.filter(pa.array(~plain))
+        lower = pc.utf8_lower(pc.utf8_rtrim(runs, "., ")).dictionary_encode()
+        words = lower.dictionary.to_pylist()
+        marks = [".", ","]
+        pieces = [b"", *self._library(marks), self.end, *self._runs(words), *self._library(pc.utf8_rtrim(others, " ").to_pylist())]
+        first = 2 + len(marks)
+        # Two pieces for each stretch: a run and its mark, or the whole and nothing.
+        codes = np.zeros((len(stretches) + 1, 2), np.int32)
+        codes[:-1][plain, 0] = first + lower.indices.to_numpy()
+        codes[:-1][~plain, 0] = first + len(words) + np.arange(len(others))
+        for k, m in enumerate(marks, 1):
+            codes[:-1][plain, 1] += k * pc.ends_with(runs, m + " ").to_numpy(zero_copy_only=False)
+        codes[-1, 0] = 1 + len(marks)
+        sizes = np.array([0, *map(len, pieces)]) // self.dtype.itemsize
+        table = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(pieces), self.dtype)))
+        pairs = table.take(pa.array(codes.ravel()))
+        return pa.ListArray.from_arrays(pa.array(pairs.offsets.to_numpy()[::2]), pairs.values)
+
+    def encode(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The ids of texts in UTF-8, the end id behind each, one after another; and how many ids each has."""
+        if not self.cuts:
+            found = [ids + self.end for ids in self._library([t.decode() for t in texts])]
+            return b"".join(found), np.array([len(ids) // self.dtype.itemsize for ids in found], np.int64)
+        data = np.frombuffer(bytearray(b" ".join([*texts, b""])), np.uint8)
+        gaps = np.flatnonzero(_GAP[data])
+        data[gaps] = ord(" ")
+        offsets = np.r_[0, gaps + 1].astype(np.int32)
+        stretches = pa.StringArray.from_buffers(len(gaps), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        table = self._ids(stretches.dictionary)
+        # Behind the last stretch of each text comes the end id.
+        ends = np.searchsorted(gaps, np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1) + 1
+        taken = table.take(pa.array(np.insert(stretches.indices.to_numpy(), ends, len(table) - 1)))
+        upto = taken.offsets.to_numpy()[ends + np.arange(1, len(ends) + 1)]
+        return taken.values.to_numpy().tobytes(), np.diff(upto, prepend=0)
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, and the end id."""
-        if not self.cuts:
-            return [ids + self.end for ids in self._library(texts)]
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_SIZE:
-            self.memo = {"": b""}
-        fresh = list(set(chain.from_iterable(cut)).difference(self.memo))
-        self._learn(fresh)
-        of = self.memo.__getitem__
-        out = [b"".join(map(of, c)) + self.end for c in cut]
-        for s in fresh:
-            if len(s) > MEMO_CHARS:
-                del self.memo[s]
-        return out
+        data, counts = self.encode([t.encode() for t in texts])
+        ends = (np.cumsum(counts) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -259,23 +280,37 @@ def _pack(splits: list[int]):
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and unpacked texts of the rows in their order, about CHUNK_BYTES of text or one longer text at a time."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, packed in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            text = unpack(packed.as_buffer())
+            if texts and size + len(text) > CHUNK_BYTES:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            size += len(text) + ROW_BYTES
+    if texts:
+        yield keys, texts
+
+
 def _file_writer(folder: str, length: int, rows: int, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of one range come in order of their ids; they are encoded and make one file."""
-        import zstandard
-
-        unpack, encode = zstandard.ZstdDecompressor().decompress, encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         name, out = f"part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.arrow", None
-        for whole in batches:
-            for batch in steps(whole):
-                starts, counts = [], []
-                out = out or SequenceWriter(f"{folder}/{name}", length, rows, encode.dtype)
-                for ids in encode.encode_texts([unpack(t.as_buffer()).decode() for t in batch.column("text")]):
-                    starts.append(out.total)
-                    counts.append(len(ids) // out.dtype.itemsize)
-                    out.append(ids)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([name] * batch.num_rows), pa.array(starts, pa.int64()),
-                                                  pa.array(counts, pa.int64())], names=["id", "file", "local_start", "n_tokens"])
+        for keys, texts in _chunks(batches):
+            out = out or SequenceWriter(f"{folder}/{name}", length, rows, encode.dtype)
+            ids, counts = encode.encode(texts)
+            starts = out.total + np.cumsum(counts) - counts
+            out.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys)), pa.array(starts, pa.int64()),
+                                              pa.array(counts, pa.int64())], names=["id", "file", "local_start", "n_tokens"])
         if out:
             out.close()
 

@@ -132,3 +132,49 @@ def test_sequences_are_views_with_masks(tmp_path):
 def test_no_documents_make_no_files(no_docs, word_path):
     data = token_files.write(no_docs, word_path, 1)
     assert data.files.count() == 0 and token_files.read_digests(data).count() == 0
+
+
+def _range_of(texts):
+    import pyarrow as pa
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([squeeze(t.encode()) for t in texts], pa.binary())], names=["id", "text"])
+
+
+def test_a_range_gives_each_stretch_to_the_library_once(word_path, tmp_path, monkeypatch):
+    """Long stretches too, which were encoded anew every 256 documents."""
+    from types import SimpleNamespace
+
+    e, seen = token_files.StretchEncoder(word_path, 1), []
+    for name in ("_runs", "_library"):
+        plain = getattr(e, name)
+        setattr(e, name, lambda some, plain=plain: (seen.extend(some), plain(some))[1])
+    monkeypatch.setattr(token_files, "encoder", lambda *_: e)
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    word, other = "Abcde" * 20, "a1-" * 40
+    texts = [f"{word}, {other} x{k}" for k in range(700)]
+    out = list(token_files._file_writer(f"file://{tmp_path}", 16, 4, word_path, 1)(iter([_range_of(texts)])))
+    assert sum(b.num_rows for b in out) == 700
+    assert seen.count(word.lower()) == 1 and seen.count(other) == 1
+
+
+def test_chunks_keep_rows_in_order(monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 1000)
+    texts = ["é" * 100, "", "x" * 5000, "a b", *["word " * 30] * 20, ""]
+    chunks = list(token_files._chunks(iter([_range_of(texts[:3]), _range_of(texts[3:])])))
+    assert [t.decode() for _, c in chunks for t in c] == texts
+    assert [k for ks, _ in chunks for k in ks] == [0, 1, 2, *range(len(texts) - 3)]
+    assert len(chunks) > 5 and all(len(c) == 1 or sum(map(len, c)) <= 1000 for _, c in chunks)
+    assert list(token_files._chunks(iter([]))) == []
+
+
+def test_added_tokens_of_letters(word_path, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib, path = Tokenizer.from_file(word_path), str(tmp_path / "added.json")
+    lib.add_tokens(["river"])
+    lib.save(path)
+    e = token_files.StretchEncoder(path, 1)
+    for text in ["The river", "rivers driver, River.", "a river. b"]:
+        assert np.frombuffer(e.encode_texts([text])[0], e.dtype).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
