@@ -127,3 +127,29 @@ def test_windows_slide_exactly(spark, c):
 def test_empty_table_and_other_columns(docs, no_docs, rows):
     assert secret_scan.find(no_docs).count() == 0 and secret_scan.findings(no_docs).count() == 0
     assert secret_scan.find(docs).count() == len(rows)
+
+
+def test_allow_list_is_the_same_for_spark_and_in_sql(spark):
+    """Possessive groups of Spark's list stay out of the SQL, whose engine does not know them."""
+    import duckdb
+
+    from funnelworks.llm.oracle import oracle_sql
+
+    rng = random.Random(5)
+    pieces = ["abc", "Z", "x" * 24, "y" * 25, "1", "1234", "12345", "-", "/", "_=", "++", "é"]
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    hits = 0
+    for plain, mine in zip(secret_scan.ALLOW, secret_scan.SPARK_ALLOW, strict=True):
+        same = [(bool(re.fullmatch(plain, w)), bool(re.fullmatch(mine, w))) for w in words]
+        assert all(a == b for a, b in same)
+        hits += sum(a for a, _ in same)
+    assert 100 < hits < 3000
+    texts = ["src/main/java/com/acme12/Widget34", "use k3J9xQ2mZ7pL0vB4nT8w now", "token = 0123abcdef", "a/k3J9xQ2mZ7pL0vB4nT8w12345/b", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = con.execute(oracle_sql()["op13_secret_scan"])
+    columns = [c[0] for c in want.description]
+    got = secret_scan.find(d)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
