@@ -12,7 +12,7 @@ first id in the whole stream, its number of ids).
 
 Encoding: the documents of a range are encoded in chunks of about ``CHUNK_BYTES`` of text. A chunk is cut into the stretches
 between spaces, tabs and line ends as one Arrow array; the tokenizers library encodes each distinct stretch, and each distinct
-run of Latin-1 letters in one, once per chunk, and the ids of all stretches are taken from those by their places. That is exact
+run of letters in one, once per chunk, and the ids of all stretches are taken from those by their places. That is exact
 for a vocabulary whose normaliser and pre-tokenizer do not look across white space, which ``StretchEncoder`` asks for by name;
 for any other vocabulary whole texts go to the library.
 
@@ -49,8 +49,9 @@ CHUNK_BYTES, ROW_BYTES = 16_000_000, 64
 #: Ids of a sequence, sequences of a batch, and bytes of text of a file, about.
 LENGTH, ROWS, FILE_BYTES = 2048, 64, 16_000_000
 NULL_ID = -(1 << 63)
-#: A stretch of letters below U+0100, perhaps a mark, and the space behind it.
-_PLAIN = "^[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]? $"
+#: Letters below U+0100; a stretch of those, perhaps with a mark, or of any letters, and the space behind it.
+_LETTERS = "[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+_LATIN, _PLAIN = f"^{_LETTERS}$", rf"^(?:{_LETTERS}[.,]?|\pL+) $"
 _LOWER = "".join(chr(k) for k in range(256) if chr(k).isalpha() and chr(k).lower() == chr(k))
 #: By byte: whether it is a space, tab or line end.
 _GAP = np.isin(np.arange(256), list(b" \t\n\r"))
@@ -66,7 +67,7 @@ class StretchEncoder:
         self.dtype = np.dtype("<u2" if max(self.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         self.cuts = self._drops_white_space(json.loads(self.lib.to_str()))
-        # The library with the same model for runs of lower-case letters, which normaliser and cuts leave as they are.
+        # The library with the same model for runs of lower-case Latin-1 letters, which normaliser and cuts leave as they are.
         self.bare = Tokenizer(self.lib.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -88,10 +89,15 @@ class StretchEncoder:
                 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"])
 
     def _keeps_runs(self) -> bool:
-        """Whether a run of lower-case Latin-1 letters stays as it is, is one word, and holds no added token."""
-        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        return (self.lib.normalizer.normalize_str(_LOWER) == _LOWER and len(self.lib.pre_tokenizer.pre_tokenize_str(_LOWER)) == 1
-                and all(set(t.lower()) - set(_LOWER) for t in added))
+        """Whether each word has one id that ends it, lower-case Latin-1 letters stay as they are and make one word, and runs of
+        letters and marks hold no added token."""
+        from tokenizers import pre_tokenizers
+
+        spec = json.loads(self.lib.to_str())["model"]
+        added = [t.content.strip(".,") for t in self.lib.get_added_tokens_decoder().values()]
+        return (all(c + spec["end_of_word_suffix"] in spec["vocab"] for c in pre_tokenizers.ByteLevel.alphabet())
+                and self.lib.normalizer.normalize_str(_LOWER) == _LOWER and len(self.lib.pre_tokenizer.pre_tokenize_str(_LOWER)) == 1
+                and all(t and not t.isalpha() for t in added))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -100,12 +106,13 @@ class StretchEncoder:
             out += [array(self.dtype.char, e.ids).tobytes() for e in found]
         return out
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters; a run's last id is the only one that ends a word, so many go as one text."""
+    def _runs(self, runs: list[str], lib) -> list[bytes]:
+        """Ids of runs of letters; a run has at least one id that ends a word, so where there are as many as runs, each has its
+        last id alone, and many runs go as one text."""
         out: list[bytes] = []
         for k in range(0, len(runs), RUNS):
             some = runs[k:k + RUNS]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ids = np.array(lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             if len(ends) != len(some):
                 out += self._library(some)
@@ -118,21 +125,26 @@ class StretchEncoder:
         """A list of ids for each distinct stretch (a space stands behind it), and the end id in a last one.
 
         A run of Latin-1 letters, with a full stop or comma behind it apart, is known by its lower case: such letters
-        are composed already, become lower case one by one, and make one word of the pre-tokenizer.
+        are composed already, become lower case one by one, and make one word of the pre-tokenizer. Others may end in a
+        mark once they are normalised, so a full stop or comma stays with them.
         """
         plain = np.zeros(len(stretches), bool)
         if self.ends_word is not None:
             plain = pc.match_substring_regex(stretches, _PLAIN).to_numpy(zero_copy_only=False)
         runs, others = stretches.filter(pa.array(plain)), stretches.filter(pa.array(~plain))
-        lower = pc.utf8_lower(pc.utf8_rtrim(runs, "., ")).dictionary_encode()
-        words = lower.dictionary.to_pylist()
+        runs_only = pc.utf8_rtrim(runs, "., ")
+        words = pc.if_else(pc.match_substring_regex(runs_only, _LATIN), pc.utf8_lower(runs_only), runs_only).dictionary_encode()
+        latin = pc.match_substring_regex(words.dictionary, _LATIN)
+        bare, full = words.dictionary.filter(latin), words.dictionary.filter(pc.invert(latin))
         marks = [".", ","]
-        pieces = [b"", *self._library(marks), self.end, *self._runs(words), *self._library(pc.utf8_rtrim(others, " ").to_pylist())]
+        pieces = [b"", *self._library(marks), self.end, *self._runs(bare.to_pylist(), self.bare), *self._runs(full.to_pylist(), self.lib),
+                  *self._library(pc.utf8_rtrim(others, " ").to_pylist())]
+        places = np.argsort(np.argsort(~latin.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
         first = 2 + len(marks)
         # Two pieces for each stretch: a run and its mark, or the whole and nothing.
         codes = np.zeros((len(stretches) + 1, 2), np.int32)
-        codes[:-1][plain, 0] = first + lower.indices.to_numpy()
-        codes[:-1][~plain, 0] = first + len(words) + np.arange(len(others))
+        codes[:-1][plain, 0] = first + places[words.indices.to_numpy()]
+        codes[:-1][~plain, 0] = first + len(places) + np.arange(len(others))
         for k, m in enumerate(marks, 1):
             codes[:-1][plain, 1] += k * pc.ends_with(runs, m + " ").to_numpy(zero_copy_only=False)
         codes[-1, 0] = 1 + len(marks)

@@ -149,7 +149,7 @@ def test_a_range_gives_each_stretch_to_the_library_once(word_path, tmp_path, mon
     e, seen = token_files.StretchEncoder(word_path, 1), []
     for name in ("_runs", "_library"):
         plain = getattr(e, name)
-        setattr(e, name, lambda some, plain=plain: (seen.extend(some), plain(some))[1])
+        setattr(e, name, lambda some, *lib, plain=plain: (seen.extend(some), plain(some, *lib))[1])
     monkeypatch.setattr(token_files, "encoder", lambda *_: e)
     monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
     word, other = "Abcde" * 20, "a1-" * 40
@@ -178,3 +178,18 @@ def test_added_tokens_of_letters(word_path, tmp_path):
     e = token_files.StretchEncoder(path, 1)
     for text in ["The river", "rivers driver, River.", "a river. b"]:
         assert np.frombuffer(e.encode_texts([text])[0], e.dtype).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_letters_of_all_scripts_equal_the_library(word_path):
+    """Letters that decompose, whose lower case has a mark, and jamo that compose, in runs beside each other."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, lib, e = random.Random(4), Tokenizer.from_file(word_path), token_files.StretchEncoder(word_path, 1)
+    every = [c for c in map(chr, range(0x20, 0x1F000)) if c.isalpha()]
+    odd = list("क़İſ각ΣςßẞDŽＡΩKİ́ͅªµ.,'1") + ["日本", "слово", "the"]
+    for pick, gap in ((every, " "), (odd, "\t"), (every + odd * 2000, " ")):
+        texts = [gap.join("".join(rng.choices(pick, k=rng.randrange(1, 5))) + rng.choice(["", ".", ",", ".,"]) for _ in range(40)) for _ in range(150)]
+        for text, ids in zip(texts, e.encode_texts(texts), strict=True):
+            assert np.frombuffer(ids, e.dtype).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1], text
